@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import partial
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -102,11 +103,16 @@ class Cascade:
         return out
 
 
+def rule_key(start: Column, end: Column) -> Column:
+    return F.concat(F.lit("rule|"), end, start)
+
+
 def keys_of(host: Column, path: Column, hosts: int, lengths: list[int]) -> Column:
     """Keys of a url: "rule|" with up to so many last labels of the host and a prefix of the path, "word|" with each word of the host."""
     labels = F.split(host, r"\.")
     ends = F.transform(F.sequence(F.greatest(F.lit(1), F.size(labels) - (hosts - 1)), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.lit(hosts)), "."))
-    rules = [F.when(F.length(path) >= n, F.transform(ends, lambda e, n=n: F.concat(F.lit("rule|"), e, F.substring(path, 1, n)))).otherwise(F.array().cast("array<string>")) for n in lengths]
+    starts = [F.when(F.length(path) >= n, F.substring(path, 1, n)) for n in lengths]
+    rules = [F.when(start.isNotNull(), F.transform(ends, partial(rule_key, start))).otherwise(F.array().cast("array<string>")) for start in starts]
     words = F.transform(F.array_distinct(F.split(host, "[.-]")), lambda w: F.concat(F.lit("word|"), w))
     return F.when(host == "", F.array().cast("array<string>")).otherwise(F.concat(*rules, words))
 
