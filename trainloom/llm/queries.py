@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trainloom.llm import byte_bpe, exact_dedup, html_text, license_scan, packing, quality_rules, url_filter
+from trainloom.llm import byte_bpe, exact_dedup, html_text, license_scan, packing, quality_model, quality_rules, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,10 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.report(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
@@ -50,6 +54,7 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_model": op1_quality_model,
     "op2_packing": op2_packing,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_url_filter": op4_url_filter,
