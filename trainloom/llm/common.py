@@ -61,6 +61,15 @@ def numbered(df: DataFrame, column: str = "_uid") -> DataFrame:
     return df.withColumn(column, F.monotonically_increasing_id())
 
 
+def boxed(df: DataFrame) -> DataFrame:
+    """df's rows as one struct, `_doc`, so that no name of theirs clashes with a working column; unboxed() undoes it."""
+    return df.select(F.struct("*").alias("_doc"))
+
+
+def unboxed(df: DataFrame) -> DataFrame:
+    return df.select("_doc.*")
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

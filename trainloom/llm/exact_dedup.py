@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trainloom.llm.common import BLANK_BYTES, Scratch, numbered, partitions, salts
+from trainloom.llm.common import BLANK_BYTES, Scratch, boxed, numbered, partitions, salts, unboxed
 
 SHARD_KEYS, BUCKET_KEYS = 65_536, 4
 ROW = "_uid long, doc_id long, n_points long, digest binary, head long"
@@ -202,14 +202,14 @@ def dedup(docs: DataFrame, history: DataFrame | None = None) -> DataFrame:
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay, with all their columns (none may be named _uid)."""
+    """The rows of docs that stay, with all their columns."""
     scratch, parts = Scratch(docs.sparkSession, "kept"), partitions(docs.sparkSession)
-    held = scratch.save(numbered(docs, "_uid"), "docs")
-    rows = scratch.save(digests(held), "rows")
+    held = scratch.save(numbered(boxed(docs), "_uid"), "docs")
+    rows = scratch.save(digests(held.select("_uid", "_doc.doc_id", "_doc.text")), "rows")
     n = rows.count()
     shards, n_shards = index(rows, n, parts)
     found = lookup(rows, scratch.save(shards, "shards"), n_shards, n, parts)
-    return held.join(found.where(F.col("_uid") == F.col("keep_uid")).select("_uid"), "_uid", "left_semi").drop("_uid")
+    return unboxed(held.join(found.where(F.col("_uid") == F.col("keep_uid")).select("_uid"), "_uid", "left_semi"))
 
 
 def report(docs: DataFrame) -> DataFrame:

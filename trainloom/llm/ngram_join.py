@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trainloom.llm.common import Scratch, numbered, partitions
+from trainloom.llm.common import Scratch, boxed, numbered, partitions, unboxed
 from trainloom.llm.components import components
 from trainloom.llm.tokens import Remembered
 
@@ -43,7 +43,7 @@ ROUNDS, CROWDED = 6, 4
 HUB_ROWS = 2_000
 U = np.uint64
 ODD = U(0x9E3779B97F4A7C15)
-WORDS = Remembered(lambda new: [xxhash.xxh3_64_digest(x) for x in new])
+WORDS = Remembered(xxhash.xxh3_64_digest)
 
 
 def shingles(text: bytes | None) -> np.ndarray:
@@ -273,7 +273,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of docs less all but one of each component: the one with the least doc_id, then the first read."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "near")
-    held = scratch.save(numbered(docs, "_uid"), "docs")
-    found = joined(held.select("_uid", F.col("doc_id").cast("long"), F.col("text").cast("string")), scratch, partitions(spark))
+    held = scratch.save(numbered(boxed(docs), "_uid"), "docs")
+    found = joined(held.select("_uid", F.col("_doc.doc_id").cast("long").alias("doc_id"), F.col("_doc.text").cast("string").alias("text")), scratch, partitions(spark))
     first = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_uid")).alias("f")).select("f._uid")
-    return held.join(first, "_uid", "left_semi").drop("_uid")
+    return unboxed(held.join(first, "_uid", "left_semi"))

@@ -8,9 +8,8 @@ words are left to the base rule.
 
 Null and empty texts have no words and fail. The declared language only sorts documents into references; a
 null or unknown one adds to none and is judged by all. Rows with equal or null doc_ids are judged as they
-stand; clashing column names do not matter to `judge`, which takes doc_id, text and lang only; `keep` needs
-that no column is named like those that `judge` adds. An empty table gives no rows; with no references,
-nothing is rejected for its distance.
+stand; other columns are ignored, or kept by `keep`, whatever their names. An empty table gives no rows; with no
+references, nothing is rejected for its distance.
 """
 
 from __future__ import annotations
@@ -18,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trainloom.llm.common import BLANK, Scratch
+from trainloom.llm.common import BLANK, Scratch, boxed, unboxed
 
 MIN_WORDS = 50
 #: Limits of the distances: the first, and what is added times 1 / sqrt(words).
@@ -132,4 +131,4 @@ def judge(docs: DataFrame) -> DataFrame:
 def keep(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, with all their columns; texts are read twice, but move nowhere."""
     known = references(features(docs.select("text", "lang")))
-    return judged(features(docs), known).where("kept").select(*docs.columns)
+    return unboxed(judged(features(boxed(docs).select("_doc", "_doc.text", "_doc.lang")), known).where("kept"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trainloom.llm import byte_bpe, exact_dedup, html_text, license_scan, packing, quality_model, quality_rules, url_filter
+from trainloom.llm import byte_bpe, exact_dedup, html_text, license_scan, ngram_join, packing, quality_model, quality_rules, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +35,10 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.report(table(spark, sf_dir, "documents"))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -58,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_url_filter": op4_url_filter,
+    "op5_ngram_join": op5_ngram_join,
     "op6_byte_bpe": op6_byte_bpe,
     "op8_license_scan": op8_license_scan,
     "op9_quality_rules": op9_quality_rules,
