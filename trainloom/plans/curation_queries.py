@@ -12,6 +12,11 @@ from trainloom.operators import curation, suggest
 from trainloom.plans.queries import CCG, ORACLE, RATE, RP, SHORT, by_type, query, rounded
 from trainloom.plans.tables import read, rebased, spikes
 
+def raw(name: str) -> str:
+    """An oracle with hardly any rounding, for use in others."""
+    return ORACLE[name].replace(", 9)", ", 14)").replace(", 7)", ", 14)")
+
+
 COUNTS = """b AS (SELECT template, least(floor(t / greatest(total / 20.0, 1.0)), 19)::BIGINT AS bin, count(*) AS n FROM s GROUP BY 1, 2, total),
     h AS (SELECT c.template, k AS bin, coalesce(n, 0)::DOUBLE AS n FROM (SELECT DISTINCT template FROM s) c CROSS JOIN range(20) r(k) LEFT JOIN b ON b.template = c.template AND b.bin = k),
     o AS (SELECT template, bin, n, CASE WHEN n > 0.1 * max(n) OVER (PARTITION BY template) THEN 1 ELSE 0 END AS o FROM h),
@@ -41,7 +46,7 @@ def merge_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(suggest.merge_candidates(by_type(spark, sf_dir)[0], total, SHORT, 100, 2, 30, 0.5, 0.0, 8))
 
 
-SPLIT = f"""q AS ({ORACLE["qc_core"]}), mo AS ({ORACLE["moments"]}),
+SPLIT = f"""q AS ({raw("qc_core")}), mo AS ({raw("moments")}),
     sc AS (SELECT q.cluster_id, n_spikes, CASE WHEN n >= 8 THEN bimodality ELSE 0 END AS bimodality, refractory_contamination AS contamination, abs(drift_correlation) AS drift, amplitude_snr AS snr FROM q JOIN mo USING (cluster_id) WHERE n_spikes >= 30),
     sp AS (SELECT *, least(1, greatest(0, (0.6 * least(1, greatest(0, (bimodality - 0.4) / 0.4)) + 0.25 * least(1, greatest(0, 2 * contamination)) + 0.15 * least(1, greatest(0, (drift - 0.3) / 0.5))) * least(1, greatest(0, snr / (snr + 0.5))))) AS score FROM sc)"""
 
@@ -52,7 +57,7 @@ def split_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(suggest.split_scores(trains, total, RATE, RP, 30), 7)
 
 
-@query(f"""WITH q AS ({ORACLE["qc_core"]}), a AS ({ORACLE["amplitude_cutoff"]}),
+@query(f"""WITH q AS ({raw("qc_core")}), a AS ({raw("amplitude_cutoff")}),
     p AS (SELECT cluster_id, least(1, greatest(0, 1 - refractory_contamination)) AS contamination_score, least(1, greatest(0, presence_ratio)) AS presence_score, least(1, greatest(0, 1 - longest_silent_gap)) AS coverage_score,
       CASE WHEN amplitude_snr <= 0 THEN 0 ELSE amplitude_snr / (amplitude_snr + 1) END AS snr_score, least(1, greatest(0, 1 - 2 * amplitude_cutoff)) AS completeness_score, least(1, greatest(0, 1 - abs(drift_correlation))) AS stability_score FROM q JOIN a USING (cluster_id))
     SELECT cluster_id, round(contamination_score, 9) AS contamination_score, round(presence_score, 9) AS presence_score, round(coverage_score, 9) AS coverage_score, round(snr_score, 9) AS snr_score, round(completeness_score, 9) AS completeness_score, round(stability_score, 9) AS stability_score,
