@@ -12,6 +12,8 @@ at a time, in one task.
 from __future__ import annotations
 
 import os
+import re
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,8 +32,12 @@ def cuts(n: int, most: int = MOST) -> list[int]:
     return [most] * (n // most) + [1 << k for k in reversed(range(most.bit_length() - 1)) if n % most >> k & 1]
 
 
+#: Marks that end a word of ASCII letters and digits.
+LAST_MARKS = re.compile(rb"(?<=[a-z0-9])([.,;:!?]+)(?=[ \t-\r]|\Z)")
+
+
 class Encoder:
-    """Ids of whole texts by a tokenizer that never joins what white space divides."""
+    """Ids of whole texts by a lower-casing tokenizer that never joins what white space divides."""
 
     kept: dict[str, Encoder] = {}
 
@@ -49,12 +55,13 @@ class Encoder:
             cls.kept[path] = cls(path)
         return cls.kept[path]
 
-    def encode(self, words: list[bytes]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast([x.decode() for x in words], add_special_tokens=False)
-        return [np.array(x.ids, "<u4").tobytes() for x in found]
+    def encode(self, piece: bytes) -> bytes:
+        ids = self.tokenizer.encode(piece.decode(), add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def ids(self, text: bytes) -> bytes:
-        return self.pieces.ids(text.split())  # at ASCII white space
+        """The tokenizer lower-cases and never joins letters or digits with marks, so pieces repeat more often so."""
+        return self.pieces.ids(LAST_MARKS.sub(rb" \1", text.lower()).split())
 
 
 def pack(docs: DataFrame, tokenizer: str, most: int = MOST, end: int = END) -> DataFrame:

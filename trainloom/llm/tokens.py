@@ -4,23 +4,36 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-#: Distinct pieces that a Python worker remembers; beyond it, it starts anew. Bounds memory, not results.
-REMEMBERED = 400_000
+#: Distinct pieces in a generation of what a Python worker remembers. Bounds memory, not results.
+REMEMBERED = 500_000
+
+
+class Generation(dict):
+    """Looks a missing piece up in the old generation, then encodes it."""
+
+    def __init__(self, encode: Callable, old: dict):
+        super().__init__()
+        self.encode, self.old = encode, old
+
+    def __missing__(self, piece) -> bytes:
+        found = self.old.get(piece)
+        if found is None:
+            found = self.encode(piece)
+        self[piece] = found
+        return found
 
 
 class Remembered:
-    """bytes of a piece -> its ids as little-endian unsigned 32-bit integers, by encode for those not yet seen."""
+    """bytes of a piece -> its ids as little-endian unsigned 32-bit integers, by encode for those not remembered.
+
+    When a generation is full it becomes the old one; what is used again moves to the new one, the rest goes
+    when that is full in turn. So common pieces are never encoded again.
+    """
 
-    def __init__(self, encode: Callable[[list], list[bytes]], most: int = REMEMBERED):
-        self.encode, self.most, self.known = encode, most, {}
+    def __init__(self, encode: Callable, most: int = REMEMBERED):
+        self.encode, self.most, self.known = encode, most, Generation(encode, {})
 
     def ids(self, pieces: list) -> bytes:
-        try:
-            return b"".join(map(self.known.__getitem__, pieces))
-        except KeyError:
-            pass
         if len(self.known) > self.most:
-            self.known = {}
-        new = [x for x in dict.fromkeys(pieces) if x not in self.known]
-        self.known.update(zip(new, self.encode(new), strict=True))
+            self.known = Generation(self.encode, dict(self.known))
         return b"".join(map(self.known.__getitem__, pieces))
