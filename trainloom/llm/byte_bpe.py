@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +29,8 @@ from trainloom.llm.tokens import Remembered
 
 #: Pairs of tokens whose verdict a vocabulary remembers; beyond it, it starts anew.
 PAIRS = 500_000
+#: Bytes of a piece's head, and how many heads a vocabulary remembers with the last tokens of their prefixes.
+HEAD, HEADS = 6, 100_000
 
 
 class Vocabulary:
@@ -43,6 +46,8 @@ class Vocabulary:
         self.longest = max(map(len, ranks))
         self.pairs: dict[tuple[int, int], bool] = {}
         self.alone: dict[int, bool] = {}
+        self.heads: dict[bytes, list[int]] = {}
+        self.split: dict[int, tuple[int, int] | None] = {}
 
     @classmethod
     def of(cls, path: str) -> Vocabulary:
@@ -51,10 +56,10 @@ class Vocabulary:
                 cls.kept[path] = cls({base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)})
         return cls.kept[path]
 
-    def merged(self, piece: bytes) -> list[int]:
-        """The definition: join the neighbours whose joint bytes have the lowest rank, leftmost first, until none have one."""
+    def merged(self, piece: bytes, least: int = 1) -> list[int]:
+        """The definition: join the neighbours whose joint bytes have the lowest rank, leftmost first, until none have one or so few are left."""
         parts = [piece[i : i + 1] for i in range(len(piece))]
-        while len(parts) > 1:
+        while len(parts) > least:
             rank, at = min((self.ranks.get(a + b, len(self.bytes)), i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)))
             if rank == len(self.bytes):
                 break
@@ -67,13 +72,40 @@ class Vocabulary:
             self.alone[token] = self.merged(self.bytes[token]) == [token]
         return self.alone[token]
 
+    def halves(self, token: int) -> tuple[int, int] | None:
+        """The two tokens whose merge makes this one; None for a byte."""
+        if token not in self.split:
+            data = self.bytes[token]
+            self.split[token] = tuple(self.merged(data, 2)) if len(data) > 1 else None
+        return self.split[token]
+
     def apart(self, left: int, right: int) -> bool:
-        """Whether merging the bytes of two tokens gives the two."""
+        """Whether merging the bytes of two tokens gives the two.
+
+        The merges are undone, last one first. Each time, the tokens that then meet at the border must not make
+        one of a lower rank than the merge just undone (or an equal rank, where the border comes first): that
+        would have been merged before it.
+        """
         found = self.pairs.get((left, right))
-        if found is None:
-            if len(self.pairs) > PAIRS:
-                self.pairs = {}
-            found = self.pairs[left, right] = self.merged(self.bytes[left] + self.bytes[right]) == [left, right]
+        if found is not None:
+            return found
+        a, b, bound = left, right, len(self.bytes)
+        while True:
+            across = self.ranks.get(self.bytes[a] + self.bytes[b])
+            if across is not None and across < bound:
+                found = False
+                break
+            one, two = len(self.bytes[a]) > 1, len(self.bytes[b]) > 1
+            if one and (a > b or not two):
+                bound, a = a, self.halves(a)[1]
+            elif two:
+                bound, b = b + 1, self.halves(b)[0]
+            else:
+                found = True
+                break
+        if len(self.pairs) > PAIRS:
+            self.pairs = {}
+        self.pairs[left, right] = found
         return found
 
 
@@ -85,6 +117,14 @@ class Piece:
         self.append(data)
 
     def append(self, data: bytes) -> None:
+        """Entries for more bytes; those of a head that another piece began with are taken over."""
+        if not self.last and len(data) > HEAD:
+            heads, head = self.vocabulary.heads, data[:HEAD]
+            if head not in heads:
+                if len(heads) > HEADS:
+                    heads.clear()
+                heads[head] = Piece(self.vocabulary, head).last
+            self.data, self.last, data = head, list(heads[head]), data[HEAD:]
         ranks, apart, last = self.vocabulary.ranks, self.vocabulary.apart, self.last
         self.data += data
         for end in range(len(last) + 1, len(self.data) + 1):
@@ -163,7 +203,7 @@ class Encoder:
 
     def __init__(self, path: str, pattern: str):
         self.vocabulary, self.pattern = Vocabulary.of(path), regex.compile(pattern)
-        self.pieces = Remembered(lambda new: [np.array(Piece(self.vocabulary, x.encode()).ids(), "<u4").tobytes() for x in new])
+        self.pieces = Remembered(self.encode)
 
     @classmethod
     def of(cls, path: str, pattern: str) -> Encoder:
@@ -171,6 +211,10 @@ class Encoder:
             cls.kept[path, pattern] = cls(path, pattern)
         return cls.kept[path, pattern]
 
+    def encode(self, piece: str) -> bytes:
+        ids = Piece(self.vocabulary, piece.encode()).ids()
+        return struct.pack(f"<{len(ids)}I", *ids)
+
     def ids(self, text: str) -> bytes:
         return self.pieces.ids(self.pattern.findall(text))
 
