@@ -63,9 +63,6 @@ def test_pieces_rebuild_documents(docs):
     library.encode_special_tokens = True
     pieces = packing.pack(docs, WORDS).collect()
     want = sorted((r[0] is not None, r[0] or 0, [*library.encode(r[1] or "", add_special_tokens=False).ids, 2]) for r in ROWS)
-    found = {}
-    for p in sorted(pieces, key=lambda p: (p["sequence_id"])):
-        found.setdefault((p["doc_id"], p["sequence_id"] - 0 if p["start"] == 0 else None), []).append(p)
     assert sum(p["length"] for p in pieces) == sum(len(w[2]) for w in want)
     assert len({p["sequence_id"] for p in pieces}) == len(pieces)
     for p in pieces:
