@@ -69,8 +69,10 @@ class Reader(HTMLParser):
             # An article's own header has its headings; they are no page header.
             return not (tag == "header" and any(x.tag in WHOLE for x in self.open))
         marks = " ".join(v for k, v in attrs if k in ("class", "id") and v).lower()
-        if marks and tag not in ("html", "body", "main") and not MARKS.isdisjoint(re.split(r"[^a-z0-9]+", marks)):
-            return True
+        if marks and tag not in ("html", "body", "main"):
+            found = MARKS.intersection(re.split(r"[^a-z0-9]+", marks))
+            if found and not (found == {"header"} and any(x.tag in WHOLE for x in self.open)):
+                return True
         return any((k == "role" and (v or "").lower() in ROLES) or k == "hidden" for k, v in attrs)
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
@@ -166,7 +168,9 @@ def main_text(html: str | None) -> str:
     articles = [x for x in weight if x.tag in WHOLE]
     if articles:
         top = max(articles, key=lambda x: (weight[x], x.tag == "article"))
-        held = {id(x) for x in articles if x.tag == "article" and weight[x] > 0.1 * whole} if top.tag == "article" else {id(top)}
+        rivals = [x for x in articles if x.tag == "article" and weight[x] > 0.1 * whole]
+        # One article that has most of the content is the page's; with several alike, the page is all of them.
+        held = {id(x) for x in rivals} if top.tag == "article" and weight[top] < 0.6 * whole else {id(top)}
         inside = [any(id(x) in held for x in above(line.element)) for line, _ in lines]
     else:
         path = above(lines[content[0]][0].element)
