@@ -46,7 +46,7 @@ def rounded(df: DataFrame, digits: int = 9) -> DataFrame:
                  count(DISTINCT least(floor(t / greatest(total / 50.0, 1.0)), 49)) AS occ, avg(amplitude) AS m, coalesce(stddev_samp(amplitude), 0) AS sd,
                  corr(t / 1e6, amplitude) AS c, covar_pop(t / 1e6, amplitude) AS cov, var_pop(t / 1e6) AS vs FROM i GROUP BY cluster_id, total)
     SELECT cluster_id, n AS n_spikes, round(n / (total / 1e6), 9) AS firing_rate, round(m, 9) AS mean_amplitude, round(sd, 9) AS std_amplitude,
-           round(CASE WHEN sd > 0 THEN abs(m) / sd ELSE 0 END, 9) AS amplitude_snr, v AS isi_violations,
+           round(CASE WHEN sd > 0 THEN abs(m) / sd ELSE 0 END, 9) AS amplitude_snr, v::BIGINT AS isi_violations,
            round(CASE WHEN last > first THEN v / ((last - first) / 1e6) ELSE 0 END, 9) AS isi_violation_ratio,
            round(CASE WHEN n > 1 THEN v / (n - 1.0) ELSE 0 END, 9) AS isi_violation_fraction,
            round(least(1.0, v * total / (2.0 * $RP * n * n)), 9) AS refractory_contamination, round(occ / 50.0, 9) AS presence_ratio,
