@@ -23,7 +23,8 @@ def ranked(table: DataFrame, by: str, descending: bool) -> DataFrame:
     kind = dict(table.dtypes)[by]
     x = F.col(by)
     last = x.isNull() | (F.isnan(x) if kind in ("double", "float") else F.lit(False))
-    order = Window.orderBy(last, x.desc() if descending else x.asc(), "cluster_id")
+    own = F.when(~last, x)
+    order = Window.orderBy(last, own.desc() if descending else own.asc(), "cluster_id")
     return table.withColumn("place", F.row_number().over(order))
 
 
