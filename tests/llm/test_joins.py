@@ -65,8 +65,7 @@ def test_crowded_tokens(spark, monkeypatch):
     """Star rounds and crowded tokens, which small tables do not reach by themselves."""
     for module in (ngram_join, rounds):
         monkeypatch.setattr(module, "FEW", 2)
-    monkeypatch.setattr(rounds, "CROWDED", 0)
-    monkeypatch.setattr(rounds, "SPARSE", 10**9)
+    monkeypatch.setattr(rounds, "CROWDED", -1)
     monkeypatch.setattr(ngram_join, "HUB_ROWS", 3)
     check(spark, texts(3, 3, 25, 4))
 

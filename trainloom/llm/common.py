@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import math
 import tempfile
 import uuid
@@ -56,6 +57,12 @@ class Scratch:
             pass
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark remove the shuffle files of plans that nothing refers to; it does so only when the driver collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def numbered(df: DataFrame, column: str = "_uid") -> DataFrame:
     """df with a number for each row; stable only once the result is written, so callers write it."""
     return df.withColumn(column, F.monotonically_increasing_id())

@@ -5,18 +5,16 @@ order puts rare shingles first: shingles that stand out in counts over all docum
 rest by hash. (Any one order is exact; HEAVY bounds only how many shingles have a count of their own.) Two sets
 that meet the threshold share a shingle among their first n - ceil(0.75 n) + 1 (prefix filter), the smaller among
 fewer still; their sizes are within 3:4 (length filter), and what follows the shared places must suffice
-(positional filter). Pairs that pass are taken once; a bound on what the halves of both sets share (suffix
-filter) comes before counting the intersection.
-
-As groups are wanted, not all pairs, candidates come in rounds. In star rounds each class is paired with one
-representative of the shingles that it shares; what links is one component, and shingles of a single component
-raise no pairs any more. The last round takes every pair left that is not yet of one component, so no link
-between components is lost, and large groups of near copies cost about their size.
-
-A class is counted once a task however often it occurs there, so a hot copy adds a row a task; the star step
-and the counts pre-aggregate; hubs with many partners are dealt to several tasks. Null and empty texts have no
-shingles and link with nothing. Null doc_ids stay null unless linked with others; rows with equal doc_ids are
-separate documents. Other columns are ignored; an empty table gives no rows.
+(positional filter). Pairs that pass are taken once. Before their texts meet, a bound on what the sets can share,
+part by part of the hashes' range (suffix filter), takes out most that do not link; the intersection decides.
+
+Prefixes are dealt out by shingle. A shingle of few sets gives its pairs as it passes by; those of crowded ones
+and of those that stand out go through the rounds of `rounds.connect`, so that a large group of near copies costs
+about its size and no link between components is lost. A set is taken once a task however often it occurs there,
+so a hot copy adds a row a task; hubs with many partners are dealt to several tasks.
+
+Null and empty texts have no shingles and link with nothing. Null doc_ids stay null unless linked with others;
+rows with equal doc_ids are separate documents. Other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,43 +24,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trainloom.llm.common import Scratch, boxed, numbered, partitions, unboxed
-from trainloom.llm.components import components
-from trainloom.llm.tokens import Remembered
+from trainloom.llm.common import Scratch, boxed, numbered, partitions, release, unboxed
+from trainloom.llm.rounds import FEW, connect
+from trainloom.llm.shingles import U, sets_of
 
-WIDTH, PERCENT = 5, 75
+PERCENT = 75
 #: Shingles with a count of their own in the order; shingles counted at once, and the least count that stands out among them.
 HEAVY, BLOCK, STANDS_OUT = 200_000, 2_000_000, 4
-#: Star rounds at most, and the pairs a class that make another worthwhile.
-ROUNDS, CROWDED = 6, 4
 #: Partners of a hub that one task verifies.
 HUB_ROWS = 2_000
-U = np.uint64
-ODD = U(0x9E3779B97F4A7C15)
-WORDS = Remembered(xxhash.xxh3_64_digest)
-
-
-def shingles(text: bytes | None) -> np.ndarray:
-    """The set of a text, as sorted distinct hashes."""
-    words = (text or b"").lower().split()
-    if not words:
-        return np.zeros(0, U)
-    hashes = np.frombuffer(WORDS.ids(words), "<u8")
-    width = min(WIDTH, len(words))
-    with np.errstate(over="ignore"):
-        out = np.full(len(words) - width + 1, U(width))
-        for k in range(width):
-            out = out * ODD + hashes[k : len(words) - width + 1 + k]
-        out = (out ^ (out >> U(32))) * U(0xD6E8FEB86659FD93)
-        return np.unique(out ^ (out >> U(29)))
-
-
-def text_bytes(column: pa.Array) -> list[bytes | None]:
-    return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()
 
 
 def sliced(batches: Iterator[pa.RecordBatch], n: int = 512) -> Iterator[pa.RecordBatch]:
@@ -71,13 +44,49 @@ def sliced(batches: Iterator[pa.RecordBatch], n: int = 512) -> Iterator[pa.Recor
             yield b.slice(at, n)
 
 
-READ = "_uid long, doc_id long, n int, digest binary, text string, token long, df long"
+READ = "_uid long, doc_id long, n int, digest binary, token long, df long"
+#: Bits of the hash that split shingles in parts for the suffix filter, at least and at most.
+FEWEST_BITS, MOST_BITS = 6, 13
+
+
+def sketch(own: np.ndarray) -> bytes:
+    """How many shingles are in each part of the hashes' range, 255 standing for that or more; up to two parts a shingle."""
+    bits = min(MOST_BITS, max(FEWEST_BITS, len(own).bit_length()))
+    return np.minimum(np.bincount((own >> U(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8).tobytes()
+
+
+def may_share(a: bytes, b: bytes) -> int:
+    """The most that the sets of two sketches can share: the sum over parts of the lesser count."""
+    x, y = (np.frombuffer(k, np.uint8).astype(np.int64) for k in (a, b))
+    for k in (x, y):
+        k[k == 255] = 1 << 40
+    x, y = (k.reshape(min(len(x), len(y)), -1).sum(axis=1) for k in (x, y))
+    return int(np.minimum(x, y).sum())
+
+
+class New:
+    """Whether a set is new to this task, by its digest; a task has no more of them than rows."""
+
+    def __init__(self):
+        self.seen: set[bytes] = set()
+
+    def __call__(self, own: np.ndarray) -> bytes | None:
+        """The digest of a set that is new, else None."""
+        digest = digest_of(own)
+        if digest is None or digest in self.seen:
+            return None
+        self.seen.add(digest)
+        return digest
+
+
+def digest_of(own: np.ndarray) -> bytes | None:
+    return hashlib.blake2b(own, digest_size=16).digest() if len(own) else None
 
 
 def read_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each document its set's size and digest, and the text where the set is new to the task; and rows of shingles that stand out, with counts."""
+    """For each document its set's size and digest; and rows of shingles that stand out, with counts."""
     names = [x.split()[0] for x in READ.split(", ")]
-    seen: set[bytes] = set()
+    new = New()
     block: list[np.ndarray] = []
 
     def standing() -> pa.RecordBatch:
@@ -85,101 +94,152 @@ def read_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block.clear()
         out = counts >= STANDS_OUT
         none = lambda kind: pa.nulls(int(out.sum()), kind)
-        return pa.RecordBatch.from_arrays([none(pa.int64()), none(pa.int64()), none(pa.int32()), none(pa.binary()), none(pa.string()), pa.array(tokens[out].view(np.int64)), pa.array(counts[out])], names)
+        return pa.RecordBatch.from_arrays([none(pa.int64()), none(pa.int64()), none(pa.int32()), none(pa.binary()), pa.array(tokens[out].view(np.int64)), pa.array(counts[out])], names)
 
     for b in sliced(batches):
-        texts = text_bytes(b.column("text"))
-        sets = [shingles(x) for x in texts]
-        digests = [hashlib.blake2b(x.tobytes(), digest_size=16).digest() if len(x) else None for x in sets]
-        new = []
-        for x, digest in zip(sets, digests, strict=True):
-            new.append(digest is not None and digest not in seen)
-            if new[-1]:
-                seen.add(digest)
+        sizes, digests = [], []
+        for x in sets_of(b.column("text")):
+            sizes.append(len(x))
+            digests.append(digest_of(x))
+            if new(x):
                 block.append(x)
         nulls = pa.nulls(len(b), pa.int64())
-        text = pa.array([x if own else None for x, own in zip(texts, new, strict=True)], pa.string())
-        yield pa.RecordBatch.from_arrays([b.column("_uid"), b.column("doc_id"), pa.array(map(len, sets), pa.int32()), pa.array(digests, pa.binary()), text, nulls, nulls], names)
+        yield pa.RecordBatch.from_arrays([b.column("_uid"), b.column("doc_id"), pa.array(sizes, pa.int32()), pa.array(digests, pa.binary()), nulls, nulls], names)
         if sum(map(len, block)) > BLOCK:
             yield standing()
     yield standing()
 
 
-def least_shared(n):
+def least_shared(n: int) -> int:
     """What sets must share at least with a set of n: ceil(0.75 n)."""
     return -(-PERCENT * n // 100)
 
 
 def prefixes(texts: DataFrame, heavy: list[tuple[int, int]]) -> DataFrame:
-    """token, _uid, n, pos, known: the prefixes of the sets, rarest first; known marks shingles that stand out."""
+    """token, _uid, n, pos, known: the prefixes of the sets that are new to their task, rarest first; known marks shingles that stand out."""
     order = sorted(heavy)
-    tokens, counts = np.array([t for t, _ in order], np.int64), np.array([c for _, c in order], np.int64)
-    shared = texts.sparkSession.sparkContext.broadcast((tokens, counts))  # HEAVY pairs of numbers at most
+    shared = texts.sparkSession.sparkContext.broadcast((np.array([t for t, _ in order], np.int64), np.array([c for _, c in order], np.int64)))  # HEAVY pairs of numbers at most
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, counts = shared.value
-        for b in sliced(batches, 256):
-            parts = []
-            for uid, text in zip(b.column("_uid").to_pylist(), text_bytes(b.column("text")), strict=True):
-                own = shingles(text).view(np.int64)
+        new = New()
+        for b in sliced(batches):
+            firsts, sizes, known = [], [], []
+            for own in sets_of(b.column("text")):
+                own = own if new(own) else own[:0]
                 n = len(own)
+                p = n - least_shared(n) + 1 if n else 0
+                own = own.view(np.int64)
                 if len(tokens):
                     at = np.minimum(np.searchsorted(tokens, own), len(tokens) - 1)
                     count = np.where(tokens[at] == own, counts[at], 0)
+                    first = np.argsort(count, kind="stable")[:p]  # by hash where counts are equal
+                    known.append(count[first] > 0)
                 else:
-                    count = np.zeros(n, np.int64)
-                first = np.argsort(count, kind="stable")[: n - least_shared(n) + 1]  # by hash where counts are equal
-                parts.append((own[first], np.full(len(first), uid), np.full(len(first), n, np.int32), np.arange(len(first), dtype=np.int32), count[first] > 0))
-            if parts:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts, strict=True)], ["token", "_uid", "n", "pos", "known"])
+                    first = np.arange(p)
+                    known.append(np.zeros(p, bool))
+                firsts.append(own[first])
+                sizes.append(n)
+            lengths = [len(x) for x in firsts]
+            repeat = lambda x, lengths=lengths: np.repeat(x, lengths)
+            pos = np.arange(sum(lengths), dtype=np.int32) - repeat(np.cumsum([0, *lengths[:-1]]).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.concatenate(firsts), repeat(b.column("_uid").to_numpy()), repeat(np.array(sizes, np.int32)), pos, np.concatenate(known))], ["token", "_uid", "n", "pos", "known"])
 
     return texts.select("_uid", "text").mapInArrow(of, "token long, _uid long, n int, pos int, known boolean")
 
 
-def shared_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by token, those whose token is not alone; a row is held back until the next one is seen."""
-    held = None
-    before = None  # token of the row before the one held back
+def fits(small: np.ndarray, small_pos: np.ndarray, large: np.ndarray, large_pos: np.ndarray) -> np.ndarray:
+    """Length, prefix and positional filters for a shared shingle at these places of sets of these sizes, the smaller first."""
+    least = lambda n: -(-PERCENT * n // (100 + PERCENT))
+    room = 1 + np.minimum(small - small_pos, large - large_pos) - 1
+    return (100 * small >= PERCENT * large) & (small_pos <= small - least(2 * small)) & (room >= least(small + large))
+
+
+def may_link(s: str, t: str) -> str:
+    """The same as SQL."""
+    least = lambda n: f"cast(ceil({PERCENT} * ({n}) / {100 + PERCENT}) as int)"
+    return f"100 * {s}.n >= {PERCENT} * {t}.n and {s}.pos <= {s}.n - {least(f'2 * {s}.n')} and least({s}.n - {s}.pos, {t}.n - {t}.pos) >= {least(f'{s}.n + {t}.n')}"
+
+
+MET = "token long, _uid long, n int, pos int, hub long, other long"
+
+
+def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by token: pairs (hub, other) that pass the filters, of tokens of up to FEW rows, and the rows of tokens of more.
+
+    The rows of the last token of a batch wait for the next batch, unless they are more than FEW already.
+    """
+    names = [x.split()[0] for x in MET.split(", ")]
+    columns = ("token", "_uid", "n", "pos")
+    held, crowded = {k: np.zeros(0, np.int64) for k in columns}, None
+
+    def out(rows: dict[str, np.ndarray], size: np.ndarray) -> Iterator[pa.RecordBatch]:
+        many = size > FEW
+        if many.any():
+            none = pa.nulls(int(many.sum()), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(rows["token"][many]), pa.array(rows["_uid"][many]), pa.array(rows["n"][many].astype(np.int32)), pa.array(rows["pos"][many].astype(np.int32)), none, none], names)
+        few = (size > 1) & ~many
+        t, u, n, p = (rows[k][few] for k in columns)
+        found = []
+        for d in range(1, FEW):
+            if len(t) <= d:
+                break
+            same = np.flatnonzero(t[d:] == t[:-d])
+            a, b = same, same + d
+            swap = (n[a] > n[b]) | ((n[a] == n[b]) & (u[a] > u[b]))
+            s, l = np.where(swap, b, a), np.where(swap, a, b)
+            ok = fits(n[s], p[s], n[l], p[l])
+            found.append(np.stack([u[s[ok]], u[l[ok]]], axis=1))
+        if found and sum(map(len, found)):
+            pairs = np.unique(np.concatenate(found), axis=0)
+            none = pa.nulls(len(pairs), pa.int64())
+            less = pa.nulls(len(pairs), pa.int32())
+            yield pa.RecordBatch.from_arrays([none, none, less, less, pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names)
+
     for b in batches:
-        whole = pa.Table.from_batches([*([held] if held is not None else []), b]).combine_chunks()
-        t = whole.column("token").to_numpy()
+        rows = {k: np.concatenate([held[k], b.column(k).to_numpy().astype(np.int64)]) for k in columns}
+        t = rows["token"]
         if not len(t):
             continue
-        same = t[1:] == t[:-1]
-        keep = np.zeros(len(t), bool)
-        keep[1:] |= same
-        keep[:-1] |= same
-        keep[0] |= before is not None and before == t[0]
-        last = len(t) - 1
-        yield from whole.slice(0, last).filter(pa.array(keep[:last])).to_batches()
-        before, held = (t[last - 1] if last else before), whole.slice(last).to_batches()[0]
-        if keep[last]:  # known to be shared already
-            yield held
-            before, held = t[last], None
-    if held is not None and before is not None and before == held.column("token")[0].as_py():
-        yield held
-
-
-def may_link(small: str, large: str) -> str:
-    """Length, prefix and positional filters for rows of a shared shingle, as SQL; small has the smaller set."""
-    return f"""100 * {small}.n >= {PERCENT} * {large}.n
-        and {small}.pos <= {small}.n - cast(ceil(2 * {PERCENT} * {small}.n / {100 + PERCENT}) as int)
-        and 1 + least({small}.n - {small}.pos - 1, {large}.n - {large}.pos - 1) >= cast(ceil({PERCENT} * ({small}.n + {large}.n) / {100 + PERCENT}) as int)"""
+        starts = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
+        lengths = np.diff(np.concatenate([starts, [len(t)]]))
+        if crowded is not None and t[0] == crowded:
+            lengths_all = np.concatenate([[FEW + lengths[0]], lengths[1:]])
+        else:
+            lengths_all = lengths
+        size = np.repeat(lengths_all, lengths)
+        if size[-1] > FEW:
+            crowded, done = t[-1], len(t)
+        else:
+            crowded, done = None, int(starts[-1])
+        yield from out({k: v[:done] for k, v in rows.items()}, size[:done])
+        held = {k: v[done:] for k, v in rows.items()}
+    yield from out(held, np.full(len(held["token"]), len(held["token"])))
 
 
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
-    """Whether the sets meet the threshold; first by the suffix filter, on the parts below and above b's middle."""
+    """Whether the sets meet the threshold."""
     need = -(-PERCENT * (len(a) + len(b)) // (100 + PERCENT))
     if min(len(a), len(b)) < need:
         return False
-    middle = len(b) // 2
-    cut = int(np.searchsorted(a, b[middle]))
-    if min(cut, middle) + min(len(a) - cut, len(b) - middle) < need:
-        return False
     at = np.minimum(np.searchsorted(a, b), len(a) - 1)
     return int((a[at] == b).sum()) >= need
 
 
+def suffix_filter(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Of pairs (hub, other) those whose sketches allow a link; sketches: _uid, n, sketch."""
+    side = lambda name, n, sk: sketches.select(F.col("_uid").alias(name), F.col("n").alias(n), F.col("sketch").alias(sk))
+    both = pairs.join(side("hub", "na", "ka"), "hub").join(side("other", "nb", "kb"), "other").select("hub", "other", "na", "nb", "ka", "kb")
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in sliced(batches, 2048):
+            need = -(-PERCENT * (b.column("na").to_numpy().astype(np.int64) + b.column("nb").to_numpy()) // (100 + PERCENT))
+            share = [may_share(x, y) for x, y in zip(b.column("ka").to_pylist(), b.column("kb").to_pylist(), strict=True)]
+            yield b.select(["hub", "other"]).filter(pa.array(np.array(share, np.int64) >= need, pa.bool_()))
+
+    return both.mapInArrow(of, "hub long, other long")
+
+
 def verified(pairs: DataFrame, texts: DataFrame, parts: int) -> DataFrame:
     """Of pairs (hub, other) those that link. Each other's text goes to its hub, whose text comes first there; hubs with many are dealt out."""
     sizes = pairs.groupBy("hub").agg(F.ceil(F.count("*") / HUB_ROWS).cast("int").alias("deals"))
@@ -187,81 +247,74 @@ def verified(pairs: DataFrame, texts: DataFrame, parts: int) -> DataFrame:
     hubs = sizes.join(texts.select(F.col("_uid").alias("hub"), "text"), "hub").select("hub", F.explode(F.sequence(F.lit(0), F.col("deals") - 1)).alias("deal"), F.lit(None).cast("long").alias("other"), "text")
     many = sizes.where("deals > 1")  # few: each has HUB_ROWS partners
     rows = rows.join(many, "hub", "left").select("hub", F.pmod(F.xxhash64("other"), F.coalesce("deals", F.lit(1))).cast("int").alias("deal"), "other", "text")
-    met = rows.unionByName(hubs).repartition(parts, "hub", "deal").sortWithinPartitions("hub", "deal", F.col("other").asc_nulls_first())
+    dealt = rows.unionByName(hubs).repartition(parts, "hub", "deal").sortWithinPartitions("hub", "deal", F.col("other").asc_nulls_first())
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = np.zeros(0, U)
-        for b in sliced(batches, 256):
+        for b in sliced(batches):
             out: tuple[list, list] = ([], [])
-            for hub, other, text in zip(b.column("hub").to_pylist(), b.column("other").to_pylist(), text_bytes(b.column("text")), strict=True):
+            for hub, other, x in zip(b.column("hub").to_pylist(), b.column("other").to_pylist(), sets_of(b.column("text")), strict=True):
                 if other is None:
-                    own = shingles(text)
-                elif linked(own, shingles(text)):
+                    own = x
+                elif linked(own, x):
                     out[0].append(hub)
                     out[1].append(other)
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["a", "b"])
 
-    return met.mapInArrow(check, "a long, b long")
+    return dealt.mapInArrow(check, "a long, b long")
 
 
-def join(docs: DataFrame) -> DataFrame:
-    """_uid, doc_id, n_shingles, component (the least _uid reachable by links) for each row of docs as read here."""
-    spark = docs.sparkSession
-    return joined(numbered(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), "_uid"), Scratch(spark, "jaccard"), partitions(spark))
+def met_tokens(texts: DataFrame, heavy: list, parts: int) -> DataFrame:
+    """What `met` gives for the prefixes dealt out by shingle, and the rows of those that stand out, which need no dealing."""
+    tokens = prefixes(texts, [(r["token"], r["df"]) for r in heavy])
+    dealt = tokens.where("not known").select("token", "_uid", "n", "pos").repartition(parts, "token").sortWithinPartitions("token").mapInArrow(met, MET)
+    nothing = F.lit(None).cast("long")
+    return dealt.unionByName(tokens.where("known").select("token", "_uid", "n", "pos", nothing.alias("hub"), nothing.alias("other")))
+
+
+def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in sliced(batches):
+        sets = list(sets_of(b.column("text")))
+        yield pa.RecordBatch.from_arrays([b.column("_uid"), pa.array(map(len, sets), pa.int32()), pa.array(map(sketch, sets), pa.binary()), b.column("text")], ["_uid", "n", "sketch", "text"])
 
 
 def joined(rows: DataFrame, scratch: Scratch, parts: int) -> DataFrame:
-    spark = rows.sparkSession
+    """_uid, doc_id, n_shingles, component (the least _uid reachable by links) for rows of _uid, doc_id, text, which are written already."""
     read = scratch.save(rows.select("_uid", "doc_id", "text").mapInArrow(read_sets, READ), "read")
     sets = read.where("_uid is not null")
     heavy = read.where("token is not null").groupBy("token").agg(F.sum("df").alias("df")).orderBy(F.desc("df"), "token").limit(HEAVY).collect()
 
     # Classes of equal sets, named by their least row.
-    classes = scratch.save(sets.where("digest is not null").groupBy("digest").agg(F.min("_uid").alias("cid")), "classes")
-    members = scratch.save(sets.select("_uid", "doc_id", "n", "digest").join(classes, "digest", "left").select("_uid", "doc_id", "n", F.coalesce("cid", "_uid").alias("cid")), "members")
-
-    tokens = prefixes(sets.where("text is not null").select("_uid", "text"), [(r["token"], r["df"]) for r in heavy])
-    alone = tokens.where("not known").select("token", "_uid", "n", "pos").repartition(parts, "token").sortWithinPartitions("token").mapInArrow(shared_only, "token long, _uid long, n int, pos int")
-    common = scratch.save(alone.unionByName(tokens.where("known").select("token", "_uid", "n", "pos")), "common")
-    places = scratch.save(common.join(members.select("_uid", "cid"), "_uid").groupBy("token", "cid").agg(F.first("n").alias("n"), F.first("pos").alias("pos")), "places")
-    wanted = places.select(F.col("cid").alias("_uid")).distinct()
-    texts = scratch.save(sets.select("_uid", "text").join(wanted, "_uid", "left_semi"), "texts")
-
-    links, tried, labels, n_classes = None, None, None, max(1, wanted.count())
-    for step in range(ROUNDS + 1):
-        now = places if labels is None else places.join(labels, places.cid == labels.id, "left").select("token", "cid", "n", "pos", F.coalesce("comp", "cid").alias("comp"))
-        now = now.withColumn("comp", F.col("cid")) if labels is None else now
-        now = scratch.save(now, f"now{step}")
-        spread = now.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("k"), F.min(F.struct(F.xxhash64("cid", F.lit(step)).alias("h"), "cid", "n", "pos", "comp")).alias("rep")).where("lo < hi")
-        open_ = now.join(spread.select("token", "k", "rep"), "token")
-        crowd = spread.agg(F.sum(F.col("k") * (F.col("k") - 1) / 2)).first()[0] or 0
-        if not crowd:
-            break
-        last = step == ROUNDS or crowd <= CROWDED * n_classes
-        if last:
-            s, t = open_.alias("s"), open_.alias("t")
-            pairs = s.join(t, F.expr(f"s.token = t.token and s.comp <> t.comp and (s.n < t.n or s.n = t.n and s.cid < t.cid) and {may_link('s', 't')}")).select(F.col("s.cid").alias("hub"), F.col("t.cid").alias("other")).distinct()
-        else:
-            star = open_.select("token", "cid", "n", "pos", "comp", "rep").where("comp <> rep.comp")
-            small, large = (star.withColumn("s", F.struct("cid", "n", "pos")).withColumn("t", F.col("rep")), star.withColumn("t", F.struct("cid", "n", "pos")).withColumn("s", F.col("rep")))
-            ok = small.where("s.n < t.n or s.n = t.n and s.cid < t.cid").where(may_link("s", "t")).select("cid", "rep.cid").toDF("other", "hub").unionByName(large.where("s.n < t.n or s.n = t.n and s.cid < t.cid").where(may_link("s", "t")).select("cid", "rep.cid").toDF("other", "hub"))
-            votes = ok.groupBy("other", "hub").count()
-            pairs = votes.groupBy("other").agg(F.max_by("hub", F.struct("count", "hub")).alias("hub")).select("hub", "other")
-        if tried is not None:
-            gone = tried.select(F.least("hub", "other").alias("x"), F.greatest("hub", "other").alias("y")).distinct()
-            pairs = pairs.withColumn("x", F.least("hub", "other")).withColumn("y", F.greatest("hub", "other")).join(gone, ["x", "y"], "left_anti").select("hub", "other")
-        pairs = scratch.save(pairs, f"pairs{step}")
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        found = scratch.save(verified(pairs, texts, parts), f"links{step}")
-        links = found if links is None else links.unionByName(found)
-        labels = components(links, scratch, f"labels{step}")
-        if last:
-            break
-    if labels is None:
-        return members.select("_uid", "doc_id", F.col("n").cast("long").alias("n_shingles"), F.col("cid").alias("component"))
+    classes = sets.where("digest is not null").groupBy("digest").agg(F.min("_uid").alias("cid"))
+    members = scratch.save(sets.join(classes, "digest", "left").select("_uid", "doc_id", "n", F.coalesce("cid", "_uid").alias("cid")), "members")
+
+    common = scratch.save(met_tokens(rows, heavy, parts), "common")
+    release(rows.sparkSession)
+    crowded = common.where("token is not null").select("token", F.struct(F.col("_uid").alias("cid"), "n", "pos").alias("m"))
+    few = scratch.save(common.where("token is null").select("hub", "other").distinct(), "few")
+    wanted = scratch.save(few.select(F.col("hub").alias("_uid")).union(few.select("other")).union(crowded.select("m.cid")).distinct(), "wanted")
+    texts = scratch.save(rows.select("_uid", "text").join(wanted, "_uid", "left_semi").mapInArrow(sketched, "_uid long, n int, sketch binary, text string"), "texts")
+    release(rows.sparkSession)
+
+    # A class that several tasks took has a link from each one's row to its name.
+    copies = members.join(wanted, "_uid", "left_semi").where("cid <> _uid").select(F.col("_uid").alias("a"), F.col("cid").alias("b"))
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        left = scratch.save(suffix_filter(pairs, texts.select("_uid", "n", "sketch")), "left")
+        return verified(left, texts.select("_uid", "text"), parts)
+
+    labels = connect(crowded, few, may_link, verify, scratch, copies, lambda s, t: f"100 * {s}.n >= {PERCENT} * {t}.n")
     return members.join(labels, members.cid == labels.id, "left").select("_uid", "doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("comp", "cid").alias("component"))
 
 
+def join(docs: DataFrame) -> DataFrame:
+    """`joined` for the rows of docs as read here."""
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "jaccard")
+    rows = scratch.save(numbered(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), "_uid"), "rows")
+    return joined(rows, scratch, partitions(spark))
+
+
 def report(docs: DataFrame) -> DataFrame:
     """One row a document: doc_id, n_shingles, component_id (the least doc_id of its component)."""
     found = join(docs)

@@ -1,15 +1,19 @@
 """Components of what shares a token and passes a check, without all pairs of a crowded token.
 
-Candidates come in rounds. In a star round each class is paired with one representative of the tokens that it
-shares, the one that it meets most; pairs that pass are links, classes that links connect are one component, and
-tokens of a single component raise no pairs any more. The last round takes every pair left whose components
-differ and that was not tried, so no link between components is lost, and large groups of near copies cost about
-their size. What is tried twice is never verified twice. All tables between steps are written.
+Tokens of few classes give their pairs at once. For crowded ones candidates come in rounds. In a round each class
+gets a few bands: the least of its tokens by a hash of the round, several to a band. Classes that share a band
+share much, and each is paired with one representative of its bands. Pairs that pass are links, classes that
+links connect are one component, and tokens of a single component are done with. Bands are of many tokens first,
+which only much alike classes share, and of ever fewer later. The last steps take every pair left whose
+components differ and that was not tried: of tokens of few classes, and of crowded ones first those with a few
+pivots among the classes, then with more, then all, when most classes are one component. So no link between
+components is lost, and large groups of near copies cost about their size. All tables between steps are written.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,46 +21,110 @@ from pyspark.sql import functions as F
 from trainloom.llm.common import Scratch
 from trainloom.llm.components import components
 
-#: Star rounds at most, and the pairs a class below which the last round comes at once.
-ROUNDS, CROWDED = 6, 4
+#: A token of more classes is crowded.
+FEW = 8
+#: Tokens of a band in each round, and bands of a class in a round.
+WIDTHS, BANDS = (5, 3), 8
+#: In the last steps, one class in so many is a pivot.
+LEVELS = (32, 4, 1)
+#: Pairs of crowded tokens a row, below which the last step comes at once.
+CROWDED = 4
 
 
-def connect(places: DataFrame, may_link: Callable[[str, str], str], verify: Callable[[DataFrame], DataFrame], scratch: Scratch, classes: int) -> DataFrame | None:
-    """(id, comp) of the classes that have links; None if no token is shared.
+def ordered(may_link: Callable[[str, str], str]) -> Callable[[str, str], str]:
+    """The filter for (smaller, larger) by (n, cid)."""
+    return lambda s, t: f"({s}.n < {t}.n or {s}.n = {t}.n and {s}.cid < {t}.cid) and {may_link(s, t)}"
 
-    places: token, and m, a struct with cid and n among others; a pair's smaller one by (n, cid) is the first of
-    may_link, SQL over two such structs. verify gives links (a, b) for pairs (hub, other).
+
+def all_pairs(places: DataFrame, may_link: Callable[[str, str], str], one_in: int = 1) -> DataFrame:
+    """Distinct pairs (hub, other) of classes that share a token and pass the filter; places has token, m and perhaps comp.
+
+    With one_in, one class in so many is a pivot, and only pairs with a pivot are given.
     """
-    links, tried, labels = None, None, None
-    first = lambda s, t: f"({s}.n < {t}.n or {s}.n = {t}.n and {s}.cid < {t}.cid) and {may_link(s, t)}"
-    for step in range(ROUNDS + 1):
-        now = places.withColumn("comp", F.col("m.cid")) if labels is None else places.join(labels, F.col("m.cid") == labels.id, "left").select("token", "m", F.coalesce("comp", "m.cid").alias("comp"))
-        now = scratch.save(now, f"now{step}")
-        rep: Column = F.min(F.struct(F.xxhash64("m.cid", F.lit(step)).alias("h"), "m", "comp"))
-        spread = now.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("k"), rep.alias("rep")).where("lo < hi")
-        spread = scratch.save(spread.select("token", "k", "rep"), f"spread{step}")
-        crowd = spread.agg(F.sum(F.col("k") * (F.col("k") - 1) / 2)).first()[0] or 0
-        if not crowd:
-            break
-        last = step == ROUNDS or crowd <= CROWDED * classes
-        open_ = now.join(spread, "token")
-        if last:
-            s, t = open_.select("token", F.col("m").alias("s"), F.col("comp").alias("c")), open_.select("token", F.col("m").alias("t"), F.col("comp").alias("d"))
-            pairs = s.join(t, "token").where(f"c <> d and {first('s', 't')}").select(F.col("s.cid").alias("hub"), F.col("t.cid").alias("other")).distinct()
-        else:
-            star = open_.where("comp <> rep.comp").select(F.col("m").alias("x"), F.col("rep.m").alias("y"))
-            star = star.where(f"({first('x', 'y')}) or ({first('y', 'x')})").groupBy(F.col("x.cid").alias("other"), F.col("y.cid").alias("hub")).count()
-            if tried is not None:
-                star = star.join(tried.select("hub", "other"), ["hub", "other"], "left_anti").join(tried.select(F.col("hub").alias("other"), F.col("other").alias("hub")), ["hub", "other"], "left_anti")
-            pairs = star.groupBy("other").agg(F.max_by("hub", F.struct("count", "hub")).alias("hub")).select("hub", "other")
-        if last and tried is not None:
-            pairs = pairs.join(tried.select("hub", "other"), ["hub", "other"], "left_anti").join(tried.select(F.col("hub").alias("other"), F.col("other").alias("hub")), ["hub", "other"], "left_anti")
-        pairs = scratch.save(pairs, f"pairs{step}")
+    first = ordered(may_link)
+    apart_ = "cs <> ct and " if "comp" in places.columns else ""
+    side = lambda name: places.select("token", F.col("m").alias(name), *([F.col("comp").alias(f"c{name}")] if apart_ else []))
+    if one_in == 1:
+        met = side("s").join(side("t"), "token").where(apart_ + first("s", "t"))
+        return met.select(F.col("s.cid").alias("hub"), F.col("t.cid").alias("other")).distinct()
+    pivots = side("s").where(F.pmod(F.xxhash64("s.cid"), F.lit(one_in)) == 0)
+    met = pivots.join(side("t"), "token").where(f"{apart_} s.cid <> t.cid and (({first('s', 't')}) or ({first('t', 's')}))")
+    return met.select(F.least("s.cid", "t.cid").alias("hub"), F.greatest("s.cid", "t.cid").alias("other")).distinct()
+
+
+def untried(pairs: DataFrame, tried: DataFrame | None) -> DataFrame:
+    if tried is None:
+        return pairs
+    gone = tried.select(F.least("hub", "other").alias("x"), F.greatest("hub", "other").alias("y"))
+    return pairs.withColumns({"x": F.least("hub", "other"), "y": F.greatest("hub", "other")}).join(gone, ["x", "y"], "left_anti").select("hub", "other")
+
+
+def apart(pairs: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """Those whose ends are not of one component."""
+    if labels is None:
+        return pairs
+    out = pairs.join(labels.toDF("hub", "ch"), "hub", "left").join(labels.toDF("other", "co"), "other", "left")
+    return out.where(F.coalesce("ch", "hub") != F.coalesce("co", "other")).select("hub", "other")
+
+
+def banded(rows: DataFrame, step: int) -> DataFrame:
+    """band, m, comp: the bands of each class of rows (token, m, comp) in this round; its tokens are no more than its own set has."""
+    width = WIDTHS[step]
+    own = rows.groupBy(F.col("m.cid").alias("cid")).agg(F.first("m").alias("m"), F.first("comp").alias("comp"), F.collect_list("token").alias("tokens")).where(F.size("tokens") >= width)
+    least = [F.slice(F.array_sort(F.transform("tokens", partial(hashed, step * BANDS + k))), 1, width) for k in range(BANDS)]
+    return own.select(F.explode(F.array(*[F.xxhash64(F.lit(k), x) for k, x in enumerate(least)])).alias("band"), "m", "comp")
+
+
+def hashed(seed: int, token: Column) -> Column:
+    return F.xxhash64(token, F.lit(seed))
+
+
+def connect(crowded: DataFrame, few: DataFrame, may_link: Callable[[str, str], str], verify: Callable[[DataFrame], DataFrame], scratch: Scratch, links: DataFrame | None = None, may_star: Callable[[str, str], str] | None = None) -> DataFrame | None:
+    """(id, comp) of the classes that have links; None if there are none at all.
+
+    crowded: token, and m, a struct with cid and n among others, in terms of which may_link is SQL over two
+    such structs, the smaller one by (n, cid) first. few: candidate pairs (hub, other) of the other tokens. verify
+    gives links (a, b) for pairs (hub, other). links: links that are known already. may_star: a filter for the
+    rounds, where may_link says something of the one token and not of the pair.
+    """
+    first = ordered(may_star or may_link)
+    tried = None
+    labels = components(links, scratch, "known") if links is not None else None
+    open_ = crowded
+
+    def reopen(name: str) -> tuple[DataFrame, int, float]:
+        """Rows (token, m, comp, k) of the tokens that still have several components, how many, and the pairs they stand for."""
+        own = open_.select("token", "m")
+        now = own.withColumn("comp", F.col("m.cid")) if labels is None else own.join(labels, F.col("m.cid") == labels.id, "left").select("token", "m", F.coalesce("comp", "m.cid").alias("comp"))
+        now = scratch.save(now, f"now{name}")
+        spread = now.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("k")).where("lo < hi").select("token", "k")
+        out = scratch.save(now.join(spread, "token"), f"open{name}")
+        scratch.drop(f"now{name}")
+        return out, *out.agg(F.count("*"), F.coalesce(F.sum((F.col("k") - 1) / 2), F.lit(0.0))).first()
+
+    def take(pairs: DataFrame, name: str) -> None:
+        """Verifies pairs that were not tried, and labels anew."""
+        nonlocal tried, links, labels
+        pairs = scratch.save(untried(pairs, tried), f"pairs{name}")
         tried = pairs if tried is None else tried.unionByName(pairs)
-        found = scratch.save(verify(pairs), f"links{step}")
+        found = scratch.save(verify(pairs), f"links{name}")
         links = found if links is None else links.unionByName(found)
-        labels = components(links, scratch, f"labels{step}")
-        scratch.drop(f"spread{step}")
+        labels = components(links, scratch, f"labels{name}")
+
+    for step in range(len(WIDTHS)):
+        open_, rows, crowd = reopen(str(step))
+        if crowd <= CROWDED * rows:
+            break
+        bands = scratch.save(banded(open_, step), f"bands{step}")
+        reps = bands.groupBy("band").agg(F.min(F.struct(F.xxhash64("m.cid", F.lit(step)).alias("h"), "m", "comp")).alias("rep"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("band", "rep")
+        star = bands.join(reps, "band").where("comp <> rep.comp").select(F.col("m").alias("x"), F.col("rep.m").alias("y")).where(f"({first('x', 'y')}) or ({first('y', 'x')})")
+        take(star.select(F.col("y.cid").alias("hub"), F.col("x.cid").alias("other")).distinct(), str(step))
+        scratch.drop(f"bands{step}")
+    for level, one_in in enumerate(LEVELS):
+        open_, rows, crowd = reopen(f"-level{level}")
+        last = one_in == 1 or crowd <= CROWDED * rows
+        pairs = all_pairs(open_.select("token", "m", "comp"), may_link, 1 if last else one_in)
+        take(pairs.unionByName(apart(few, labels)).distinct() if level == 0 else pairs, f"-level{level}")
         if last:
             break
     return labels
