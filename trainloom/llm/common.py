@@ -40,14 +40,22 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession, label: str):
+        self.names: set[str] = set()
         self.spark, self.root = spark, f"{shared_dir(spark)}/trainloom-{label}-{uuid.uuid4().hex}"
         atexit.register(self.drop)
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
+        self.names.add(name)
         df.write.mode("overwrite").option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def keep(self, *names: str) -> None:
+        """Drops all tables but these."""
+        for name in self.names - set(names):
+            self.drop(name)
+        self.names &= set(names)
+
     def drop(self, name: str = "") -> None:
         try:
             jvm = self.spark.sparkContext._jvm

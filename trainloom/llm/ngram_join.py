@@ -304,6 +304,8 @@ def joined(rows: DataFrame, scratch: Scratch, parts: int) -> DataFrame:
         return verified(left, texts.select("_uid", "text"), parts)
 
     labels = connect(crowded, few, may_link, verify, scratch, copies, lambda s, t: f"100 * {s}.n >= {PERCENT} * {t}.n")
+    labels = scratch.save(labels, "components")
+    scratch.keep("docs", "members", "components")  # what the result is read from
     return members.join(labels, members.cid == labels.id, "left").select("_uid", "doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("comp", "cid").alias("component"))
 
 

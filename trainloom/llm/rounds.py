@@ -25,10 +25,12 @@ from trainloom.llm.components import components
 FEW = 8
 #: Tokens of a band in each round, and bands of a class in a round.
 WIDTHS, BANDS = (5, 3), 8
-#: In the last steps, one class in so many is a pivot.
-LEVELS = (32, 4, 1)
+#: In the last steps, one class in so many is a pivot, and one token in so many is looked at.
+LEVELS = ((32, 4), (8, 4), (1, 1))
 #: Pairs of crowded tokens a row, below which the last step comes at once.
 CROWDED = 4
+#: Labels, of two numbers each, that are broadcast; more are joined by shuffles.
+FEW_LABELS = 500_000
 
 
 def ordered(may_link: Callable[[str, str], str]) -> Callable[[str, str], str]:
@@ -63,16 +65,28 @@ def apart(pairs: DataFrame, labels: DataFrame | None) -> DataFrame:
     """Those whose ends are not of one component."""
     if labels is None:
         return pairs
-    out = pairs.join(labels.toDF("hub", "ch"), "hub", "left").join(labels.toDF("other", "co"), "other", "left")
+    own = small(labels)
+    out = pairs.join(own.toDF("hub", "ch"), "hub", "left").join(own.toDF("other", "co"), "other", "left")
     return out.where(F.coalesce("ch", "hub") != F.coalesce("co", "other")).select("hub", "other")
 
 
-def banded(rows: DataFrame, step: int) -> DataFrame:
-    """band, m, comp: the bands of each class of rows (token, m, comp) in this round; its tokens are no more than its own set has."""
+def banded(classes: DataFrame, step: int) -> DataFrame:
+    """band, m, comp: the bands of each class (m, comp, tokens) in this round; its tokens are no more than its own set has."""
     width = WIDTHS[step]
-    own = rows.groupBy(F.col("m.cid").alias("cid")).agg(F.first("m").alias("m"), F.first("comp").alias("comp"), F.collect_list("token").alias("tokens")).where(F.size("tokens") >= width)
     least = [F.slice(F.array_sort(F.transform("tokens", partial(hashed, step * BANDS + k))), 1, width) for k in range(BANDS)]
-    return own.select(F.explode(F.array(*[F.xxhash64(F.lit(k), x) for k, x in enumerate(least)])).alias("band"), "m", "comp")
+    return classes.where(F.size("tokens") >= width).select(F.explode(F.array(*[F.xxhash64(F.lit(k), x) for k, x in enumerate(least)])).alias("band"), "m", "comp")
+
+
+def labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """rows (with m) and comp, the component of the class."""
+    if labels is None:
+        return rows.withColumn("comp", F.col("m.cid"))
+    return rows.join(small(labels), F.col("m.cid") == F.col("id"), "left").withColumn("comp", F.coalesce("comp", "m.cid")).drop("id")
+
+
+def small(labels: DataFrame) -> DataFrame:
+    """labels, to be broadcast if they are few."""
+    return F.broadcast(labels) if labels.count() <= FEW_LABELS else labels
 
 
 def hashed(seed: int, token: Column) -> Column:
@@ -90,16 +104,13 @@ def connect(crowded: DataFrame, few: DataFrame, may_link: Callable[[str, str], s
     first = ordered(may_star or may_link)
     tried = None
     labels = components(links, scratch, "known") if links is not None else None
-    open_ = crowded
+    open_ = crowded.select("token", "m")
 
     def reopen(name: str) -> tuple[DataFrame, int, float]:
         """Rows (token, m, comp, k) of the tokens that still have several components, how many, and the pairs they stand for."""
-        own = open_.select("token", "m")
-        now = own.withColumn("comp", F.col("m.cid")) if labels is None else own.join(labels, F.col("m.cid") == labels.id, "left").select("token", "m", F.coalesce("comp", "m.cid").alias("comp"))
-        now = scratch.save(now, f"now{name}")
+        now = labelled(open_.select("token", "m"), labels)
         spread = now.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("k")).where("lo < hi").select("token", "k")
         out = scratch.save(now.join(spread, "token"), f"open{name}")
-        scratch.drop(f"now{name}")
         return out, *out.agg(F.count("*"), F.coalesce(F.sum((F.col("k") - 1) / 2), F.lit(0.0))).first()
 
     def take(pairs: DataFrame, name: str) -> None:
@@ -111,20 +122,23 @@ def connect(crowded: DataFrame, few: DataFrame, may_link: Callable[[str, str], s
         links = found if links is None else links.unionByName(found)
         labels = components(links, scratch, f"labels{name}")
 
-    for step in range(len(WIDTHS)):
-        open_, rows, crowd = reopen(str(step))
-        if crowd <= CROWDED * rows:
-            break
-        bands = scratch.save(banded(open_, step), f"bands{step}")
-        reps = bands.groupBy("band").agg(F.min(F.struct(F.xxhash64("m.cid", F.lit(step)).alias("h"), "m", "comp")).alias("rep"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("band", "rep")
-        star = bands.join(reps, "band").where("comp <> rep.comp").select(F.col("m").alias("x"), F.col("rep.m").alias("y")).where(f"({first('x', 'y')}) or ({first('y', 'x')})")
-        take(star.select(F.col("y.cid").alias("hub"), F.col("x.cid").alias("other")).distinct(), str(step))
-        scratch.drop(f"bands{step}")
-    for level, one_in in enumerate(LEVELS):
-        open_, rows, crowd = reopen(f"-level{level}")
+    open_, rows, crowd = reopen("")
+    if crowd > CROWDED * rows:
+        classes = scratch.save(open_.groupBy(F.col("m.cid").alias("cid")).agg(F.first("m").alias("m"), F.collect_list("token").alias("tokens")), "classes-crowded")
+        for step in range(len(WIDTHS)):
+            bands = scratch.save(banded(labelled(classes, labels), step), f"bands{step}")
+            reps = bands.groupBy("band").agg(F.min(F.struct(F.xxhash64("m.cid", F.lit(step)).alias("h"), "m", "comp")).alias("rep"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("band", "rep")
+            star = bands.join(reps, "band").where("comp <> rep.comp").select(F.col("m").alias("x"), F.col("rep.m").alias("y")).where(f"({first('x', 'y')}) or ({first('y', 'x')})")
+            take(star.select(F.col("y.cid").alias("hub"), F.col("x.cid").alias("other")).distinct(), str(step))
+            scratch.drop(f"bands{step}")
+        scratch.drop("classes-crowded")
+        open_, rows, crowd = reopen("-banded")
+    for level, (one_in, token_in) in enumerate(LEVELS):
         last = one_in == 1 or crowd <= CROWDED * rows
-        pairs = all_pairs(open_.select("token", "m", "comp"), may_link, 1 if last else one_in)
+        own = open_ if last or token_in == 1 else open_.where(F.pmod(F.xxhash64("token"), F.lit(token_in)) == 0)
+        pairs = all_pairs(own.select("token", "m", "comp"), may_link, 1 if last else one_in)
         take(pairs.unionByName(apart(few, labels)).distinct() if level == 0 else pairs, f"-level{level}")
         if last:
             break
+        open_, rows, crowd = reopen(f"-level{level}")
     return labels
