@@ -100,3 +100,51 @@ def test_giant_lines(spark, monkeypatch):
 
 def test_empty(empty):
     assert ngram_join.report(empty).count() == 0 and ngram_join.keep_one(empty).count() == 0 and line_dedup.dedup(empty).count() == 0
+
+
+def near(a, b):
+    """Whether the edit similarity is 0.9 or more."""
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, last = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+    return 10 * row[-1] <= max(len(a), len(b))
+
+
+def recall(spark, pairs):
+    """Of pairs of lines that are near, the share of which one line goes; no pair is like another one."""
+    pairs = [(a, b) for a, b in pairs if a != b and near(a, b)]
+    docs = spark.createDataFrame([(i, f"{a}\n{b}") for i, (a, b) in enumerate(pairs)], "doc_id long, text string")
+    found = [r["n_dropped"] for r in line_dedup.dedup(docs).collect()]
+    assert len(pairs) > 20 and set(found) <= {0, 1}
+    return sum(found) / len(pairs)
+
+
+def test_lines_recall(spark):
+    """Against brute-force edit similarity: a word replaced, characters replaced anywhere, short lines, lines of one long word."""
+    rng = random.Random(5)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    line = lambda k: [word(rng.randint(3, 7)) for _ in range(k)]
+
+    def replaced(words):
+        own, i = list(words), rng.randrange(len(words))
+        own[i] = word(len(own[i]))
+        return " ".join(words), " ".join(own)
+
+    def scattered(text, edits):
+        own = list(text)
+        for _ in range(edits):
+            i, kind = rng.randrange(len(own)), rng.randrange(3)
+            own[i : i + (kind > 0)] = [word(1)] if kind < 2 else []
+        return text, "".join(own)
+
+    assert recall(spark, [replaced(line(k)) for k in (12, 20, 40) for _ in range(40)]) == 1
+    assert recall(spark, [scattered(x := " ".join(line(rng.randint(2, 6)))[:39].strip(), max(1, len(x) // 10)) for _ in range(150)]) == 1
+    assert recall(spark, [scattered(x := " ".join(line(rng.randint(9, 30))), len(x) // 10) for _ in range(100)]) > 0.85
+    assert recall(spark, [scattered(word(80), 5) for _ in range(40)]) > 0.95
+
+
+def test_short_lines_are_fuzzy(spark):
+    docs = spark.createDataFrame([(1, "Copyright 2023 Example Inc\nall others"), (2, "Copyright 2024 Example Inc")], "doc_id long, text string")
+    assert {r["doc_id"]: r["text"] for r in line_dedup.dedup(docs).collect()} == {1: "Copyright 2023 Example Inc\nall others", 2: ""}
