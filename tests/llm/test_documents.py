@@ -102,6 +102,26 @@ def test_main_text(html, text):
     assert html_text.main_text(html) == text
 
 
+PROSE = "A sentence of ordinary length that stands here as content of the page."
+
+
+def test_index_of_equal_articles():
+    texts = [f"{PROSE} Number {i}." for i in range(10, 22)]
+    assert html_text.main_text("<body>" + "".join(f"<article><p>{x}</p></article>" for x in texts) + "</body>") == " ".join(texts)
+
+
+def test_index_of_unequal_articles():
+    texts = [PROSE * 6] + [f"{PROSE} {PROSE} Number {i}." for i in range(10, 22)]
+    text = html_text.main_text("<body>" + "".join(f"<article><p>{x}</p></article>" for x in texts) + "</body>")
+    assert all(x in text for x in texts)
+
+
+def test_article_beside_longer_text():
+    rest = " ".join(f"{PROSE} Part {i}." for i in range(20))
+    text = html_text.main_text(f"<body><div><p>{rest}</p><p>{rest}</p></div><article><p>{PROSE}</p></article></body>")
+    assert f"{rest} {rest}" in text and text.endswith(PROSE)
+
+
 def test_pages(spark):
     rows = [(i, None if i else "u", h) for i, (h, _) in enumerate(PAGES)] + [(None, "u", "<" * 2000)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")

@@ -3,8 +3,9 @@
 The standard library's parser streams events. Block-level tags end a line (a block of text); each line has its
 ratio of text to tags, where text in links and in what is no article by its tag, role, id or class counts
 nothing. The ratios are smoothed by a Gaussian, and lines above the ratios' standard deviation cluster into
-content regions. The smallest element that holds all regions' lines, no smaller than an article, is the
-content; its lines are the text, short ones too, without excluded elements.
+content regions. If article and main elements hold half of the regions' text or more, each that holds a region is
+content, else the smallest element that holds all regions' lines; the lines of what is content are the text, short
+ones too, without excluded elements.
 
 Null, empty and textless pages give an empty text. Unclosed and stray tags are taken as browsers do, roughly: an
 end tag closes what is open inside its element, one without a start is ignored. Pages with equal or null ids are
@@ -159,20 +160,22 @@ def main_text(html: str | None) -> str:
     ratios = smooth([max(0, len(text) - x.linked) / x.tags for x, text in lines])
     limit = pstdev(ratios)
     content = [i for i, r in enumerate(ratios) if r > limit] or list(range(len(lines)))
-    # The deepest element that holds all content lines, but for at most a tenth of their text when that makes it an article.
     weight: dict[Element, float] = {}
     for i in content:
         for x in above(lines[i][0].element):
             weight[x] = weight.get(x, 0) + len(lines[i][1])
     whole = weight[reader.open[0]]
-    articles = [x for x in weight if x.tag in WHOLE]
-    if articles:
-        top = max(articles, key=lambda x: (weight[x], x.tag == "article"))
-        rivals = [x for x in articles if x.tag == "article" and weight[x] > 0.1 * whole]
-        # One article that has most of the content is the page's; with several alike, the page is all of them.
-        held = {id(x) for x in rivals} if top.tag == "article" and weight[top] < 0.6 * whole else {id(top)}
+    # Every article with content is held, and a main element that has content beside articles.
+    held, marked = set(), 0
+    for i in content:
+        path = above(lines[i][0].element)
+        if best := next((x for x in path if x.tag == "article"), None) or next((x for x in path if x.tag == "main"), None):
+            held.add(id(best))
+            marked += len(lines[i][1])
+    if 2 * marked >= whole:
         inside = [any(id(x) in held for x in above(line.element)) for line, _ in lines]
     else:
+        # Most content stands in no such element, so the tag does not tell where it is.
         path = above(lines[content[0]][0].element)
         top = max((x for x in path if weight[x] >= whole), key=path.index)
         inside = [any(x is top for x in above(line.element)) for line, _ in lines]
