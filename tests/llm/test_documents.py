@@ -122,6 +122,12 @@ def test_article_beside_longer_text():
     assert f"{rest} {rest}" in text and text.endswith(PROSE)
 
 
+@pytest.mark.parametrize("broken", ["<![foo[b]]>", "<![ x]>", "<![]>", "<![foo"])
+def test_reading_goes_on_after_a_broken_declaration(broken):
+    text = html_text.main_text(f"a{broken}<p>{PROSE}</p><p>d")
+    assert text.startswith("a") and text.endswith(f"{PROSE} d" if broken.endswith(">") else "d")
+
+
 def test_pages(spark):
     rows = [(i, None if i else "u", h) for i, (h, _) in enumerate(PAGES)] + [(None, "u", "<" * 2000)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")

@@ -65,6 +65,12 @@ class Reader(HTMLParser):
         else:
             line.element, line.heading = self.open[-1], False
 
+    def parse_html_declaration(self, i: int) -> int:
+        try:
+            return super().parse_html_declaration(i)
+        except AssertionError:  # of the parser, at a marked section of no known name: a comment up to the next >, as in browsers
+            return self.parse_bogus_comment(i)
+
     def unwanted(self, tag: str, attrs: list) -> bool:
         if tag in DROPPED:
             # An article's own header has its headings; they are no page header.
@@ -149,11 +155,8 @@ def main_text(html: str | None) -> str:
     if not html:
         return ""
     reader = Reader()
-    try:
-        reader.feed(html)
-        reader.close()
-    except AssertionError:  # of the parser, at broken declarations: what came before them counts
-        pass
+    reader.feed(html)
+    reader.close()
     lines = [(x, text) for x in reader.lines if (text := " ".join("".join(x.parts).split())) and not x.element.dropped]
     if not lines:
         return ""
