@@ -1,4 +1,5 @@
 import re
+import textwrap
 from collections import Counter
 
 import numpy as np
@@ -147,6 +148,21 @@ def test_licenses(spark):
     assert "apache" in found[4]["labels"] and found[5]["labels"] == "" and found[6]["labels"] == "reserved"
 
 
+def test_wrapped_licenses(spark):
+    """Every template, wrapped at 30 columns with comment marks, has its label; so has the usual BSD header; scattered words have none."""
+    wrapped = [(label, "x y\n" + "\n".join(" * " + x for x in textwrap.wrap(t, 30)) + "\nz") for label, t in license_scan.TEMPLATES]
+    bsd = "Copyright\n\nRedistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:"
+    apart = "\n".join(w + " filler" * 30 for w in license_scan.TEMPLATES[7][1].split())
+    texts = [t for _, t in wrapped] + [bsd, apart]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r["doc_id"]: r for r in license_scan.scan(docs).collect()}
+    for i, (label, _) in enumerate(wrapped):
+        assert label in found[i]["labels"].split(",") and found[i]["score"] == 1
+    n = len(wrapped)
+    assert (found[n]["labels"], found[n]["score"], found[n]["matches"][0]["block"]) == ("bsd", 1.0, 2)
+    assert (found[n + 1]["labels"], found[n + 1]["score"]) == ("", 0.0)
+
+
 def test_license_edges(docs, odd, empty):
     assert license_scan.report(docs).count() == len(ROWS) == license_scan.report(odd).count() and license_scan.report(empty).count() == 0
 

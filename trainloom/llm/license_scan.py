@@ -1,6 +1,7 @@
 """License scans by an exact set-similarity join of text blocks and templates, in DataFrame functions only.
 
-Blocks are the lines of a text. A template is a short list of words; a block matches if it holds at least
+Blocks are the lines of a text, and windows as long as the template over the words of the whole text, so that
+notices which are wrapped over lines count. A template is a short list of words; a block matches if it holds at least
 THRESHOLD of the template's distinct words (containment). Words are ordered by how many blocks of all documents
 hold them, rarest first. A block that lacks at most k of a template's words has one of its k + 1 rarest (prefix
 filter), has as many template words as must be shared (length filter), and, from the first shared word on, both
@@ -83,7 +84,8 @@ def shares(own: Column, template: list[str], threshold: float) -> Column:
 def scan(docs: DataFrame, templates: tuple = TEMPLATES, phrases: dict[str, str] = PHRASES, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, matches for each row.
 
-    matches has the block number, label and containment of every block and template that meet the threshold;
+    matches has the block number, label and containment of every line and template that meet the threshold, and
+    where a window over several lines holds more than any line, of the best one, by the line that it starts in;
     score is the largest containment, or 1 where a phrase stands.
     """
     vocabulary = sorted({w for _, t in templates for w in t.split()})
@@ -105,8 +107,18 @@ def scan(docs: DataFrame, templates: tuple = TEMPLATES, phrases: dict[str, str]
 
     lines = F.filter(F.transform(F.split("_text", "\n"), lambda x, i: F.struct(i.alias("block"), x.alias("line"))), lambda x: F.regexp_like(x["line"], F.lit(r"(?i)(?<![a-z0-9])(?:" + "|".join(rarest) + r")(?![a-z0-9])")))
     out = out.withColumn("_blocks", barrier(F.transform(lines, lambda x: F.struct(x["block"].alias("block"), template_words(spread, words(lower(x["line"]))).alias("own")))))
-    pairs = [F.transform("_blocks", partial(pair, label, t, threshold)) for label, t in ordered]
-    out = out.withColumn("matches", barrier(F.filter(F.concat(*pairs), lambda m: m["containment"] > 0)))
+    # Windows are looked at in texts that hold enough of a template at all, its rarest words in whatever lines.
+    blocked, nothing = F.size("_blocks") > 0, F.array().cast("array<string>")
+    out = out.withColumn("_all", barrier(F.when(blocked & F.contains("_text", F.lit("\n")), words(lower("_text"))).otherwise(nothing)))
+    out = out.withColumn("_own", barrier(template_words(spread, F.col("_all"))))
+    for i, (label, t) in enumerate(ordered):
+        lines_ = F.filter(F.transform("_blocks", partial(pair, label, t, threshold)), lambda m: m["containment"] > 0)
+        out = out.withColumn(f"_lines{i}", barrier(lines_))
+        most = F.coalesce(F.array_max(F.col(f"_lines{i}.containment")), F.lit(0.0))
+        out = out.withColumn(f"_spans{i}", barrier(F.when((most < 1) & (shares(F.col("_own"), t, threshold) > 0), window(t, len(templates[i][1].split()), threshold)).otherwise(F.lit(None))))
+        out = out.withColumn(f"_spans{i}", barrier(F.when(F.col(f"_spans{i}.containment") > most, F.col(f"_spans{i}"))))
+    found = [F.when(F.col(f"_spans{i}").isNull(), F.col(f"_lines{i}")).otherwise(F.concat(f"_lines{i}", F.array(F.struct(line_of(F.col(f"_spans{i}.at")).alias("block"), F.lit(label).alias("label"), F.col(f"_spans{i}.containment").alias("containment"))))) for i, (label, _) in enumerate(ordered)]
+    out = out.withColumn("matches", barrier(F.concat(*found)))
     more = F.transform("matches", lambda m: m["label"])
     joined = lambda x: F.array_join(F.array_sort(F.array_distinct(x)), ",")
     score = F.greatest(F.when(F.size("_at") > 0, 1.0).otherwise(0.0), F.coalesce(F.array_max(F.transform("matches", lambda m: m["containment"])), F.lit(0.0)))
@@ -126,5 +138,22 @@ def pair(label: str, template: list[str], threshold: float, block: Column) -> Co
     return F.struct(block["block"].alias("block"), F.lit(label).alias("label"), shares(block["own"], template, threshold).alias("containment"))
 
 
+def window(template: list[str], length: int, threshold: float) -> Column:
+    """containment and at of the first best window of so many words of the text that holds enough of the template; null if none does."""
+    own = F.array(*map(F.lit, template))
+    # A window may start with a word of the template; the text's end cuts the last ones.
+    starts = F.filter(F.sequence(F.lit(1), F.greatest(F.size("_all"), F.lit(1))), lambda i: F.array_contains(own, F.get("_all", i - 1)))
+    held = F.transform(starts, lambda i: F.struct(F.size(F.array_intersect(F.slice("_all", i, length), own)).alias("held"), (-i).alias("back")))
+    best = F.array_max(held)
+    return F.when(best["held"] >= need(len(template), threshold), F.struct((best["held"] / F.lit(len(template))).alias("containment"), (-best["back"]).alias("at")))
+
+
+def line_of(at: Column) -> Column:
+    """The number of the line that has the text's word at this place, counted from 1."""
+    upto = F.transform(F.split("_text", "\n"), lambda x: F.size(words(lower(x))))
+    sums = F.aggregate(upto, F.struct(F.lit(0).alias("words"), F.lit(0).alias("line")), lambda s, n: F.struct((s["words"] + n).alias("words"), (s["line"] + F.when(s["words"] + n < at, 1).otherwise(0)).alias("line")))
+    return sums["line"]
+
+
 def report(docs: DataFrame) -> DataFrame:
     return scan(docs).drop("matches")
