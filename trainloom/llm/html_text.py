@@ -8,7 +8,8 @@ content, else the smallest element that holds all regions' lines; the lines of w
 ones too, without excluded elements.
 
 Null, empty and textless pages give an empty text. Unclosed and stray tags are taken as browsers do, roughly: an
-end tag closes what is open inside its element, one without a start is ignored. Pages with equal or null ids are
+end tag closes what is open inside its element, one without a start is ignored, and of a tag or comment that never
+ends nothing is text. Time grows with a page's length, however deep its elements are. Pages with equal or null ids are
 read as they stand; other columns are ignored; an empty table gives no rows. One page is in memory at a time.
 """
 
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 from statistics import pstdev
@@ -37,10 +39,14 @@ SIGMA = 1.0
 
 
 class Element:
-    __slots__ = ("dropped", "parent", "tag")
+    """article and main: the outermost ones that the element is or stands in. weight: of the content inside. inside: whether its lines are text."""
+
+    __slots__ = ("article", "dropped", "inside", "main", "parent", "tag", "weight")
 
     def __init__(self, tag: str, parent: Element | None, dropped: bool):
-        self.tag, self.parent, self.dropped = tag, parent, dropped
+        self.tag, self.parent, self.dropped, self.weight, self.inside = tag, parent, dropped, 0, False
+        self.article = (parent and parent.article) or (self if tag == "article" else None)
+        self.main = (parent and parent.main) or (self if tag == "main" else None)
 
 
 class Line:
@@ -56,7 +62,9 @@ class Reader(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.open = [Element("html", None, False)]
-        self.lines, self.links = [Line(self.open[0])], 0
+        self.elements = list(self.open)  # in page order, so parents come first
+        self.counts: Counter[str] = Counter()  # of open elements by tag
+        self.lines, self.links, self.junk = [Line(self.open[0])], 0, False
 
     def cut(self) -> None:
         line = self.lines[-1]
@@ -67,21 +75,43 @@ class Reader(HTMLParser):
 
     def parse_html_declaration(self, i: int) -> int:
         try:
-            return super().parse_html_declaration(i)
+            return self.whole(super().parse_html_declaration(i))
         except AssertionError:  # of the parser, at a marked section of no known name: a comment up to the next >, as in browsers
-            return self.parse_bogus_comment(i)
+            return self.whole(self.parse_bogus_comment(i))
+
+    def whole(self, end: int) -> int:
+        """What has no end is no text, up to the end of the page, as in browsers."""
+        return len(self.rawdata) if end < 0 else end
+
+    def parse_comment(self, i: int, report: int = 1) -> int:
+        return self.whole(super().parse_comment(i, report))
+
+    def parse_pi(self, i: int) -> int:
+        return self.whole(super().parse_pi(i))
+
+    def parse_endtag(self, i: int) -> int:
+        return self.whole(super().parse_endtag(i))
+
+    def parse_starttag(self, i: int) -> int:
+        self.junk = True  # the parser gives a broken tag as data
+        end = super().parse_starttag(i)
+        self.junk = False
+        return self.whole(end)
 
     def unwanted(self, tag: str, attrs: list) -> bool:
         if tag in DROPPED:
             # An article's own header has its headings; they are no page header.
-            return not (tag == "header" and any(x.tag in WHOLE for x in self.open))
+            return not (tag == "header" and self.whole_open())
         marks = " ".join(v for k, v in attrs if k in ("class", "id") and v).lower()
         if marks and tag not in ("html", "body", "main"):
             found = MARKS.intersection(re.split(r"[^a-z0-9]+", marks))
-            if found and not (found == {"header"} and any(x.tag in WHOLE for x in self.open)):
+            if found and not (found == {"header"} and self.whole_open()):
                 return True
         return any((k == "role" and (v or "").lower() in ROLES) or k == "hidden" for k, v in attrs)
 
+    def whole_open(self) -> bool:
+        return bool(self.counts["article"] or self.counts["main"])
+
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag in INLINE:
             self.lines[-1].tags += 1
@@ -93,11 +123,13 @@ class Reader(HTMLParser):
             self.lines[-1].tags += 1
             return
         if tag in ("p", "li", "dt", "dd", "tr", "td", "th") and self.open[-1].tag == tag:
-            self.open.pop()
-        if tag in WHOLE and not self.unwanted(tag, attrs) and any(x.tag in ("nav", "menu") for x in self.open):
+            self.counts[self.open.pop().tag] -= 1
+        if tag in WHOLE and (self.counts["nav"] or self.counts["menu"]) and not self.unwanted(tag, attrs):
             self.close_to(next(i for i, x in enumerate(self.open) if x.tag in ("nav", "menu")))
         self.links = 0 if tag not in INLINE else self.links
         self.open.append(Element(tag, self.open[-1], self.open[-1].dropped or self.unwanted(tag, attrs)))
+        self.elements.append(self.open[-1])
+        self.counts[tag] += 1
         self.cut()
         self.lines[-1].tags += 1
         self.lines[-1].heading = tag in HEADINGS
@@ -108,6 +140,7 @@ class Reader(HTMLParser):
             self.links -= tag == "a" and self.links > 0
 
     def close_to(self, depth: int) -> None:
+        self.counts.subtract(x.tag for x in self.open[depth:])
         del self.open[depth:]
         self.links = 0
         self.cut()
@@ -116,6 +149,8 @@ class Reader(HTMLParser):
         self.lines[-1].tags += 1
         if tag == "a":
             self.links = max(0, self.links - 1)
+        if not self.counts[tag]:
+            return
         for i in range(len(self.open) - 1, 0, -1):
             if self.open[i].tag == tag:
                 self.close_to(i)
@@ -124,6 +159,8 @@ class Reader(HTMLParser):
                 return
 
     def handle_data(self, data: str) -> None:
+        if self.junk:
+            return
         line = self.lines[-1]
         if not line.parts:
             if data.isspace():
@@ -142,15 +179,6 @@ def smooth(values: list[float], sigma: float = SIGMA) -> list[float]:
     return [sum(w * x for w, x in zip(kernel, padded[i : i + 2 * reach + 1], strict=True)) / whole for i in range(len(values))]
 
 
-def above(element: Element) -> list[Element]:
-    """From the root down to the element."""
-    out = []
-    while element is not None:
-        out.append(element)
-        element = element.parent
-    return out[::-1]
-
-
 def main_text(html: str | None) -> str:
     if not html:
         return ""
@@ -163,29 +191,31 @@ def main_text(html: str | None) -> str:
     ratios = smooth([max(0, len(text) - x.linked) / x.tags for x, text in lines])
     limit = pstdev(ratios)
     content = [i for i, r in enumerate(ratios) if r > limit] or list(range(len(lines)))
-    weight: dict[Element, float] = {}
-    for i in content:
-        for x in above(lines[i][0].element):
-            weight[x] = weight.get(x, 0) + len(lines[i][1])
-    whole = weight[reader.open[0]]
-    # Every article with content is held, and a main element that has content beside articles.
-    held, marked = set(), 0
+    held, marked, whole = set(), 0, 0
     for i in content:
-        path = above(lines[i][0].element)
-        if best := next((x for x in path if x.tag == "article"), None) or next((x for x in path if x.tag == "main"), None):
-            held.add(id(best))
-            marked += len(lines[i][1])
-    if 2 * marked >= whole:
-        inside = [any(id(x) in held for x in above(line.element)) for line, _ in lines]
-    else:
+        element, size = lines[i][0].element, len(lines[i][1])
+        element.weight += size
+        whole += size
+        # Every article with content is held, and a main element that has content beside articles.
+        if best := element.article or element.main:
+            held.add(best)
+            marked += size
+    for x in reversed(reader.elements[1:]):
+        x.parent.weight += x.weight
+    top = None
+    if 2 * marked < whole:
         # Most content stands in no such element, so the tag does not tell where it is.
-        path = above(lines[content[0]][0].element)
-        top = max((x for x in path if weight[x] >= whole), key=path.index)
-        inside = [any(x is top for x in above(line.element)) for line, _ in lines]
-        first = inside.index(True)
-        while first and lines[first - 1][0].heading:
-            first -= 1
-            inside[first] = True
+        top = lines[content[0]][0].element
+        while top.weight < whole:
+            top = top.parent
+        held = {top}
+    for x in reader.elements:
+        x.inside = x in held or (x.parent is not None and x.parent.inside)
+    inside = [line.element.inside for line, _ in lines]
+    first = inside.index(True)
+    while top and first and lines[first - 1][0].heading:
+        first -= 1
+        inside[first] = True
     return " ".join(text for (_, text), take in zip(lines, inside, strict=True) if take)
 
 
