@@ -1,16 +1,18 @@
 """License scans by an exact set-similarity join of text blocks and templates, in DataFrame functions only.
 
-Blocks are the lines of a text, and windows as long as the template over the words of the whole text, so that
-notices which are wrapped over lines count. A template is a short list of words; a block matches if it holds at least
-THRESHOLD of the template's distinct words (containment). Words are ordered by how many blocks of all documents
-hold them, rarest first. A block that lacks at most k of a template's words has one of its k + 1 rarest (prefix
-filter), has as many template words as must be shared (length filter), and, from the first shared word on, both
-must still have enough words (positional filter). Templates are a fixed handful, so the join's small side is
-part of the plan and no row moves but the word counts.
+Blocks are all runs of SPAN times as many words as a template has, over the words of the whole text, so neither line
+breaks nor the length of lines matter, and words that stand far apart make no match. A template is a short list of
+words; a block matches if it holds at least THRESHOLD of the template's distinct words (containment). Words are
+ordered by how many texts hold them, rarest first. What lacks at most k of a template's words has one of its k + 1
+rarest (prefix filter), has as many template words as must be shared (length filter), and, from the first shared
+word on, both must still have enough words (positional filter): first whole texts must pass, then blocks must have
+a word of the prefix, then their words are counted. Templates are a fixed handful, so the join's small side is part
+of the plan and no row moves but the word counts.
 
 Phrases are counted besides, as places where their words stand consecutively. Null and empty texts have no
-words, no places and no labels. Rows with equal or null doc_ids are scanned as they stand; other columns are
-ignored; an empty table gives no rows.
+words, no places and no labels; very long ones are scanned whole, block by block. Of equally good blocks of a template
+the first is told. Rows with equal or null doc_ids are scanned as they stand; other columns are ignored; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 
 from trainloom.llm.quality_rules import barrier
 
-THRESHOLD = 0.85
+THRESHOLD, SPAN = 0.85, 2
 #: Words are runs of ASCII letters and digits and of all that is not ASCII.
 APART = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Phrases of the contract and their labels.
@@ -56,10 +58,9 @@ def words(text: Column) -> Column:
 
 
 def rarity(docs: DataFrame, vocabulary: list[str]) -> dict[str, int]:
-    """Of each template word, how many blocks of all documents hold it; blocks without one are passed over."""
-    blocks = docs.select(F.explode(F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), "\n")).alias("line"))
-    found = blocks.select(F.explode(F.array_distinct(F.filter(words(lower("line")), lambda w: w.isin(vocabulary)))).alias("word"))
-    counts = {r["word"]: r["n"] for r in found.groupBy("word").agg(F.count("*").alias("n")).collect()}  # a row a template word
+    """Of each template word, how many texts hold it."""
+    own = F.array_intersect(F.array(*map(F.lit, vocabulary)), F.split(lower(F.coalesce(F.col("text").cast("string"), F.lit(""))), APART))
+    counts = {r["word"]: r["n"] for r in docs.select(F.explode(own).alias("word")).groupBy("word").agg(F.count("*").alias("n")).collect()}  # a row a template word
     return {w: counts.get(w, 0) for w in vocabulary}
 
 
@@ -67,26 +68,23 @@ def need(n: int, threshold: float) -> int:
     return max(1, math.ceil(threshold * n - 1e-9))
 
 
-def shares(own: Column, template: list[str], threshold: float) -> Column:
-    """The share of the template (rarest first) that a block with these template words (rarest first) holds, if it passes the filters; else 0."""
+def passes(own: Column, template: list[str], threshold: float) -> Column:
+    """Whether words (rarest first) pass the length, prefix and positional filters for the template (rarest first)."""
     n, least = len(template), need(len(template), threshold)
-    prefix = template[: n - least + 1]
-    # With the first shared word at i of the template and j of the block, no more than what follows both can be shared.
+    # With the first shared word at i of the template and j of the words, no more than what follows both can be shared.
     room = F.lit(0)
-    for i, w in reversed(list(enumerate(prefix))):
+    for i, w in reversed(list(enumerate(template[: n - least + 1]))):
         j = F.array_position(own, w).cast("int")
         room = F.when(j > 0, F.least(F.lit(n - i), F.size(own) - j + 1)).otherwise(room)
-    passes = (F.size(own) >= least) & F.arrays_overlap(own, F.array(*map(F.lit, prefix))) & (room >= least)
-    held = F.size(F.array_intersect(own, F.array(*map(F.lit, template))))
-    return F.when(passes & (held >= least), held / F.lit(n)).otherwise(F.lit(0.0))
+    return (F.size(own) >= least) & (room >= least) & (F.size(F.array_intersect(own, F.array(*map(F.lit, template)))) >= least)
 
 
 def scan(docs: DataFrame, templates: tuple = TEMPLATES, phrases: dict[str, str] = PHRASES, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, matches for each row.
 
-    matches has the block number, label and containment of every line and template that meet the threshold, and
-    where a window over several lines holds more than any line, of the best one, by the line that it starts in;
-    score is the largest containment, or 1 where a phrase stands.
+    matches has, for each template that a block meets the threshold with, its label, the containment of the best
+    block, and the word and the line at which the first such block starts; score is the largest containment, or 1
+    where a phrase stands.
     """
     vocabulary = sorted({w for _, t in templates for w in t.split()})
     counts = rarity(docs, vocabulary)
@@ -105,20 +103,15 @@ def scan(docs: DataFrame, templates: tuple = TEMPLATES, phrases: dict[str, str]
     base = [F.when(F.size(f"_at{i}") > 0, F.lit(label)) for i, label in enumerate(phrases.values())]
     out = out.withColumn("_base", barrier(F.array_compact(F.array(*base))))
 
-    lines = F.filter(F.transform(F.split("_text", "\n"), lambda x, i: F.struct(i.alias("block"), x.alias("line"))), lambda x: F.regexp_like(x["line"], F.lit(r"(?i)(?<![a-z0-9])(?:" + "|".join(rarest) + r")(?![a-z0-9])")))
-    out = out.withColumn("_blocks", barrier(F.transform(lines, lambda x: F.struct(x["block"].alias("block"), template_words(spread, words(lower(x["line"]))).alias("own")))))
-    # Windows are looked at in texts that hold enough of a template at all, its rarest words in whatever lines.
-    blocked, nothing = F.size("_blocks") > 0, F.array().cast("array<string>")
-    out = out.withColumn("_all", barrier(F.when(blocked & F.contains("_text", F.lit("\n")), words(lower("_text"))).otherwise(nothing)))
-    out = out.withColumn("_own", barrier(template_words(spread, F.col("_all"))))
+    # Texts without any word of a prefix are done with.
+    may = F.regexp_like("_text", F.lit(r"(?i)(?<![a-z0-9\x80-\x{10FFFF}])(?:" + "|".join(rarest) + r")(?![a-z0-9\x80-\x{10FFFF}])"))
+    out = out.withColumn("_all", barrier(F.when(may, words(lower("_text"))).otherwise(F.array().cast("array<string>"))))
+    out = out.withColumn("_own", barrier(F.array_intersect(spread, "_all")))
     for i, (label, t) in enumerate(ordered):
-        lines_ = F.filter(F.transform("_blocks", partial(pair, label, t, threshold)), lambda m: m["containment"] > 0)
-        out = out.withColumn(f"_lines{i}", barrier(lines_))
-        most = F.coalesce(F.array_max(F.col(f"_lines{i}.containment")), F.lit(0.0))
-        out = out.withColumn(f"_spans{i}", barrier(F.when((most < 1) & (shares(F.col("_own"), t, threshold) > 0), window(t, len(templates[i][1].split()), threshold)).otherwise(F.lit(None))))
-        out = out.withColumn(f"_spans{i}", barrier(F.when(F.col(f"_spans{i}.containment") > most, F.col(f"_spans{i}"))))
-    found = [F.when(F.col(f"_spans{i}").isNull(), F.col(f"_lines{i}")).otherwise(F.concat(f"_lines{i}", F.array(F.struct(line_of(F.col(f"_spans{i}.at")).alias("block"), F.lit(label).alias("label"), F.col(f"_spans{i}.containment").alias("containment"))))) for i, (label, _) in enumerate(ordered)]
-    out = out.withColumn("matches", barrier(F.concat(*found)))
+        best = block(t, SPAN * len(templates[i][1].split()), threshold)
+        out = out.withColumn(f"_best{i}", barrier(F.when(passes(F.col("_own"), t, threshold), best)))
+    found = [F.when(F.col(f"_best{i}").isNotNull(), F.struct(F.lit(label).alias("label"), F.col(f"_best{i}.containment").alias("containment"), (F.col(f"_best{i}.at") - 1).cast("long").alias("word"), line_of(F.col(f"_best{i}.at")).alias("line"))) for i, (label, _) in enumerate(ordered)]
+    out = out.withColumn("matches", barrier(F.array_compact(F.array(*found))))
     more = F.transform("matches", lambda m: m["label"])
     joined = lambda x: F.array_join(F.array_sort(F.array_distinct(x)), ",")
     score = F.greatest(F.when(F.size("_at") > 0, 1.0).otherwise(0.0), F.coalesce(F.array_max(F.transform("matches", lambda m: m["containment"])), F.lit(0.0)))
@@ -129,23 +122,15 @@ def stands(phrase: list[str], i: Column) -> Column:
     return reduce(lambda a, b: a & b, [F.coalesce(F.get("_words", i + k) == w, F.lit(False)) for k, w in enumerate(phrase)])
 
 
-def template_words(spread: Column, own: Column) -> Column:
-    """Those of spread that the block has, in its order."""
-    return F.array_intersect(spread, own)
-
-
-def pair(label: str, template: list[str], threshold: float, block: Column) -> Column:
-    return F.struct(block["block"].alias("block"), F.lit(label).alias("label"), shares(block["own"], template, threshold).alias("containment"))
-
-
-def window(template: list[str], length: int, threshold: float) -> Column:
-    """containment and at of the first best window of so many words of the text that holds enough of the template; null if none does."""
-    own = F.array(*map(F.lit, template))
-    # A window may start with a word of the template; the text's end cuts the last ones.
-    starts = F.filter(F.sequence(F.lit(1), F.greatest(F.size("_all"), F.lit(1))), lambda i: F.array_contains(own, F.get("_all", i - 1)))
+def block(template: list[str], length: int, threshold: float) -> Column:
+    """containment and at of the first best block of so many words of the text that holds enough of the template; null if none does."""
+    least = need(len(template), threshold)
+    own, prefix = (F.array(*map(F.lit, x)) for x in (template, template[: len(template) - least + 1]))
+    # The best blocks may start with a word of the template; the text's end cuts the last ones.
+    starts = F.filter(F.sequence(F.lit(1), F.greatest(F.size("_all"), F.lit(1))), lambda i: F.array_contains(own, F.get("_all", i - 1)) & F.arrays_overlap(F.slice("_all", i, length), prefix))
     held = F.transform(starts, lambda i: F.struct(F.size(F.array_intersect(F.slice("_all", i, length), own)).alias("held"), (-i).alias("back")))
     best = F.array_max(held)
-    return F.when(best["held"] >= need(len(template), threshold), F.struct((best["held"] / F.lit(len(template))).alias("containment"), (-best["back"]).alias("at")))
+    return F.when(best["held"] >= least, F.struct((best["held"] / F.lit(len(template))).alias("containment"), (-best["back"]).alias("at")))
 
 
 def line_of(at: Column) -> Column:

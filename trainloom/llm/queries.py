@@ -77,7 +77,30 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 WORDS4 = ", ".join(f"'{w}'" for w in url_filter.BAD_WORDS)
 RULES4 = " UNION ALL ".join(f"SELECT '{v}' AS verdict, '{r}' AS rule, '{r.partition('/')[0]}' AS rule_host, '/{r.partition('/')[2]}' AS rule_path" for v, r in url_filter.RULES)
 
+
+
+
+def license_sql() -> str:
+    """The license scan by plain counting: every block of every text against every template."""
+    places = " UNION ALL ".join(f"SELECT rid, '{label}' AS label, unnest(list_filter(range(1, len(w) + 1), lambda i: {' AND '.join(f"w[i + {k}] = '{x}'" for k, x in enumerate(phrase.split()))})) - 1 AS spot FROM d" for phrase, label in license_scan.PHRASES.items())
+    templates = ", ".join(f"('{label}', {sorted(set(t.split()))}, {license_scan.SPAN * len(t.split())}, {license_scan.need(len(set(t.split())), license_scan.THRESHOLD)})" for label, t in license_scan.TEMPLATES)
+    return rf"""
+        WITH d AS (SELECT row_number() OVER () AS rid, doc_id,
+                          list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{license_scan.APART}'), lambda x: x <> '') AS w FROM documents),
+        places AS ({places}),
+        base AS (SELECT rid, count(*) AS n_base, min(spot) AS first_word, max(spot) AS last_word, list(DISTINCT label) AS labels FROM places GROUP BY rid),
+        templates AS (SELECT * FROM (VALUES {templates}) AS v(label, words, span, least)),
+        held AS (SELECT rid, label, len(words) AS n, least, list_max(list_transform(list_filter(range(1, len(w) + 1), lambda i: list_contains(words, w[i])), lambda i: len(list_intersect(w[i:i + span - 1], words)))) AS best FROM d CROSS JOIN templates),
+        found AS (SELECT rid, list(DISTINCT label) AS labels, max(best / n::DOUBLE) AS most FROM held WHERE best >= least GROUP BY rid)
+        SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
+               coalesce(array_to_string(list_sort(base.labels), ','), '') AS base_labels,
+               coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(found.labels, [])))), ','), '') AS labels,
+               greatest(CASE WHEN n_base > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END, coalesce(most, 0.0::DOUBLE)) AS score
+        FROM d LEFT JOIN base USING (rid) LEFT JOIN found USING (rid)"""
+
+
 ORACLE: dict[str, str] = {
+    "op8_license_scan": license_sql(),
     "op3_exact_dedup": r"""
         WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS h FROM documents)
         SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY h) AS group_size,
