@@ -1,5 +1,8 @@
+import math
+import random
 import re
 import textwrap
+import time
 from collections import Counter
 
 import numpy as np
@@ -129,6 +132,55 @@ def test_reading_goes_on_after_a_broken_declaration(broken):
     assert text.startswith("a") and text.endswith(f"{PROSE} d" if broken.endswith(">") else "d")
 
 
+@pytest.mark.parametrize("broken", ["<!--", "<!-- x <b>y</b>", "<?", "</div", "<div class='x", "<!doctype", "<![if", "</", "<a<b<c "])
+def test_no_markup_of_what_never_ends(broken):
+    text = html_text.main_text(f"<article><p>real text here</p>{broken * 3}")
+    assert text.startswith("real text here") and "!--" not in text and "div" not in text and "<a" not in text and "doctype" not in text
+
+
+@pytest.mark.parametrize("page", ["<div>some text " * 50_000, "<!--" * 250_000, "<div class=x " * 80_000, "<p>a</div>" * 60_000, "<div><span>" * 30_000 + "</i></b></span>" * 30_000, "<?" * 300_000, "</x" * 300_000, "<div>" * 30_000 + "</table>" * 30_000])
+def test_time_grows_with_the_page(page):
+    """Deep, broken and long pages of up to 1 MB in seconds."""
+    start = time.process_time()
+    html_text.main_text(f"<article><p>{PROSE}</p></article>{page}")
+    assert time.process_time() - start < 20
+
+
+def brute_region(sizes, tags, sigma=1.0):
+    """Ratio, Gaussian smoothing over two standard deviations and threshold, as loops: which lines are content."""
+    ratio = [a / b for a, b in zip(sizes, tags, strict=True)]
+    kernel = {k: math.exp(-k * k / (2 * sigma**2)) for k in range(-2, 3)}
+    smooth = [sum(w * (ratio[i + k] if 0 <= i + k < len(ratio) else 0) for k, w in kernel.items()) / sum(kernel.values()) for i in range(len(ratio))]
+    mean = sum(smooth) / len(smooth)
+    limit = math.sqrt(sum((x - mean) ** 2 for x in smooth) / len(smooth))
+    return [x > limit for x in smooth]
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_regions_against_brute_force(seed):
+    """Of flat pages without articles, what stands between the first and last content line is text: each line is an element of its own block."""
+    rng = random.Random(seed)
+    short = [rng.randint(1, 8) for _ in range(rng.randint(0, 12))], [rng.randint(1, 8) for _ in range(rng.randint(0, 12))]
+    sizes = [*short[0], *[rng.randint(120, 300) for _ in range(rng.randint(2, 6))], *short[1]]
+    lines = [("w" * 6 + " ") * (n // 7) + "x" * (n % 7 or 1) for n in sizes]
+    lines = [" ".join(x.split()) for x in lines]
+    region = brute_region([len(x) for x in lines], [2] * len(lines))
+    reader = html_text.Reader()
+    reader.feed("".join(f"<p>{x}</p>" for x in lines))
+    reader.close()
+    got = [(x, t) for x in reader.lines if (t := " ".join("".join(x.parts).split()))]
+    assert [t for _, t in got] == lines
+    ratios = html_text.smooth([len(t) / x.tags for x, t in got])
+    found = [r > html_text.pstdev(ratios) for r in ratios]
+    want = brute_region([len(t) for _, t in got], [x.tags for x, _ in got])
+    assert found == want and any(region)
+    inner = len(short[0]), len(lines) - len(short[1])
+    page = "".join(f"<p>{x}</p>" for x in lines[: inner[0]]) + "<div>" + "".join(f"<p>{x}</p>" for x in lines[inner[0] : inner[1]]) + "</div>" + "".join(f"<p>{x}</p>" for x in lines[inner[1] :])
+    content = [i for i, x in enumerate(want) if x]
+    text = html_text.main_text(page)
+    assert all(lines[i] in text for i in content)
+
+
 def test_pages(spark):
     rows = [(i, None if i else "u", h) for i, (h, _) in enumerate(PAGES)] + [(None, "u", "<" * 2000)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
@@ -148,6 +200,35 @@ def test_licenses(spark):
     assert "apache" in found[4]["labels"] and found[5]["labels"] == "" and found[6]["labels"] == "reserved"
 
 
+def brute_containment(text, template, span):
+    """The largest share of the template's distinct words in any run of span times as many words."""
+    own, want, length = [x for x in re.split(license_scan.APART, "".join(c.lower() if c.isascii() else c for c in text)) if x], set(template.split()), span * len(template.split())
+    return max((len(want & set(own[i : i + length])) for i in range(len(own))), default=0) / len(want)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_containment_against_brute_force(spark, seed):
+    """Random templates over few words, so that blocks hold any share of them; lines are cut at random places."""
+    rng = random.Random(seed)
+    words = [f"w{i}" for i in range(30)]
+    templates = tuple((f"t{i}", " ".join(rng.choices(words, k=rng.randint(2, 12)))) for i in range(6))
+    texts = ["".join(rng.choice(words) + rng.choice([" ", "\n", ", "]) for _ in range(rng.randint(0, 120))) for _ in range(40)]
+    texts += [" ".join(x for x in t.split() if rng.random() > 0.1) for _, t in templates]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in license_scan.scan(docs, templates).collect():
+        shares = {label: brute_containment(texts[r["doc_id"]], t, license_scan.SPAN) for label, t in templates}
+        want = {k: x for k, x in shares.items() if x >= license_scan.THRESHOLD}
+        assert {m["label"]: m["containment"] for m in r["matches"]} == want and r["score"] == max(want.values(), default=0)
+
+
+def test_scattered_words_are_no_license(spark):
+    rng = random.Random(1)
+    line = [*(f"x{i}" for i in range(3000)), *"licensed under cc by nc all rights reserved released the mit".split()]
+    rng.shuffle(line)
+    found = license_scan.report(spark.createDataFrame([(1, " ".join(line))], "doc_id long, text string")).first()
+    assert (found["labels"], found["score"]) == ("", 0.0)
+
+
 def test_wrapped_licenses(spark):
     """Every template, wrapped at 30 columns with comment marks, has its label; so has the usual BSD header; scattered words have none."""
     wrapped = [(label, "x y\n" + "\n".join(" * " + x for x in textwrap.wrap(t, 30)) + "\nz") for label, t in license_scan.TEMPLATES]
@@ -159,7 +240,7 @@ def test_wrapped_licenses(spark):
     for i, (label, _) in enumerate(wrapped):
         assert label in found[i]["labels"].split(",") and found[i]["score"] == 1
     n = len(wrapped)
-    assert (found[n]["labels"], found[n]["score"], found[n]["matches"][0]["block"]) == ("bsd", 1.0, 2)
+    assert (found[n]["labels"], found[n]["score"], found[n]["matches"][0]["line"]) == ("bsd", 1.0, 2)
     assert (found[n + 1]["labels"], found[n + 1]["score"]) == ("", 0.0)
 
 
