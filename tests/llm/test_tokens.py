@@ -6,7 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tests.llm.conftest import ROWS
-from trainloom.llm import byte_bpe, packing
+from trainloom.llm import byte_bpe, packing, tokens
 
 public = pytest.importorskip("public_tokenizers")
 tiktoken = pytest.importorskip("tiktoken")
@@ -77,6 +77,31 @@ def test_pieces_rebuild_documents(docs):
     assert all(report[p["sequence_id"]] == zlib.crc32(bytes(p["ids"])) for p in pieces)
 
 
+def test_memory_of_pieces_is_bounded():
+    """By bytes, within one text too; long pieces are never kept. Ids do not change."""
+    kept = tokens.Remembered(lambda x: x * 4, most=20_000)
+    for k in range(3):
+        pieces = [b"%d" % (i % 700) for i in range(5_000)] + [b"y" * 1_000_000, b"%d" % k]
+        assert kept.ids(pieces) == b"".join(x * 4 for x in pieces)
+        held = [*kept.items(), *kept.old.items()]
+        assert sum(tokens.ENTRY + len(a) + len(b) for a, b in held) <= 2 * 20_000 + 1000 and max(len(a) for a, _ in held) <= tokens.LONGEST
+
+
+def test_very_long_pieces():
+    """A text that nothing splits: unspaced script, and one long word."""
+    library = tokenizers.Tokenizer.from_file(WORDS)
+    library.encode_special_tokens = True
+    for text in ("日本語" * 20_000, "abcdefghij" * 10_000, "ab" * 10 + " " * 50_000 + "x"):
+        assert ids(byte_bpe.Encoder.of(BPE, public.PATTERN).ids(text)) == LIBRARY.encode_ordinary(text)
+        assert ids(packing.Encoder.of(WORDS).ids(text.encode())) == library.encode(text, add_special_tokens=False).ids
+
+
+def test_clashing_columns(docs, odd):
+    same = lambda f: sorted(map(repr, f(docs).collect())) == sorted(map(repr, f(odd).collect()))
+    assert same(lambda d: byte_bpe.round_trip(d, BPE, public.PATTERN))
+    assert same(lambda d: packing.report(d, WORDS).drop("sequence_id"))
+
+
 @given(st.integers(0, 20000))
 def test_cuts(n):
     own = packing.cuts(n)

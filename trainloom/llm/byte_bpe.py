@@ -8,7 +8,8 @@ ids are read off backwards. An append adds entries and touches none; an edit kee
 `Text` holds a whole text as pieces and re-splits only around an append or edit. The DataFrame operator
 encodes each distinct piece once in a while in a worker and joins ids.
 
-Null is an empty text with no ids. Rows with equal or null doc_ids are encoded as they stand; other columns
+Null is an empty text with no ids. A very long text is encoded whole, in one task; of a very long piece the table is
+in memory, and what a worker remembers of short ones is bounded by bytes. Rows with equal or null doc_ids are encoded as they stand; other columns
 are ignored; an empty table gives no rows.
 """
 

@@ -4,36 +4,35 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-#: Distinct pieces in a generation of what a Python worker remembers. Bounds memory, not results.
-REMEMBERED = 500_000
+#: Bytes in a generation of what a Python worker remembers, counting ENTRY for an entry besides its piece and ids. Bounds memory, not results.
+REMEMBERED, ENTRY = 64 << 20, 160
+#: Longer pieces, in bytes or characters, are encoded anew each time: they hardly come twice.
+LONGEST = 64
 
 
-class Generation(dict):
-    """Looks a missing piece up in the old generation, then encodes it."""
+class Remembered(dict):
+    """piece -> its ids as little-endian unsigned 32-bit integers, by encode for those not remembered.
 
-    def __init__(self, encode: Callable, old: dict):
+    When a generation is full it becomes the old one; what is used again moves to the new one, the rest goes
+    when that is full in turn. So common pieces are never encoded again, and two generations bound memory.
+    """
+
+    def __init__(self, encode: Callable, most: int = REMEMBERED, longest: int = LONGEST):
         super().__init__()
-        self.encode, self.old = encode, old
+        self.encode, self.most, self.longest, self.size, self.old = encode, most, longest, 0, {}
 
     def __missing__(self, piece) -> bytes:
+        if len(piece) > self.longest:
+            return self.encode(piece)
         found = self.old.get(piece)
         if found is None:
             found = self.encode(piece)
+        self.size += ENTRY + (len(piece) if isinstance(piece, bytes) else 4 * len(piece)) + len(found)
+        if self.size > self.most:
+            self.old, self.size = self.copy(), 0
+            self.clear()
         self[piece] = found
         return found
 
-
-class Remembered:
-    """bytes of a piece -> its ids as little-endian unsigned 32-bit integers, by encode for those not remembered.
-
-    When a generation is full it becomes the old one; what is used again moves to the new one, the rest goes
-    when that is full in turn. So common pieces are never encoded again.
-    """
-
-    def __init__(self, encode: Callable, most: int = REMEMBERED):
-        self.encode, self.most, self.known = encode, most, Generation(encode, {})
-
     def ids(self, pieces: list) -> bytes:
-        if len(self.known) > self.most:
-            self.known = Generation(self.encode, dict(self.known))
-        return b"".join(map(self.known.__getitem__, pieces))
+        return b"".join(map(self.__getitem__, pieces))
