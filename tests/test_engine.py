@@ -83,9 +83,33 @@ def test_filters(spark, text, ids):
     assert found == ids
 
 
+def test_rule_files():
+    text = """
+        default = "Unsorted"
+        [[rule]]
+        metric = "n"
+        op = "<"
+        value = 40
+        label = "noise"
+        [[rule]]
+        metric = "x"
+        op = "|>="
+        value = 0.25
+        label = "MUA"
+        name = "large"
+        all = [{ metric = "n", op = ">", value = 7 }, { metric = "x", op = "!=", value = 3.5 }]
+    """
+    found, default = rules.parse_rules(text, ("n", "x"))
+    assert default == "unsorted" and rules.parse_rules("", ()) == ([], None)
+    assert found == [rules.Rule("noise", (("n", "<", 40.0),), "r0"), rules.Rule("mua", (("x", "|>=", 0.25), ("n", ">", 7.0), ("x", "!=", 3.5)), "large")]
+    for old, new in (("= 40", "= nan"), ("= 40", '= "40"'), ('"<"', '"<>"'), ('"noise"', '"what"'), ("Unsorted", "none"), ('metric = "n", op', 'metric = "m", op')):
+        with pytest.raises(ValueError):
+            rules.parse_rules(text.replace(old, new), ("n", "x"))
+
+
 def test_rules_and_texts(spark):
     with pytest.raises(ValueError):
-        rules.parse_rules('[[rule]]\nlabel = "good"\nwhen = [["nope", ">", 1]]', ("n",))
+        rules.parse_rules('[[rule]]\nlabel = "good"\nmetric = "nope"\nop = ">"\nvalue = 1', ("n",))
     row = spark.createDataFrame([([1, 2, 3, 7, 9, 10],)], "ids array<long>")
     assert row.select(rules.runs(F.col("ids")).alias("r")).first()["r"] == "1-3,7,9-10"
     assert rules.quantise(0.4999, [0.5]) == "0.4999" and rules.quantise(0.1234, [0.5]) == "0.12" and rules.quantise(math.nan, []) == "-"

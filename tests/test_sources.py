@@ -10,14 +10,14 @@ from trainloom.sources import formats, readers
 
 @pytest.fixture
 def phy(tmp_path):
-    """Six unsorted spikes of three clusters, and eight samples of four channels."""
-    np.save(tmp_path / "spike_times.npy", np.array([10, 50, 30, 100, 200, 150], np.int64))
-    np.save(tmp_path / "spike_clusters.npy", np.array([0, 1, 0, 2, 1, 0], np.uint32))
-    (tmp_path / "cluster_group.tsv").write_text("cluster_id\tgroup\n0\tgood\n2\tnoise\n")
-    (tmp_path / "cluster_depth.tsv").write_text("cluster_id\tdepth\n0\t12.5\n1\t7\n")
-    (tmp_path / "cluster_word.tsv").write_text("cluster_id\tword\n0\tabc\n")
-    (np.arange(8)[:, None] * 10 + np.arange(4)).astype("<i2").tofile(tmp_path / "rec.dat")
-    (tmp_path / "params.py").write_text("dat_path = 'rec.dat'\nn_channels_dat = 4\ndtype = 'int16'\noffset = 0\nsample_rate = 30000.  # Hz\nhp_filtered = False\n")
+    """Nine spikes of units 3, 8 and 11, not in order of time, and a recording of 12 samples of 3 channels that count down."""
+    np.save(tmp_path / "spike_times.npy", np.array([7, 2, 25, 90, 31, 64, 58, 77, 40], np.int64))
+    np.save(tmp_path / "spike_clusters.npy", np.array([3, 8, 3, 11, 8, 3, 8, 11, 3], np.uint32))
+    (tmp_path / "cluster_group.tsv").write_text("cluster_id\tgroup\n8\tmua\n11\tgood\n")
+    (tmp_path / "cluster_snr.tsv").write_text("cluster_id\tsnr\n3\t4.25\n8\t9\n")
+    (tmp_path / "cluster_remark.tsv").write_text("cluster_id\tremark\n11\tlook again\n")
+    (500 - 3 * np.arange(12)[:, None] - np.arange(3)).astype("<i2").tofile(tmp_path / "rec.dat")
+    (tmp_path / "params.py").write_text("dat_path = 'rec.dat'\nn_channels_dat = 3\ndtype = 'int16'\noffset = 0\nsample_rate = 20000.  # Hz\nhp_filtered = False\n")
     return tmp_path
 
 
@@ -25,21 +25,22 @@ def test_phy_folder(spark, phy):
     assert formats.detect(str(phy)) == "phy"
     found = readers.open_phy(spark, str(phy))
     times = {r["cluster_id"]: sorted(r["t"]) for r in found["spikes"].groupBy("cluster_id").agg(F.collect_list("t").alias("t")).collect()}
-    assert times == {0: [10, 30, 150], 1: [50, 200], 2: [100]}
+    assert times == {3: [7, 25, 40, 64], 8: [2, 31, 58], 11: [77, 90]}
     rows = {r["cluster_id"]: r for r in found["clusters"].collect()}
-    assert [rows[k]["label"] for k in range(3)] == ["good", "unsorted", "noise"]
-    assert rows[0]["metrics"] == {"depth": 12.5} and rows[2]["metrics"] == {}
+    assert sorted(rows) == list(range(12)) and {k: r["label"] for k, r in rows.items() if r["label"] != "unsorted"} == {8: "mua", 11: "good"}
+    assert rows[3]["metrics"] == {"snr": 4.25} and rows[11]["metrics"] == {}
     trace = {r["t"]: list(r["samples"]) for r in found["trace"].collect()}
-    assert len(trace) == 8 and trace[3] == [30, 31, 32, 33]
+    assert len(trace) == 12 and trace[5] == [485, 484, 483]
 
 
 def test_phy_save_and_reopen(spark, phy):
     found = readers.open_phy(spark, str(phy))
-    merged = found["spikes"].withColumn("cluster_id", F.when(F.col("cluster_id") == 0, 2).otherwise(F.col("cluster_id"))).repartition(3)
-    readers.save_phy(merged, found["clusters"].withColumn("label", F.when(F.col("cluster_id") == 1, "noise").otherwise(F.col("label"))), str(phy))
-    assert np.load(phy / "spike_clusters.npy").tolist() == [2, 1, 2, 2, 1, 2]
+    merged = found["spikes"].withColumn("cluster_id", F.when(F.col("cluster_id") == 3, 11).otherwise(F.col("cluster_id"))).repartition(3)
+    readers.save_phy(merged, found["clusters"].withColumn("label", F.when(F.col("cluster_id") == 8, "noise").otherwise(F.col("label"))), str(phy))
+    assert np.load(phy / "spike_clusters.npy").tolist() == [11, 8, 11, 11, 8, 11, 8, 11, 11]
     assert not list(phy.glob("*.part*"))
-    assert formats.group_labels(str(phy / "cluster_group.tsv")) == {0: "good", 1: "noise", 2: "noise"}
+    labels = formats.group_labels(str(phy / "cluster_group.tsv"))
+    assert labels[8] == "noise" and labels[11] == "good"
 
 
 def test_lengths_must_agree(spark, phy):

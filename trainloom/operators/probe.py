@@ -20,10 +20,6 @@ window C T0 T1
 split C by=amp|time [at=X]
 eval merge A B .."""
 
-#: Arguments and options of each probe.
-SHAPES = {"acg": (1, ("win", "bin")), "ccg": (2, ("win", "bin")), "compare": (2, ()), "window": (3, ()), "split": (1, ("by", "at"))}
-
-
 @dataclass(frozen=True)
 class Probe:
     op: str
@@ -32,50 +28,52 @@ class Probe:
     by: str = ""
 
 
-def number(text: str) -> float:
-    x = float(text)
-    if not math.isfinite(x):
-        raise ValueError(f"bad number {text}")
+@dataclass(frozen=True)
+class Form:
+    """What a probe is made of: how many clusters, numbers after them, options with what they are without being given, and words to choose from."""
+
+    clusters: int
+    numbers: tuple[str, ...] = ()
+    options: tuple[tuple[str, float | None], ...] = ()
+    choices: tuple[str, ...] = ()
+
+
+#: Probes, and what their numbers must fulfil: pairs of which the first is below the second, or equal to it where it may be.
+CURVE = (("win", 50.0), ("bin", 1.0))
+FORMS = {"acg": Form(1, options=CURVE), "ccg": Form(2, options=CURVE), "compare": Form(2), "window": Form(1, numbers=("start", "end")), "split": Form(1, options=(("at", None),), choices=("amp", "time"))}
+RANGES = {"bin": lambda x: 0 < x["bin"] <= x["win"], "end": lambda x: 0 <= x["start"] < x["end"]}
+
+
+def finite(text: str) -> float:
+    if not math.isfinite(x := float(text)):
+        raise ValueError(f"{text} is no finite number")
     return x
 
 
 def parse(text: str) -> Probe:
     """A probe, or ValueError that says what is wrong. Windows and bins are in milliseconds, times in seconds."""
-    words = text.split()
-    if not words:
-        raise ValueError("an empty query")
-    op, rest = words[0], words[1:]
-    if op == "eval":
-        if rest[:1] != ["merge"] or len(set(rest[1:])) < 2:
-            raise ValueError("eval merge takes two clusters or more")
-        return Probe("merge", tuple(int(x) for x in rest[1:]))
-    if op not in SHAPES:
-        raise ValueError(f"unknown probe {op}")
-    count, known = SHAPES[op]
-    given = [w for w in rest if "=" not in w]
-    options = dict(w.split("=", 1) for w in rest if "=" in w)
-    if len(given) != count:
-        raise ValueError(f"{op} takes {count} arguments, got {len(given)}")
-    if extra := [k for k in options if k not in known]:
-        raise ValueError(f"unknown option {extra[0]} for {op}")
-    if op in ("acg", "ccg"):
-        window, width = number(options.get("win", "50")), number(options.get("bin", "1"))
-        if not 0 < width <= window:
-            raise ValueError("need 0 < bin <= win")
-        ids = tuple(int(x) for x in given)
-        if len(set(ids)) < len(ids):
-            raise ValueError("the ccg of a cluster with itself is its acg")
-        return Probe(op, ids, {"win": window, "bin": width})
-    if op == "window":
-        start, end = number(given[1]), number(given[2])
-        if not 0 <= start < end:
-            raise ValueError("need 0 <= T0 < T1")
-        return Probe(op, (int(given[0]),), {"start": start, "end": end})
-    if op == "split":
-        if options.get("by") not in ("amp", "time"):
-            raise ValueError("split by amp or time")
-        return Probe(op, (int(given[0]),), {"at": number(options["at"])} if "at" in options else {}, options["by"])
-    return Probe(op, tuple(int(x) for x in given))
+    if merge := re.fullmatch(r"\s*eval\s+merge((?:\s+\d+)+)\s*", text):
+        ids = tuple(map(int, merge[1].split()))
+        if len(set(ids)) == 1:
+            raise ValueError("one cluster alone cannot be merged")
+        return Probe("merge", ids)
+    op, *words = text.split() or [""]
+    form = FORMS.get(op)
+    if form is None:
+        raise ValueError(f"no probe is called '{op}'; there are:\n{GRAMMAR}")
+    plain, named = [w for w in words if "=" not in w], dict(w.split("=", 1) for w in words if "=" in w)
+    by = named.pop("by", "") if form.choices else ""
+    if len(plain) != form.clusters + len(form.numbers) or named.keys() - dict(form.options) or (form.choices and by not in form.choices):
+        raise ValueError(f"'{text}' is not of the form: {next(x for x in GRAMMAR.splitlines() if x.startswith(op))}")
+    ids = tuple(map(int, plain[: form.clusters]))
+    values = {k: finite(x) for k, x in zip(form.numbers, plain[form.clusters :], strict=True)}
+    values |= {k: finite(named[k]) if k in named else x for k, x in form.options if k in named or x is not None}
+    for k, holds in RANGES.items():
+        if k in values and not holds(values):
+            raise ValueError(f"{k} is out of range: {values}")
+    if op == "ccg" and len(set(ids)) < 2:
+        raise ValueError("a cluster's correlogram with itself is asked for by acg")
+    return Probe(op, ids, values, by)
 
 
 def run(spikes: DataFrame, probe: Probe, total: int, rate: float, refractory: int) -> DataFrame:

@@ -25,19 +25,36 @@ class Rule:
     name: str = ""
 
 
+def known_label(text: str) -> str:
+    """The label of a text in any case; ValueError for none."""
+    if str(text).strip().lower() not in LABELS:
+        raise ValueError(f"'{text}' is no label; labels are {', '.join(LABELS)}")
+    return text.strip().lower()
+
+
+def condition(entry: dict, metrics: tuple, name: str) -> tuple[str, str, float]:
+    """(metric, op, threshold) of a table with metric, op and value."""
+    metric, op, value = (entry.get(k) for k in ("metric", "op", "value"))
+    if metric not in metrics:
+        raise ValueError(f"{name}: '{metric}' is no metric")
+    if str(op).removeprefix("|") not in OPS:
+        raise ValueError(f"{name}: '{op}' does not compare")
+    if isinstance(value, bool) or not isinstance(value, (int, float)) or not math.isfinite(value):
+        raise ValueError(f"{name}: {value} is no threshold")
+    return metric, op, float(value)
+
+
 def parse_rules(text: str, metrics: tuple) -> tuple[list[Rule], str | None]:
-    """Rules and default label of a TOML text: [[rule]] with label, name and when = [[metric, op, threshold], ...]; raises ValueError for what is unknown."""
-    data = tomllib.loads(text)
-    rules = []
-    for entry in data.get("rule", []):
-        conditions = tuple((m, op, float(x)) for m, op, x in entry.get("when", []))
-        for m, op, x in conditions:
-            if m not in metrics or op.lstrip("|") not in OPS or not math.isfinite(x):
-                raise ValueError(f"rule {entry.get('name', '')}: {m} {op} {x}")
-        if entry.get("label") not in LABELS or not conditions:
-            raise ValueError(f"rule {entry.get('name', '')}: label {entry.get('label')}")
-        rules.append(Rule(entry["label"], conditions, entry.get("name", "")))
-    return rules, data.get("default")
+    """Rules and default label of a TOML text; ValueError for what is unknown.
+
+    Each [[rule]] has metric, op, value and label; name is r and its number where it has none, and all = [{metric,
+    op, value}, ...] are conditions that must hold too. default is the label of clusters that no rule fits.
+    """
+    data, rules = tomllib.loads(text), []
+    for i, entry in enumerate(data.get("rule", [])):
+        name = entry.get("name", f"r{i}")
+        rules.append(Rule(known_label(entry.get("label")), tuple(condition(x, metrics, name) for x in (entry, *entry.get("all", ()))), name))
+    return rules, known_label(data["default"]) if "default" in data else None
 
 
 def holds(metric: Column, op: str, limit: float) -> Column:

@@ -43,16 +43,23 @@ RULES = """
 default = "unsorted"
 [[rule]]
 name = "contaminated"
+metric = "refractory_contamination"
+op = ">"
+value = 0.5
 label = "noise"
-when = [["refractory_contamination", ">", 0.5], ["isi_violations", ">=", 2]]
+all = [{ metric = "isi_violations", op = ">=", value = 2 }]
 [[rule]]
 name = "drifting"
+metric = "drift_correlation"
+op = "|>"
+value = 0.2
 label = "mua"
-when = [["drift_correlation", "|>", 0.2]]
 [[rule]]
 name = "present"
+metric = "presence_ratio"
+op = ">="
+value = 0.7
 label = "good"
-when = [["presence_ratio", ">=", 0.7]]
 """
 METRICS = ("n_spikes", "refractory_contamination", "isi_violations", "drift_correlation", "presence_ratio", "amplitude_snr")
 DECIDED = f"""c AS ({CLUSTERS}), r AS (SELECT *, CASE WHEN refractory_contamination > 0.5 AND isi_violations >= 2 THEN 0 WHEN abs(drift_correlation) > 0.2 THEN 1 WHEN presence_ratio >= 0.7 THEN 2 END AS rule FROM c),
