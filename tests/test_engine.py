@@ -21,6 +21,22 @@ def test_intervals_do_not_depend_on_blocks(spark):
     assert sums[0] == sums[1] == sums[2]
 
 
+def test_violators_do_not_depend_on_blocks(spark):
+    rng = np.random.default_rng(2)
+    rows = [(int(c), int(t), 1.0) for c, t in zip(rng.integers(0, 3, 200), rng.integers(0, 3_000, 200), strict=True)]
+    want = set()
+    for c in range(3):
+        own = sorted((t, i) for i, (d, t, _) in enumerate(rows) if d == c)
+        want |= {i for (t, i), (u, k) in zip(own, own[1:]) for i in (i, k) if u - t < 9}
+    for block in (7, 500, 10**9):
+        assert {r["spike_idx"] for r in tr.isi_violators(trains(spark, rows), 9, block).collect()} == want
+
+
+def test_home_of_ties(spark):
+    table = spark.createDataFrame([(1, 9, 5), (1, 10, 5), (2, 4, 1), (2, 3, 7)], "a long, b long, n long")
+    assert sorted(map(tuple, scoring.home(table).collect())) == [(1, 9, 0.5), (2, 3, 0.875)]
+
+
 def test_core_metrics_of_known_train(spark):
     rows = [(0, 0, 1.0), (0, 10, 3.0), (0, 12, 5.0), (1, 50, 2.0)]
     found = {r["cluster_id"]: r for r in tr.core_metrics(trains(spark, rows), 100, 10.0, 5, 10).collect()}

@@ -142,11 +142,12 @@ def tumbling_contamination(trains: DataFrame, total: int, width: int, refractory
     return sums.select("cluster_id", "win", ((F.col("win") + 0.5) * F.lit(width / rate)).alias("centre_s"), F.when(F.col("n") < least, F.lit(float("nan"))).otherwise(hill(F.col("v"), F.col("n"), lasts, refractory)).alias("contamination"))
 
 
-def isi_violators(trains: DataFrame, refractory: int) -> DataFrame:
-    """Both spikes of every interval under the refractory time, once each."""
-    after = Window.partitionBy("cluster_id").orderBy("t", "spike_idx")
-    rows = trains.withColumn("isi", F.col("t") - F.lag("t").over(after)).withColumn("next_isi", F.lead("t").over(after) - F.col("t"))
-    return rows.where((F.col("isi") < refractory) | (F.col("next_isi") < refractory)).select("cluster_id", "spike_idx", "t")
+def isi_violators(trains: DataFrame, refractory: int, block: int = BLOCK) -> DataFrame:
+    """Both spikes of every interval under the refractory time, once each; the interval after is that before with time turned over."""
+    before = with_previous(trains, block).withColumnRenamed("prev", "_prev")
+    turned = before.withColumns({"t": -F.col("t"), "spike_idx": -F.col("spike_idx")})
+    both = with_previous(turned, block).where((-F.col("t") - F.col("_prev") < refractory) | (F.col("t") - F.col("prev") < refractory))
+    return both.select("cluster_id", (-F.col("spike_idx")).alias("spike_idx"), (-F.col("t")).alias("t"))
 
 
 def rate_counts(trains: DataFrame, start: int, width: int, bins: int) -> DataFrame:

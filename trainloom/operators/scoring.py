@@ -64,14 +64,8 @@ def agreement(pairs: DataFrame, a: str, b: str, labels: list[str]) -> DataFrame:
 
 def home(table: DataFrame) -> DataFrame:
     """a, home, share: the unit b that holds most of each a (the least one on ties)."""
-    total = F.sum("n").over(Window.partitionBy("a"))
-    best = table.withColumn("share", F.col("n") / total).groupBy("a").agg(F.max_by(F.struct("b", "share"), F.struct("n", reverse(F.col("b")))).alias("h"))
-    return best.select("a", F.col("h.b").alias("home"), F.col("h.share").alias("share"))
-
-
-def reverse(x: Column) -> Column:
-    """A key that falls as x rises, for texts of up to so many letters as matter to a tie."""
-    return F.translate(x.cast("string"), "0123456789abcdefghijklmnopqrstuvwxyz", "zyxwvutsrqponmlkjihgfedcba9876543210")
+    best = table.groupBy("a").agg(F.sum("n").alias("_total"), F.min(F.struct((-F.col("n")).alias("less"), "b")).alias("h"))
+    return best.select("a", F.col("h.b").alias("home"), (-F.col("h.less") / F.col("_total")).alias("share"))
 
 
 def root_verdicts(table: DataFrame, labels: DataFrame, least: int) -> DataFrame:
