@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import math
 import tempfile
 import uuid
@@ -14,6 +13,12 @@ from pyspark.sql import functions as F
 #: Words are runs of anything but these; as a class for regular expressions, and the bytes themselves.
 BLANK = r"[\x20\x09-\x0D]"
 BLANK_BYTES = b" \t\n\x0b\x0c\r"
+#: With it, the shuffle files of a query go when it has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+#: Temporary folders of local applications that have no spark.checkpoint.dir.
+OWN_DIRS: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -28,9 +33,9 @@ def shared_dir(spark: SparkSession) -> str:
         return found.rstrip("/")
     if not context.master.startswith("local[") and context.master != "local":
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    made = tempfile.mkdtemp(prefix="trainloom-")
-    spark.conf.set("spark.checkpoint.dir", f"file://{made}")
-    return f"file://{made}"
+    if context.applicationId not in OWN_DIRS:
+        OWN_DIRS[context.applicationId] = tempfile.mkdtemp(prefix="trainloom-")
+    return f"file://{OWN_DIRS[context.applicationId]}"
 
 
 class Scratch:
@@ -47,7 +52,12 @@ class Scratch:
     def save(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
         self.names.add(name)
-        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        was = self.spark.conf.get(CLEANUP, None)
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        finally:
+            self.spark.conf.unset(CLEANUP) if was is None else self.spark.conf.set(CLEANUP, was)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def keep(self, *names: str) -> None:
@@ -65,12 +75,6 @@ class Scratch:
             pass
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark remove the shuffle files of plans that nothing refers to; it does so only when the driver collects its garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def numbered(df: DataFrame, column: str = "_uid") -> DataFrame:
     """df with a number for each row; stable only once the result is written, so callers write it."""
     return df.withColumn(column, F.monotonically_increasing_id())

@@ -27,8 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trainloom.llm.common import Scratch, boxed, numbered, partitions, release, unboxed
-from trainloom.llm.rounds import FEW, connect
+from trainloom.llm.common import Scratch, boxed, numbered, partitions, unboxed
+from trainloom.llm.rounds import FEW, connect, small
 from trainloom.llm.shingles import U, sets_of
 
 PERCENT = 75
@@ -55,6 +55,16 @@ def sketch(own: np.ndarray) -> bytes:
     return np.minimum(np.bincount((own >> U(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8).tobytes()
 
 
+#: Longs of a parity sketch, and shingles of a set from which on it says too little, so that a sketch as long as the set serves besides.
+LANES, WIDE = 8, 512
+
+
+def parity(own: np.ndarray) -> list[int]:
+    """For each of 64 * LANES parts of the hashes, whether an odd number of shingles is in it. Two sets' sketches differ in no more bits than there are shingles in one set only."""
+    odd = np.bincount((own % U(64 * LANES)).astype(np.int64), minlength=64 * LANES) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
+
+
 def may_share(a: bytes, b: bytes) -> int:
     """The most that the sets of two sketches can share: the sum over parts of the lesser count."""
     x, y = (np.frombuffer(k, np.uint8).astype(np.int64) for k in (a, b))
@@ -115,37 +125,72 @@ def least_shared(n: int) -> int:
     return -(-PERCENT * n // 100)
 
 
-def prefixes(texts: DataFrame, heavy: list[tuple[int, int]]) -> DataFrame:
-    """token, _uid, n, pos, known: the prefixes of the sets that are new to their task, rarest first; known marks shingles that stand out."""
+#: Prefix shingles that a task gathers before it deals them out, and parts of the hashes' range for each partition.
+GATHER, SPLITS = 2_000_000, 4
+PLACE = np.dtype([("token", "<u8"), ("uid", "<i8"), ("n", "<i4"), ("pos", "<i4")])
+
+
+def packed(rows: np.ndarray) -> bytes:
+    """Places as bytes, column by column, which shuffles compress well."""
+    return b"".join(np.ascontiguousarray(rows[k]).tobytes() for k in PLACE.names)
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    n, at = len(data) // PLACE.itemsize, 0
+    out = np.empty(n, PLACE)
+    for k in PLACE.names:
+        out[k] = np.frombuffer(data, PLACE[k], n, at)
+        at += n * PLACE[k].itemsize
+    return out
+
+
+def prefixes(texts: DataFrame, heavy: list[tuple[int, int]], parts: int) -> DataFrame:
+    """part, known, places: the prefixes of the sets that are new to their task, rarest first, packed by part of the hashes' range; known ones, whose shingle stands out, apart."""
     order = sorted(heavy)
     shared = texts.sparkSession.sparkContext.broadcast((np.array([t for t, _ in order], np.int64), np.array([c for _, c in order], np.int64)))  # HEAVY pairs of numbers at most
 
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def first_of(own: np.ndarray, uid: int) -> tuple[np.ndarray, np.ndarray]:
+        """The places of one set's prefix, and which of them stand out."""
         tokens, counts = shared.value
-        new = New()
+        n, known = len(own), None
+        p = n - least_shared(n) + 1
+        if len(tokens):
+            signed = own.view(np.int64)
+            at = np.minimum(np.searchsorted(tokens, signed), len(tokens) - 1)
+            count = np.where(tokens[at] == signed, counts[at], 0)
+            first = np.argsort(count, kind="stable")[:p]  # by hash where counts are equal
+            own, known = own[first], count[first] > 0
+        out = np.empty(p, PLACE)
+        out["token"], out["uid"], out["n"], out["pos"] = own[:p], uid, n, np.arange(p)
+        return out, np.zeros(p, bool) if known is None else known
+
+    def dealt(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        rows, known = (np.concatenate(x) for x in zip(*held, strict=True))
+        out: list[tuple[int, bool, bytes]] = []
+        plain = rows[~known]
+        plain = plain[np.argsort(plain["token"])]
+        part = ((plain["token"] >> U(32)) * U(parts) >> U(32)).astype(np.int64)
+        starts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else np.zeros(0, np.int64)
+        for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(part)], strict=True) if len(part) else ():
+            out.append((int(part[a]), False, packed(plain[a:b])))
+        if known.any():
+            out.append((int(rows["uid"][0]) % parts, True, packed(rows[known])))  # of any part, as they do not meet there
+        return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.bool_()), pa.array([x[2] for x in out], pa.binary())], ["part", "known", "places"])
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        new, held, size = New(), [], 0
         for b in sliced(batches):
-            firsts, sizes, known = [], [], []
-            for own in sets_of(b.column("text")):
-                own = own if new(own) else own[:0]
-                n = len(own)
-                p = n - least_shared(n) + 1 if n else 0
-                own = own.view(np.int64)
-                if len(tokens):
-                    at = np.minimum(np.searchsorted(tokens, own), len(tokens) - 1)
-                    count = np.where(tokens[at] == own, counts[at], 0)
-                    first = np.argsort(count, kind="stable")[:p]  # by hash where counts are equal
-                    known.append(count[first] > 0)
-                else:
-                    first = np.arange(p)
-                    known.append(np.zeros(p, bool))
-                firsts.append(own[first])
-                sizes.append(n)
-            lengths = [len(x) for x in firsts]
-            repeat = lambda x, lengths=lengths: np.repeat(x, lengths)
-            pos = np.arange(sum(lengths), dtype=np.int32) - repeat(np.cumsum([0, *lengths[:-1]]).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.concatenate(firsts), repeat(b.column("_uid").to_numpy()), repeat(np.array(sizes, np.int32)), pos, np.concatenate(known))], ["token", "_uid", "n", "pos", "known"])
-
-    return texts.select("_uid", "text").mapInArrow(of, "token long, _uid long, n int, pos int, known boolean")
+            for uid, own in zip(b.column("_uid").to_pylist(), sets_of(b.column("text")), strict=True):
+                if new(own):
+                    held.append(first_of(own, uid))
+                    size += len(held[-1][0])
+                    if size > GATHER:
+                        yield dealt(held)
+                        held, size = [], 0
+        if held:
+            yield dealt(held)
+
+    return texts.select("_uid", "text").mapInArrow(of, "part long, known boolean, places binary")
 
 
 def fits(small: np.ndarray, small_pos: np.ndarray, large: np.ndarray, large_pos: np.ndarray) -> np.ndarray:
@@ -155,66 +200,82 @@ def fits(small: np.ndarray, small_pos: np.ndarray, large: np.ndarray, large_pos:
     return (100 * small >= PERCENT * large) & (small_pos <= small - least(2 * small)) & (room >= least(small + large))
 
 
+def shared_at_least(n: str) -> str:
+    """SQL: what sets of n shingles together must share to link."""
+    return f"cast(ceil({PERCENT} * ({n}) / {100 + PERCENT}) as int)"
+
+
+def may_star(s: str, t: str) -> str:
+    """SQL: length filter."""
+    return f"100 * least({s}.n, {t}.n) >= {PERCENT} * greatest({s}.n, {t}.n)"
+
+
+def may_meet(s: str, t: str) -> str:
+    """SQL: besides, suffix filter by the bits in which two parity sketches differ: each takes a shingle that only one set has."""
+    differ = " + ".join(f"bit_count({s}.bits[{i}] ^ {t}.bits[{i}])" for i in range(LANES))
+    return f"{may_star(s, t)} and {differ} <= {s}.n + {t}.n - 2 * {shared_at_least(f'{s}.n + {t}.n')}"
+
+
 def may_link(s: str, t: str) -> str:
-    """The same as SQL."""
-    least = lambda n: f"cast(ceil({PERCENT} * ({n}) / {100 + PERCENT}) as int)"
-    return f"100 * {s}.n >= {PERCENT} * {t}.n and {s}.pos <= {s}.n - {least(f'2 * {s}.n')} and least({s}.n - {s}.pos, {t}.n - {t}.pos) >= {least(f'{s}.n + {t}.n')}"
+    """SQL: prefix and positional filters besides."""
+    smaller = f"least(if({s}.n <= {t}.n, {s}.pos - {s}.n, {t}.pos - {t}.n), if({t}.n <= {s}.n, {t}.pos - {t}.n, {s}.pos - {s}.n))"
+    return f"least({s}.n - {s}.pos, {t}.n - {t}.pos) >= {shared_at_least(f'{s}.n + {t}.n')} and {smaller} <= -{shared_at_least(f'2 * least({s}.n, {t}.n)')} and {may_meet(s, t)}"
 
 
 MET = "token long, _uid long, n int, pos int, hub long, other long"
 
 
+def crowds(rows: np.ndarray) -> pa.RecordBatch:
+    """Places as rows of MET."""
+    none = pa.nulls(len(rows), pa.int64())
+    columns = [pa.array(np.ascontiguousarray(rows[k]).view(kind)) for k, kind in (("token", np.int64), ("uid", np.int64), ("n", np.int32), ("pos", np.int32))]
+    return pa.RecordBatch.from_arrays([*columns, none, none], MET_NAMES)
+
+
+MET_NAMES = [x.split()[0] for x in MET.split(", ")]
+
+
 def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by token: pairs (hub, other) that pass the filters, of tokens of up to FEW rows, and the rows of tokens of more.
-
-    The rows of the last token of a batch wait for the next batch, unless they are more than FEW already.
-    """
-    names = [x.split()[0] for x in MET.split(", ")]
-    columns = ("token", "_uid", "n", "pos")
-    held, crowded = {k: np.zeros(0, np.int64) for k in columns}, None
-
-    def out(rows: dict[str, np.ndarray], size: np.ndarray) -> Iterator[pa.RecordBatch]:
-        many = size > FEW
-        if many.any():
-            none = pa.nulls(int(many.sum()), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(rows["token"][many]), pa.array(rows["_uid"][many]), pa.array(rows["n"][many].astype(np.int32)), pa.array(rows["pos"][many].astype(np.int32)), none, none], names)
-        few = (size > 1) & ~many
-        t, u, n, p = (rows[k][few] for k in columns)
+    """Of packed places sorted by part: pairs (hub, other) that pass the filters, of tokens of up to FEW places, and the places of tokens of more and of known ones."""
+    held: list[np.ndarray] = []
+    last = None
+
+    def out() -> Iterator[pa.RecordBatch]:
+        rows = np.concatenate(held)
+        rows = rows[np.argsort(rows["token"], kind="stable")]
+        t = rows["token"]
+        starts = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
+        lengths = np.diff(np.concatenate([starts, [len(t)]]))
+        size = np.repeat(lengths, lengths)
+        if (size > FEW).any():
+            yield crowds(rows[size > FEW])
+        rows = rows[(size > 1) & (size <= FEW)]
+        t, u, n, p = rows["token"], rows["uid"], rows["n"].astype(np.int64), rows["pos"].astype(np.int64)
         found = []
-        for d in range(1, FEW):
-            if len(t) <= d:
-                break
-            same = np.flatnonzero(t[d:] == t[:-d])
-            a, b = same, same + d
+        for d in range(1, min(FEW, len(t))):
+            a = np.flatnonzero(t[d:] == t[:-d])
+            b = a + d
             swap = (n[a] > n[b]) | ((n[a] == n[b]) & (u[a] > u[b]))
             s, l = np.where(swap, b, a), np.where(swap, a, b)
             ok = fits(n[s], p[s], n[l], p[l])
-            found.append(np.stack([u[s[ok]], u[l[ok]]], axis=1))
+            found.append(np.sort(np.stack([u[s[ok]], u[l[ok]]], axis=1), axis=1))
         if found and sum(map(len, found)):
             pairs = np.unique(np.concatenate(found), axis=0)
-            none = pa.nulls(len(pairs), pa.int64())
-            less = pa.nulls(len(pairs), pa.int32())
-            yield pa.RecordBatch.from_arrays([none, none, less, less, pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names)
+            none, less = pa.nulls(len(pairs), pa.int64()), pa.nulls(len(pairs), pa.int32())
+            yield pa.RecordBatch.from_arrays([none, none, less, less, pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], MET_NAMES)
 
     for b in batches:
-        rows = {k: np.concatenate([held[k], b.column(k).to_numpy().astype(np.int64)]) for k in columns}
-        t = rows["token"]
-        if not len(t):
-            continue
-        starts = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
-        lengths = np.diff(np.concatenate([starts, [len(t)]]))
-        if crowded is not None and t[0] == crowded:
-            lengths_all = np.concatenate([[FEW + lengths[0]], lengths[1:]])
-        else:
-            lengths_all = lengths
-        size = np.repeat(lengths_all, lengths)
-        if size[-1] > FEW:
-            crowded, done = t[-1], len(t)
-        else:
-            crowded, done = None, int(starts[-1])
-        yield from out({k: v[:done] for k, v in rows.items()}, size[:done])
-        held = {k: v[done:] for k, v in rows.items()}
-    yield from out(held, np.full(len(held["token"]), len(held["token"])))
+        for part, known, data in zip(b.column("part").to_pylist(), b.column("known").to_pylist(), b.column("places").to_pylist(), strict=True):
+            if known:
+                yield crowds(unpacked(data))
+                continue
+            if part != last and held:
+                yield from out()
+                held = []
+            last = part
+            held.append(unpacked(data))
+    if held:
+        yield from out()
 
 
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
@@ -227,27 +288,28 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def suffix_filter(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
-    """Of pairs (hub, other) those whose sketches allow a link; sketches: _uid, n, sketch."""
-    side = lambda name, n, sk: sketches.select(F.col("_uid").alias(name), F.col("n").alias(n), F.col("sketch").alias(sk))
-    both = pairs.join(side("hub", "na", "ka"), "hub").join(side("other", "nb", "kb"), "other").select("hub", "other", "na", "nb", "ka", "kb")
+    """Of pairs (hub, other) those whose sketches allow a link; sketches: _uid, n, bits, sketch (empty for small sets)."""
+    side = lambda id_, name: sketches.select(F.col("_uid").alias(id_), F.struct("n", "bits", "sketch").alias(name))
+    both = pairs.join(side("hub", "x"), "hub").join(side("other", "y"), "other").where(may_meet("x", "y"))
+    both = both.select("hub", "other", F.col("x.n").alias("na"), F.col("y.n").alias("nb"), F.col("x.sketch").alias("ka"), F.col("y.sketch").alias("kb"))
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches, 2048):
             need = -(-PERCENT * (b.column("na").to_numpy().astype(np.int64) + b.column("nb").to_numpy()) // (100 + PERCENT))
-            share = [may_share(x, y) for x, y in zip(b.column("ka").to_pylist(), b.column("kb").to_pylist(), strict=True)]
+            share = [may_share(x, y) if x and y else 1 << 40 for x, y in zip(b.column("ka").to_pylist(), b.column("kb").to_pylist(), strict=True)]
             yield b.select(["hub", "other"]).filter(pa.array(np.array(share, np.int64) >= need, pa.bool_()))
 
     return both.mapInArrow(of, "hub long, other long")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, parts: int) -> DataFrame:
-    """Of pairs (hub, other) those that link. Each other's text goes to its hub, whose text comes first there; hubs with many are dealt out."""
-    sizes = pairs.groupBy("hub").agg(F.ceil(F.count("*") / HUB_ROWS).cast("int").alias("deals"))
-    rows = pairs.join(texts.select(F.col("_uid").alias("other"), "text"), "other")
-    hubs = sizes.join(texts.select(F.col("_uid").alias("hub"), "text"), "hub").select("hub", F.explode(F.sequence(F.lit(0), F.col("deals") - 1)).alias("deal"), F.lit(None).cast("long").alias("other"), "text")
-    many = sizes.where("deals > 1")  # few: each has HUB_ROWS partners
-    rows = rows.join(many, "hub", "left").select("hub", F.pmod(F.xxhash64("other"), F.coalesce("deals", F.lit(1))).cast("int").alias("deal"), "other", "text")
-    dealt = rows.unionByName(hubs).repartition(parts, "hub", "deal").sortWithinPartitions("hub", "deal", F.col("other").asc_nulls_first())
+    """Of pairs (hub, other), which are written, those that link. Each other's text goes to its hub, whose text comes first there; hubs with many are dealt out."""
+    deals = pairs.groupBy("hub").agg(F.ceil(F.count("*") / HUB_ROWS).cast("int").alias("deals"))
+    nothing = F.lit(None).cast("long")
+    hubs = deals.select(F.col("hub").alias("_uid"), "hub", F.explode(F.sequence(F.lit(0), F.col("deals") - 1)).alias("deal"), nothing.alias("other"))
+    others = pairs.join(small(deals.where("deals > 1")), "hub", "left").select(F.col("other").alias("_uid"), "hub", F.pmod(F.xxhash64("other"), F.coalesce("deals", F.lit(1))).cast("int").alias("deal"), "other")
+    rows = texts.join(small(hubs.unionByName(others)), "_uid").select("hub", "deal", "other", "text")
+    dealt = rows.repartition(parts, "hub", "deal").sortWithinPartitions("hub", "deal", F.col("other").asc_nulls_first())
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = np.zeros(0, U)
@@ -259,23 +321,26 @@ def verified(pairs: DataFrame, texts: DataFrame, parts: int) -> DataFrame:
                 elif linked(own, x):
                     out[0].append(hub)
                     out[1].append(other)
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["hub", "other"])
 
-    return dealt.mapInArrow(check, "a long, b long")
+    return dealt.mapInArrow(check, "hub long, other long")
 
 
 def met_tokens(texts: DataFrame, heavy: list, parts: int) -> DataFrame:
-    """What `met` gives for the prefixes dealt out by shingle, and the rows of those that stand out, which need no dealing."""
-    tokens = prefixes(texts, [(r["token"], r["df"]) for r in heavy])
-    dealt = tokens.where("not known").select("token", "_uid", "n", "pos").repartition(parts, "token").sortWithinPartitions("token").mapInArrow(met, MET)
-    nothing = F.lit(None).cast("long")
-    return dealt.unionByName(tokens.where("known").select("token", "_uid", "n", "pos", nothing.alias("hub"), nothing.alias("other")))
+    """What `met` gives for the prefixes dealt out by shingle."""
+    places = prefixes(texts, [(r["token"], r["df"]) for r in heavy], SPLITS * parts)
+    return places.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(met, MET)
+
+
+SKETCHED = "_uid long, n int, bits array<long>, sketch binary, text string"
 
 
 def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in sliced(batches):
         sets = list(sets_of(b.column("text")))
-        yield pa.RecordBatch.from_arrays([b.column("_uid"), pa.array(map(len, sets), pa.int32()), pa.array(map(sketch, sets), pa.binary()), b.column("text")], ["_uid", "n", "sketch", "text"])
+        bits = pa.array([parity(x) for x in sets], pa.list_(pa.int64()))
+        wide = pa.array([sketch(x) if len(x) > WIDE else b"" for x in sets], pa.binary())
+        yield pa.RecordBatch.from_arrays([b.column("_uid"), pa.array(map(len, sets), pa.int32()), bits, wide, b.column("text")], [x.split()[0] for x in SKETCHED.split(", ")])
 
 
 def joined(rows: DataFrame, scratch: Scratch, parts: int) -> DataFrame:
@@ -289,21 +354,23 @@ def joined(rows: DataFrame, scratch: Scratch, parts: int) -> DataFrame:
     members = scratch.save(sets.join(classes, "digest", "left").select("_uid", "doc_id", "n", F.coalesce("cid", "_uid").alias("cid")), "members")
 
     common = scratch.save(met_tokens(rows, heavy, parts), "common")
-    release(rows.sparkSession)
-    crowded = common.where("token is not null").select("token", F.struct(F.col("_uid").alias("cid"), "n", "pos").alias("m"))
+    scratch.drop("read")
     few = scratch.save(common.where("token is null").select("hub", "other").distinct(), "few")
-    wanted = scratch.save(few.select(F.col("hub").alias("_uid")).union(few.select("other")).union(crowded.select("m.cid")).distinct(), "wanted")
-    texts = scratch.save(rows.select("_uid", "text").join(wanted, "_uid", "left_semi").mapInArrow(sketched, "_uid long, n int, sketch binary, text string"), "texts")
-    release(rows.sparkSession)
+    places = common.where("token is not null").select("token", F.col("_uid").alias("cid"), "n", "pos")
+    wanted = scratch.save(few.select(F.col("hub").alias("_uid")).union(few.select("other")).union(places.select("cid")).distinct(), "wanted")
+    texts = scratch.save(rows.select("_uid", "text").join(small(wanted), "_uid", "left_semi").mapInArrow(sketched, SKETCHED), "texts")
 
     # A class that several tasks took has a link from each one's row to its name.
-    copies = members.join(wanted, "_uid", "left_semi").where("cid <> _uid").select(F.col("_uid").alias("a"), F.col("cid").alias("b"))
+    copies = members.join(small(wanted), "_uid", "left_semi").where("cid <> _uid").select(F.col("_uid").alias("hub"), F.col("cid").alias("other"))
+
+    bits = texts.select(F.col("_uid").alias("cid"), "bits")
+    crowded = places.select("token", F.struct("cid", "n", "pos").alias("m"))
 
     def verify(pairs: DataFrame) -> DataFrame:
-        left = scratch.save(suffix_filter(pairs, texts.select("_uid", "n", "sketch")), "left")
+        left = scratch.save(suffix_filter(pairs, texts.select("_uid", "n", "bits", "sketch")), "left")
         return verified(left, texts.select("_uid", "text"), parts)
 
-    labels = connect(crowded, few, may_link, verify, scratch, copies, lambda s, t: f"100 * {s}.n >= {PERCENT} * {t}.n")
+    labels = connect(crowded, few, "m.pos", may_link, may_star, verify, scratch, copies, bits)
     labels = scratch.save(labels, "components")
     scratch.keep("docs", "members", "components")  # what the result is read from
     return members.join(labels, members.cid == labels.id, "left").select("_uid", "doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("comp", "cid").alias("component"))

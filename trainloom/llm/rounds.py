@@ -1,21 +1,19 @@
 """Components of what shares a token and passes a check, without all pairs of a crowded token.
 
-Tokens of few classes give their pairs at once. For crowded ones candidates come in rounds. In a round each class
-gets a few bands: the least of its tokens by a hash of the round, several to a band. Classes that share a band
-share much, and each is paired with one representative of its bands. Pairs that pass are links, classes that
-links connect are one component, and tokens of a single component are done with. Bands are of many tokens first,
-which only much alike classes share, and of ever fewer later. The last steps take every pair left whose
-components differ and that was not tried: of tokens of few classes, and of crowded ones first those with a few
-pivots among the classes, then with more, then all, when most classes are one component. So no link between
-components is lost, and large groups of near copies cost about their size. All tables between steps are written.
+Tokens of few classes give candidate pairs at once. For crowded ones pairs come in rounds. In a star round each token
+names one class, the least by a hash of the round, and each class meets the classes that its tokens name; much alike
+classes share most tokens, so they meet the same few. Of the pairs of other tokens, each class takes one. Pairs that
+pass the check are links, classes that links connect are one component, and tokens of a single component are done
+with. The last round takes every pair left whose components differ: for each crowded token, the classes outside its
+main component against all, each pair at the first token only that both share. What may not link by sizes, places and
+sketches is left out inside the join. So no link between components is lost. All tables between steps are written.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import partial
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trainloom.llm.common import Scratch
@@ -23,122 +21,97 @@ from trainloom.llm.components import components
 
 #: A token of more classes is crowded.
 FEW = 8
-#: Tokens of a band in each round, and bands of a class in a round.
-WIDTHS, BANDS = (5, 3), 8
-#: In the last steps, one class in so many is a pivot, and one token in so many is looked at.
-LEVELS = ((32, 4), (8, 4), (1, 1))
-#: Pairs of crowded tokens a row, below which the last step comes at once.
-CROWDED = 4
-#: Labels, of two numbers each, that are broadcast; more are joined by shuffles.
+#: Star rounds before all pairs left are taken.
+STARS = 3
+#: How many tokens of a class before one are known with it, to tell whether two classes shared one of them.
+BEFORE = 4
+#: Labels, of two numbers each, that are broadcast; more are joined by shuffles. The result is the same.
 FEW_LABELS = 500_000
 
+Filter = Callable[[str, str], str]
 
-def ordered(may_link: Callable[[str, str], str]) -> Callable[[str, str], str]:
-    """The filter for (smaller, larger) by (n, cid)."""
-    return lambda s, t: f"({s}.n < {t}.n or {s}.n = {t}.n and {s}.cid < {t}.cid) and {may_link(s, t)}"
 
+def small(labels: DataFrame) -> DataFrame:
+    """labels, to be broadcast if they are few."""
+    return F.broadcast(labels) if labels.count() <= FEW_LABELS else labels
 
-def all_pairs(places: DataFrame, may_link: Callable[[str, str], str], one_in: int = 1) -> DataFrame:
-    """Distinct pairs (hub, other) of classes that share a token and pass the filter; places has token, m and perhaps comp.
 
-    With one_in, one class in so many is a pivot, and only pairs with a pivot are given.
-    """
-    first = ordered(may_link)
-    apart_ = "cs <> ct and " if "comp" in places.columns else ""
-    side = lambda name: places.select("token", F.col("m").alias(name), *([F.col("comp").alias(f"c{name}")] if apart_ else []))
-    if one_in == 1:
-        met = side("s").join(side("t"), "token").where(apart_ + first("s", "t"))
-        return met.select(F.col("s.cid").alias("hub"), F.col("t.cid").alias("other")).distinct()
-    pivots = side("s").where(F.pmod(F.xxhash64("s.cid"), F.lit(one_in)) == 0)
-    met = pivots.join(side("t"), "token").where(f"{apart_} s.cid <> t.cid and (({first('s', 't')}) or ({first('t', 's')}))")
-    return met.select(F.least("s.cid", "t.cid").alias("hub"), F.greatest("s.cid", "t.cid").alias("other")).distinct()
+def with_before(rows: DataFrame, order: str) -> DataFrame:
+    """rows (token, m, comp) with before in m: the BEFORE tokens that come before this one among its class's rows, in the order of a column of m or token that is the same for all classes."""
+    own = Window.partitionBy("m.cid").orderBy(order)
+    return rows.withColumn("m", F.col("m").withField("before", F.array_compact(F.array(*[F.lag("token", i + 1).over(own) for i in range(BEFORE)]))))
 
 
-def untried(pairs: DataFrame, tried: DataFrame | None) -> DataFrame:
-    if tried is None:
-        return pairs
-    gone = tried.select(F.least("hub", "other").alias("x"), F.greatest("hub", "other").alias("y"))
-    return pairs.withColumns({"x": F.least("hub", "other"), "y": F.greatest("hub", "other")}).join(gone, ["x", "y"], "left_anti").select("hub", "other")
+def distinct_pairs(x: Column, y: Column, rows: DataFrame) -> DataFrame:
+    return rows.select(F.least(x, y).alias("hub"), F.greatest(x, y).alias("other")).distinct()
 
 
-def apart(pairs: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """Those whose ends are not of one component."""
-    if labels is None:
-        return pairs
-    own = small(labels)
-    out = pairs.join(own.toDF("hub", "ch"), "hub", "left").join(own.toDF("other", "co"), "other", "left")
-    return out.where(F.coalesce("ch", "hub") != F.coalesce("co", "other")).select("hub", "other")
+def stars(open_: DataFrame, may_star: Filter, step: int) -> DataFrame:
+    """Pairs (hub, other) of each class with the class that its token names in this round."""
+    named = open_.groupBy("token").agg(F.min(F.struct(F.xxhash64("m.cid", F.lit(step)).alias("h"), "m", "comp")).alias("rep"))
+    met = open_.join(named.select("token", F.col("rep.m").alias("r"), F.col("rep.comp").alias("rc")), "token")
+    return distinct_pairs(F.col("m.cid"), F.col("r.cid"), met.where(f"comp <> rc and {may_star('m', 'r')}"))
 
 
-def banded(classes: DataFrame, step: int) -> DataFrame:
-    """band, m, comp: the bands of each class (m, comp, tokens) in this round; its tokens are no more than its own set has."""
-    width = WIDTHS[step]
-    least = [F.slice(F.array_sort(F.transform("tokens", partial(hashed, step * BANDS + k))), 1, width) for k in range(BANDS)]
-    return classes.where(F.size("tokens") >= width).select(F.explode(F.array(*[F.xxhash64(F.lit(k), x) for k, x in enumerate(least)])).alias("band"), "m", "comp")
+def all_pairs(open_: DataFrame, may_link: Filter) -> DataFrame:
+    """Pairs (hub, other) of different components that share a token and may link; each comes at its first shared token."""
+    main = open_.groupBy("token").agg(F.min(F.struct(F.xxhash64("m.cid").alias("h"), "comp")).alias("main")).select("token", F.col("main.comp").alias("main"))
+    every = open_.join(main, "token")
+    s = every.where("comp <> main").select("token", F.col("m").alias("s"), F.col("comp").alias("cs"))
+    t = every.select("token", F.col("m").alias("t"), F.col("comp").alias("ct"), "main")
+    met = s.join(t, "token").where(f"cs <> ct and (ct = main or s.cid < t.cid) and {may_link('s', 't')} and not arrays_overlap(s.before, t.before)")
+    return distinct_pairs(F.col("s.cid"), F.col("t.cid"), met)
 
 
-def labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """rows (with m) and comp, the component of the class."""
+def labelled(rows: DataFrame, id_: Column, labels: DataFrame | None, name: str = "comp") -> DataFrame:
+    """rows and the component of id_: its own number where it has no links."""
     if labels is None:
-        return rows.withColumn("comp", F.col("m.cid"))
-    return rows.join(small(labels), F.col("m.cid") == F.col("id"), "left").withColumn("comp", F.coalesce("comp", "m.cid")).drop("id")
+        return rows.withColumn(name, id_)
+    return rows.join(labels.toDF("_id", "_comp"), id_ == F.col("_id"), "left").withColumn(name, F.coalesce("_comp", id_)).drop("_id", "_comp")
 
 
-def small(labels: DataFrame) -> DataFrame:
-    """labels, to be broadcast if they are few."""
-    return F.broadcast(labels) if labels.count() <= FEW_LABELS else labels
+def apart(pairs: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """(hub, other, ch, co) of the pairs whose ends are not of one component."""
+    own = None if labels is None else small(labels)
+    return labelled(labelled(pairs, F.col("hub"), own, "ch"), F.col("other"), own, "co").where("ch <> co")
 
 
-def hashed(seed: int, token: Column) -> Column:
-    return F.xxhash64(token, F.lit(seed))
+def merged(labels: DataFrame | None, links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """(id, comp) after links (hub, other) between ids that may have labels already."""
+    edges = apart(links, labels).select(F.least("ch", "co").alias("a"), F.greatest("ch", "co").alias("b")).distinct()
+    now = components(edges, scratch, name)
+    if labels is None:
+        return now
+    moved = labelled(labels.select("id", F.col("comp").alias("was")), F.col("was"), now)
+    return scratch.save(moved.select("id", "comp").unionByName(now.join(labels, "id", "left_anti")), f"{name}-merged")
 
 
-def connect(crowded: DataFrame, few: DataFrame, may_link: Callable[[str, str], str], verify: Callable[[DataFrame], DataFrame], scratch: Scratch, links: DataFrame | None = None, may_star: Callable[[str, str], str] | None = None) -> DataFrame | None:
+def connect(crowded: DataFrame, few: DataFrame, order: str, may_link: Filter, may_star: Filter, verify: Callable[[DataFrame], DataFrame], scratch: Scratch, links: DataFrame | None = None, sketches: DataFrame | None = None) -> DataFrame | None:
     """(id, comp) of the classes that have links; None if there are none at all.
 
-    crowded: token, and m, a struct with cid and n among others, in terms of which may_link is SQL over two
-    such structs, the smaller one by (n, cid) first. few: candidate pairs (hub, other) of the other tokens. verify
-    gives links (a, b) for pairs (hub, other). links: links that are known already. may_star: a filter for the
-    rounds, where may_link says something of the one token and not of the pair.
+    crowded: token, and m, a struct with cid among others; the order of a class's tokens is that of token or a column of
+    m. few: candidate pairs (hub, other) of the other tokens. may_star is SQL over two such structs; so is may_link, and
+    of sketches (cid, bits), if given, m has bits there. verify gives those of pairs (hub, other) that link. links:
+    (hub, other) that are known already.
     """
-    first = ordered(may_star or may_link)
-    tried = None
-    labels = components(links, scratch, "known") if links is not None else None
-    open_ = crowded.select("token", "m")
-
-    def reopen(name: str) -> tuple[DataFrame, int, float]:
-        """Rows (token, m, comp, k) of the tokens that still have several components, how many, and the pairs they stand for."""
-        now = labelled(open_.select("token", "m"), labels)
-        spread = now.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("k")).where("lo < hi").select("token", "k")
-        out = scratch.save(now.join(spread, "token"), f"open{name}")
-        return out, *out.agg(F.count("*"), F.coalesce(F.sum((F.col("k") - 1) / 2), F.lit(0.0))).first()
-
-    def take(pairs: DataFrame, name: str) -> None:
-        """Verifies pairs that were not tried, and labels anew."""
-        nonlocal tried, links, labels
-        pairs = scratch.save(untried(pairs, tried), f"pairs{name}")
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        found = scratch.save(verify(pairs), f"links{name}")
-        links = found if links is None else links.unionByName(found)
-        labels = components(links, scratch, f"labels{name}")
-
-    open_, rows, crowd = reopen("")
-    if crowd > CROWDED * rows:
-        classes = scratch.save(open_.groupBy(F.col("m.cid").alias("cid")).agg(F.first("m").alias("m"), F.collect_list("token").alias("tokens")), "classes-crowded")
-        for step in range(len(WIDTHS)):
-            bands = scratch.save(banded(labelled(classes, labels), step), f"bands{step}")
-            reps = bands.groupBy("band").agg(F.min(F.struct(F.xxhash64("m.cid", F.lit(step)).alias("h"), "m", "comp")).alias("rep"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("band", "rep")
-            star = bands.join(reps, "band").where("comp <> rep.comp").select(F.col("m").alias("x"), F.col("rep.m").alias("y")).where(f"({first('x', 'y')}) or ({first('y', 'x')})")
-            take(star.select(F.col("y.cid").alias("hub"), F.col("x.cid").alias("other")).distinct(), str(step))
-            scratch.drop(f"bands{step}")
-        scratch.drop("classes-crowded")
-        open_, rows, crowd = reopen("-banded")
-    for level, (one_in, token_in) in enumerate(LEVELS):
-        last = one_in == 1 or crowd <= CROWDED * rows
-        own = open_ if last or token_in == 1 else open_.where(F.pmod(F.xxhash64("token"), F.lit(token_in)) == 0)
-        pairs = all_pairs(own.select("token", "m", "comp"), may_link, 1 if last else one_in)
-        take(pairs.unionByName(apart(few, labels)).distinct() if level == 0 else pairs, f"-level{level}")
-        if last:
-            break
-        open_, rows, crowd = reopen(f"-level{level}")
+    labels = None if links is None else merged(None, links, scratch, "known")
+    crowded, tried = crowded.select("token", "m"), None
+    for step in range(STARS + 1):
+        now = labelled(crowded, F.col("m.cid"), None if labels is None else small(labels))
+        spread = now.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token")
+        open_ = scratch.save(now.join(spread, "token", "left_semi"), f"open{step}")
+        few = few if tried is None else few.join(tried, ["hub", "other"], "left_anti")
+        few = scratch.save(apart(few, labels).select("hub", "other"), f"few{step}")
+        if step == STARS:
+            last = with_before(open_, order)
+            if sketches is not None:
+                last = last.join(sketches, F.col("m.cid") == F.col("cid")).select("token", F.col("m").withField("bits", F.col("bits")).alias("m"), "comp")
+            pairs = all_pairs(last, may_link).unionByName(few).distinct()
+        else:
+            pairs = stars(open_, may_star, step).unionByName(few.groupBy("other").agg(F.min("hub").alias("hub")).select("hub", "other")).distinct()
+        pairs = scratch.save(pairs if tried is None else pairs.join(tried, ["hub", "other"], "left_anti"), f"pairs{step}")
+        if pairs.limit(1).count():
+            tried = pairs if tried is None else tried.unionByName(pairs)
+            labels = merged(labels, scratch.save(verify(pairs), f"links{step}"), scratch, f"labels{step}")
+        crowded = open_.select("token", "m")
     return labels
