@@ -61,11 +61,12 @@ def test_against_brute_force(spark, seed):
     check(spark, texts(seed, 12, 8, 3))
 
 
-def test_crowded_tokens(spark, monkeypatch):
-    """Star rounds and crowded tokens, which small tables do not reach by themselves."""
+@pytest.mark.parametrize("stars", [0, 2])
+def test_crowded_tokens(spark, monkeypatch, stars):
+    """Star rounds and crowded tokens, which small tables do not reach by themselves; without star rounds too."""
     for module in (ngram_join, rounds):
         monkeypatch.setattr(module, "FEW", 2)
-    monkeypatch.setattr(rounds, "CROWDED", -1)
+    monkeypatch.setattr(rounds, "STARS", stars)
     monkeypatch.setattr(ngram_join, "HUB_ROWS", 3)
     check(spark, texts(3, 3, 25, 4))
 
@@ -121,9 +122,10 @@ def recall(spark, pairs):
     return sum(found) / len(pairs)
 
 
-def test_lines_recall(spark):
-    """Against brute-force edit similarity: a word replaced, characters replaced anywhere, short lines, lines of one long word."""
-    rng = random.Random(5)
+@pytest.mark.parametrize("seed", [5, 6])
+def test_lines_recall(spark, seed):
+    """Against brute-force edit similarity: a word replaced, a letter changed, characters replaced anywhere, short lines, lines of one long word."""
+    rng = random.Random(seed)
     word = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
     line = lambda k: [word(rng.randint(3, 7)) for _ in range(k)]
 
@@ -139,12 +141,58 @@ def test_lines_recall(spark):
             own[i : i + (kind > 0)] = [word(1)] if kind < 2 else []
         return text, "".join(own)
 
-    assert recall(spark, [replaced(line(k)) for k in (12, 20, 40) for _ in range(40)]) == 1
+    assert recall(spark, [replaced(line(k)) for k in (12, 20, 40, 100, 200) for _ in range(20)]) == 1
+    assert recall(spark, [scattered(" ".join(line(k)), 1) for k in (5, 8, 20, 50, 200) for _ in range(20)]) == 1
     assert recall(spark, [scattered(x := " ".join(line(rng.randint(2, 6)))[:39].strip(), max(1, len(x) // 10)) for _ in range(150)]) == 1
-    assert recall(spark, [scattered(x := " ".join(line(rng.randint(9, 30))), len(x) // 10) for _ in range(100)]) > 0.85
+    assert recall(spark, [scattered(x := " ".join(line(rng.randint(9, 30))), len(x) // 10) for _ in range(100)]) > 0.9
     assert recall(spark, [scattered(word(80), 5) for _ in range(40)]) > 0.95
 
 
+def test_edits_of_lines(spark):
+    """Leaving out words that both lines begin or end with changes no distance."""
+    rng = random.Random(3)
+    lines = [" ".join(rng.choice(["a", "ab", "b", "cab"]) for _ in range(rng.randint(1, 7))) for _ in range(300)]
+    pairs = [(a, b) for a, b in zip(lines, lines[1:], strict=False) if a != b]
+    rows = spark.createDataFrame(pairs, "x string, y string").select("x", "y", line_dedup.edits("x", "y", "5").alias("d")).collect()
+    for r in rows:
+        row = list(range(len(r["y"]) + 1))
+        for i, u in enumerate(r["x"], 1):
+            row, last = [i], row
+            for j, v in enumerate(r["y"], 1):
+                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (u != v)))
+        assert r["d"] == (row[-1] if row[-1] <= 5 else -1), r
+
+
+def brute_lines(rows):
+    """Texts after line dedup by edit similarity of all pairs of lines."""
+    norm = lambda x: " ".join(w for w in re.split(line_dedup.APART, x.lower()) if w)
+    place = lambda r, i: (r[0] is None, r[0] or 0, i)
+    own = sorted((*place(r, i), k, norm(x)) for i, r in enumerate(rows) for k, x in enumerate((r[1] or "").split("\n")))
+    own = [x for x in own if x[4]]
+    comp = list(range(len(own)))
+    for i, a in enumerate(own):
+        for j, b in enumerate(own[:i]):
+            if comp[i] != comp[j] and (a[4] == b[4] or near(a[4], b[4])):
+                lo, hi = sorted((comp[i], comp[j]))
+                comp = [lo if c == hi else c for c in comp]
+    gone = {(x[2], x[3]) for i, x in enumerate(own) if comp[i] != i}
+    return ["\n".join(x for k, x in enumerate((r[1] or "").split("\n")) if (i, k) not in gone) for i, r in enumerate(rows)]
+
+
+def test_lines_against_brute_force(spark, odd):
+    """Edge rows with their ties and repeats, and short lines with edits, which are all found."""
+    rng = random.Random(9)
+    base = ["call me at ten", "the red fox ran over it", "all rights are reserved", "page 12 of 40", "x", ""]
+    texts = ["\n".join("".join(c if rng.random() > 0.04 else rng.choice("ab1 ") for c in rng.choice(base)) for _ in range(rng.randint(1, 6))) for _ in range(60)]
+    rows = [(r[0], r[1]) for r in ROWS] + [(100 + i, x) for i, x in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    found = sorted(map(repr, ((r["doc_id"], r["text"]) for r in line_dedup.dedup(docs).collect())))
+    assert found == sorted(map(repr, zip((r[0] for r in rows), brute_lines(rows), strict=True)))
+    own = line_dedup.dedup(odd.coalesce(1)).collect()
+    assert sorted(repr((r["doc_id"], r["text"])) for r in own) == sorted(map(repr, zip((r[0] for r in ROWS), brute_lines(ROWS), strict=True)))
+    assert line_dedup.dedup(odd).columns == ["doc_id", "n_lines", "n_dropped", "text"]
+
+
 def test_short_lines_are_fuzzy(spark):
     docs = spark.createDataFrame([(1, "Copyright 2023 Example Inc\nall others"), (2, "Copyright 2024 Example Inc")], "doc_id long, text string")
     assert {r["doc_id"]: r["text"] for r in line_dedup.dedup(docs).collect()} == {1: "Copyright 2023 Example Inc\nall others", 2: ""}
