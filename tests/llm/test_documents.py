@@ -264,6 +264,31 @@ def test_urls(spark):
     assert url_filter.judge(pages.limit(0)).count() == 0
 
 
+def test_long_list(spark):
+    """20,000 listed keys of 60,000: exact, and the filters' words stand in the plan once."""
+    from pyspark.sql import functions as F
+
+    universe = spark.range(60_000).select(F.concat(F.lit("host"), "id", F.lit(".example/")).alias("key"), "id")
+    cascade = url_filter.Cascade.build(universe.where("id % 3 = 0").select("key"), universe.select("key"))
+    assert universe.where(cascade.has(F.col("key")) != (F.col("id") % 3 == 0)).count() == 0
+    assert sum(len(x.words) for x in cascade.levels) * 64 < 20_000 * (1.5 * np.log2(3) + 12)
+
+
+def test_odd_pages(spark):
+    """Repeated rows, null ids, a very long url, clashing columns."""
+    long = "http://a.example.com/en/" + "x" * 200_000
+    rows = [(1, "http://com/en/", 1), (1, "http://com/en/", 1), (None, "http://b.com/en/7", None), (2, long, 3)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, host long").withColumn("rule", spark_null()).withColumn("keys", spark_null())
+    found = sorted(repr((r["page_id"], r["host"], len(r["path"]), r["rule"], r["verdict"])) for r in url_filter.judge(pages).collect())
+    assert found == sorted(map(repr, [(1, "com", 4, "com/en/", "block"), (1, "com", 4, "com/en/", "block"), (None, "b.com", 5, "com/en/", "block"), (2, "a.example.com", 200_004, "com/en/", "block")]))
+
+
+def spark_null():
+    from pyspark.sql import functions as F
+
+    return F.lit(None).cast("string")
+
+
 def test_cascade_is_exact(spark):
     listed = spark.createDataFrame([(f"k{i}",) for i in range(200)], "key string")
     universe = spark.createDataFrame([(f"k{i}",) for i in range(5000)], "key string")

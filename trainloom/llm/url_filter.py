@@ -11,8 +11,8 @@ MOST_LISTED keys, and not by the corpus. A longer list raises an error; it is to
 
 Keys of a url are its host and each parent domain, alone and with each prefix of the path that is as long as
 some listed path. Null urls, and those without "://", have an empty host and path, match no rule and get the
-default verdict. Repeated urls and page_ids are judged as they stand; other columns are ignored; an empty
-table gives no rows.
+default verdict. Repeated urls and page_ids are judged as they stand, very long urls whole; of rules of equal length that
+fit, one host's is the other's, so there is no tie. Other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -62,12 +62,9 @@ class Level:
         return cls(number, k, tuple(found.get(i, 0) for i in range(n // 64)))
 
     def has(self, key: Column) -> Column:
+        """Whether all the key's bits are set; the words stand in the plan once."""
         words = F.from_json(F.lit("[" + ",".join(map(str, self.words)) + "]"), "array<bigint>")
-        bit = lambda p: F.getbit(F.get(words, F.floor(p / 64).cast("int")), F.pmod(p, F.lit(64)).cast("int")) == 1
-        out = F.lit(True)
-        for p in self.places(key, self.number, self.k, 64 * len(self.words)):
-            out = out & bit(p)
-        return out
+        return F.forall(F.array(*self.places(key, self.number, self.k, 64 * len(self.words))), lambda p: F.getbit(F.get(words, F.floor(p / 64).cast("int")), F.pmod(p, F.lit(64)).cast("int")) == 1)
 
 
 @dataclass(frozen=True)
