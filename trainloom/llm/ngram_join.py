@@ -287,19 +287,24 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
     return int((a[at] == b).sum()) >= need
 
 
-def suffix_filter(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
-    """Of pairs (hub, other) those whose sketches allow a link; sketches: _uid, n, bits, sketch (empty for small sets)."""
-    side = lambda id_, name: sketches.select(F.col("_uid").alias(id_), F.struct("n", "bits", "sketch").alias(name))
-    both = pairs.join(side("hub", "x"), "hub").join(side("other", "y"), "other").where(may_meet("x", "y"))
-    both = both.select("hub", "other", F.col("x.n").alias("na"), F.col("y.n").alias("nb"), F.col("x.sketch").alias("ka"), F.col("y.sketch").alias("kb"))
+def suffix_filter(pairs: DataFrame, sketches: DataFrame, scratch: Scratch) -> DataFrame:
+    """Of pairs (hub, other) those whose sketches allow a link; sketches: _uid, n, bits, sketch. Parity sketches come first, and long ones move for what is left of large sets only."""
+    side = lambda own, id_, name, *columns: own.select(F.col("_uid").alias(id_), F.struct("n", *columns).alias(name))
+    both = pairs.join(side(sketches, "hub", "x", "bits"), "hub").join(side(sketches, "other", "y", "bits"), "other").where(may_meet("x", "y"))
+    both = scratch.save(both.select("hub", "other", F.least("x.n", "y.n").alias("n")), "met")
+    large = both.where(F.col("n") > WIDE).select("hub", "other")
+    asked = large.select(F.col("hub").alias("_uid")).union(large.select("other")).distinct()
+    wide = sketches.where(F.col("n") > WIDE).join(small(asked), "_uid", "left_semi")
+    rows = large.join(side(wide, "hub", "x", "sketch"), "hub").join(side(wide, "other", "y", "sketch"), "other")
+    rows = rows.select("hub", "other", F.col("x.n").alias("na"), F.col("y.n").alias("nb"), F.col("x.sketch").alias("ka"), F.col("y.sketch").alias("kb"))
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches, 2048):
             need = -(-PERCENT * (b.column("na").to_numpy().astype(np.int64) + b.column("nb").to_numpy()) // (100 + PERCENT))
-            share = [may_share(x, y) if x and y else 1 << 40 for x, y in zip(b.column("ka").to_pylist(), b.column("kb").to_pylist(), strict=True)]
+            share = [may_share(x, y) for x, y in zip(b.column("ka").to_pylist(), b.column("kb").to_pylist(), strict=True)]
             yield b.select(["hub", "other"]).filter(pa.array(np.array(share, np.int64) >= need, pa.bool_()))
 
-    return both.mapInArrow(of, "hub long, other long")
+    return both.where(F.col("n") <= WIDE).select("hub", "other").unionByName(rows.mapInArrow(of, "hub long, other long"))
 
 
 def verified(pairs: DataFrame, texts: DataFrame, parts: int) -> DataFrame:
@@ -367,7 +372,7 @@ def joined(rows: DataFrame, scratch: Scratch, parts: int) -> DataFrame:
     crowded = places.select("token", F.struct("cid", "n", "pos").alias("m"))
 
     def verify(pairs: DataFrame) -> DataFrame:
-        left = scratch.save(suffix_filter(pairs, texts.select("_uid", "n", "bits", "sketch")), "left")
+        left = scratch.save(suffix_filter(pairs, texts.select("_uid", "n", "bits", "sketch"), scratch), "left")
         return verified(left, texts.select("_uid", "text"), parts)
 
     labels = connect(crowded, few, "m.pos", may_link, may_star, verify, scratch, copies, bits)
