@@ -1,8 +1,11 @@
+import json
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from trainloom.operators import learn, probe, shape, tables
+from trainloom.operators import learn, probe, qc, shape, tables
 from trainloom.streaming import rates
 
 
@@ -96,3 +99,21 @@ def test_late_events_are_dropped(spark, tmp_path):
     make([(1, 10, 1, "a", 1.0, ""), (2, 100_000, 1, "a", 1.0, "")]).write.parquet(str(tmp_path / "in" / "events.parquet"))
     found = rates.drain(rates.tumbling_rates(rates.event_stream(spark, str(tmp_path / "in"), "*.parquet"), "1 minute", "1 minute"), "append").collect()
     assert [(r["start"].timestamp(), r["n"]) for r in found] == [(0.0, 1)]
+
+
+def test_qc_table_and_files(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    rows = [(i, int(c), int(t), float(a)) for i, (c, t, a) in enumerate(zip(rng.integers(0, 3, 400), np.sort(rng.integers(0, 60_000, 400)), rng.normal(5, 1, 400), strict=True))]
+    spikes = spark.createDataFrame(rows, "spike_idx long, cluster_id long, t long, amplitude double")
+    found = qc.table(spikes, 60_000, 1000.0, 2, [1, 2, 4], 50, 50, (2, 10), (30, 50))
+    assert found.columns == ["cluster_id", *qc.METRICS] and len(qc.METRICS) == 32
+    by = {r["cluster_id"]: r for r in found.collect()}
+    for c in range(3):
+        own = np.array([a for _, k, _, a in rows if k == c])
+        assert by[c]["n_spikes"] == len(own) and by[c]["mean_amplitude"] == pytest.approx(own.mean()) and math.isnan(by[c]["d_prime"]) and by[c]["amplitude_dip"] >= 0
+    qc.write_tsv(found, str(tmp_path / "tsv"))
+    qc.write_json(found, str(tmp_path / "json"))
+    lines = "".join(x.read_text() for x in (tmp_path / "tsv").glob("part-*")).splitlines()
+    assert lines[0].split("\t") == found.columns and all(len(x.split("\t")) == 33 for x in lines)
+    records = [json.loads(x) for f in (tmp_path / "json").glob("part-*") for x in f.read_text().splitlines()]
+    assert [set(x) for x in records] == [set(found.columns)] * 3 and all(x["silhouette"] is None for x in records)
