@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -51,12 +53,26 @@ def intervals(events: DataFrame) -> DataFrame:
     return rows.groupBy("user_id").applyInPandasWithState(update, "user_id long, n long, shortest long", "last long, n long, least long", "update", "NoTimeout")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder that driver and executors share: in spark.checkpoint.dir; only a local master may go without it."""
+    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{(found or 'file://' + tempfile.mkdtemp(prefix='trainloom-')).rstrip('/')}/drained-{uuid.uuid4().hex}"
+
+
 def drain(stream: DataFrame, mode: str) -> DataFrame:
-    """Runs a stream over what is there now and gives the table of its results; for tests and small reports, as it is held in memory."""
-    name = f"drained_{uuid.uuid4().hex}"
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return stream.sparkSession.table(name)
+    """Runs a stream over what is there now and gives the table of its results, which is written: of mode complete the last batch's, else all batches'."""
+    spark, folder = stream.sparkSession, shared_folder(stream.sparkSession)
+    query = stream.writeStream.outputMode(mode).foreachBatch(lambda batch, number: batch.write.mode("overwrite").parquet(f"{folder}/rows/batch={number}"))
+    query.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    try:
+        rows = spark.read.schema(StructType([*stream.schema.fields]).add("batch", "long")).parquet(f"{folder}/rows")
+    except AnalysisException:  # no batch ran, as there was nothing to read
+        return spark.createDataFrame([], stream.schema)
+    if mode == "complete":
+        rows = rows.where(F.col("batch") == F.lit(rows.agg(F.max("batch")).first()[0]))
+    return rows.select(*stream.columns)
 
 
 def log_tail(spark: SparkSession, folder: str, schema: str) -> DataFrame:
