@@ -224,3 +224,21 @@ def test_greedy_refractory(spark):
     found = spark.createDataFrame([(0, 10, 1.0), (0, 12, 5.0), (0, 14, 2.0), (0, 15, 3.0), (0, 100, 1.0)], "unit long, t long, v double")
     existing = spark.createDataFrame([(0, 101)], "unit long, t long")
     assert sorted(r["t"] for r in signal.refractory(found, existing, 2, 2).collect()) == [12, 15]
+
+
+def test_crowded_groups_are_fitted_whole(spark):
+    """Groups of more rows than one task takes give what all their rows give at once."""
+    rng = np.random.default_rng(8)
+    x = np.concatenate([rng.normal(2, 0.5, 900), rng.normal(6, 0.8, 500)])
+    rng.shuffle(x)
+    rows = spark.createDataFrame([(i, i % 2 * 0 + 1, float(v)) for i, v in enumerate(x)] + [(5000 + i, 2, float(i)) for i in range(60)], "i long, g long, v double").repartition(5)
+    whole = models.two_gaussians(x)
+    by = {r["g"]: r for r in models.mixture_by_group(rows, "g", "i", "v", most=200).collect()}
+    assert by[1]["n"] == 1400 and by[2]["n"] == 60
+    assert (by[1]["low"], by[1]["high"], by[1]["weight"]) == pytest.approx((whole["means"][0], whole["means"][1], whole["weight"]), abs=0.02)
+    assert abs(by[1]["n_minor"] - min(whole["labels"].sum(), (1 - whole["labels"]).sum())) <= 3 and by[1]["gain"] == pytest.approx(whole["gain"], rel=0.01)
+    points = np.concatenate([rng.normal(0, 1, (700, 2)), rng.normal(9, 1, (300, 2))])
+    rows = spark.createDataFrame([(i, 1, p.tolist()) for i, p in enumerate(points)], "i long, g long, p array<double>").repartition(5)
+    one, many = (models.kmeans_by_group(rows, "g", "i", "p", 2, 2, most=m).first() for m in (5000, 150))
+    assert (one["n"], one["smallest"]) == (many["n"], many["smallest"]) == (1000, 300)
+    assert many["silhouette"] == pytest.approx(one["silhouette"], abs=0.01)

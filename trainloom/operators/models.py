@@ -1,4 +1,8 @@
-"""Small models of one group's rows: mixtures, k-means, isolation measures. Kernels are numpy; groups come by applyInPandas, strided to a bounded number of rows where the measure allows it."""
+"""Models of a group's rows: mixtures, k-means, isolation measures.
+
+Kernels are numpy; groups of up to ROWS rows come by applyInPandas. Mixtures and k-means of larger groups start from
+strided rows and are then fitted to all rows by sums on the executors.
+"""
 
 from __future__ import annotations
 
@@ -230,35 +234,139 @@ def isolation_by_group(vectors: DataFrame, group: str, order: str, column: str,
     return few.groupBy(group).applyInPandas(of, f"{group} {kind}, n long, " + ", ".join(f"{c} double" for c in names))
 
 
-def mixture_by_group(values: DataFrame, group: str, order: str, value: str) -> DataFrame:
-    """group, n, low, high, weight, gain, n_minor of the two-Gaussian split of each group's values; nulls where there is none."""
+def large_groups(rows: DataFrame, group: str, most: int) -> DataFrame:
+    """group, n of the groups of more than so many rows."""
+    return rows.groupBy(group).agg(F.count("*").alias("n")).where(F.col("n") > most)
+
+
+def mixture_by_group(values: DataFrame, group: str, order: str, value: str, most: int = ROWS, rounds: int = 50) -> DataFrame:
+    """group, n, low, high, weight, gain, n_minor of the two-Gaussian split of each group's values; nulls where there is none.
+
+    Groups of up to `most` finite values are fitted in one task. Larger ones start from a fit of `most` strided values, and
+    are then fitted to all: each of up to `rounds` rounds sums over all rows on the executors and leaves a row a group.
+    """
     kind = dict(values.dtypes)[group]
+    finite = values.select(group, order, F.col(value).cast("double").alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v") & (F.abs("v") < float("inf")))
+    fields = "n long, low double, high double, weight double, gain double, n_minor double, s_low double, s_high double"
 
     def of(rows: pd.DataFrame) -> pd.DataFrame:
-        x = rows[value].to_numpy(float)
-        found = two_gaussians(x)
-        row = {group: rows[group].iloc[0], "n": len(x)}
+        found = two_gaussians(rows["v"].to_numpy(float))
+        row = {group: rows[group].iloc[0], "n": len(rows)}
         if found:
             ones = int(found["labels"].sum())
-            row |= {"low": found["means"][0], "high": found["means"][1], "weight": found["weight"], "gain": found["gain"], "n_minor": min(ones, len(found["labels"]) - ones)}
-        return pd.DataFrame([row], columns=[group, "n", "low", "high", "weight", "gain", "n_minor"]).astype({"n_minor": "float"})
-
-    return strided(values.select(group, order, value), group, order).groupBy(group).applyInPandas(of, f"{group} {kind}, n long, low double, high double, weight double, gain double, n_minor double")
-
-
-def kmeans_by_group(vectors: DataFrame, group: str, order: str, column: str, dims: int, k: int) -> DataFrame:
-    """group, n, k, silhouette, smallest: k-means of each group's vectors."""
-    kind = dict(vectors.dtypes)[group]
-    few = strided(vectors.select(group, order, F.slice(column, 1, dims).cast("array<double>").alias("x")), group, order)
+            row |= {"low": found["means"][0], "high": found["means"][1], "weight": found["weight"], "gain": found["gain"], "n_minor": min(ones, len(found["labels"]) - ones), "s_low": found["std"][0], "s_high": found["std"][1]}
+        return pd.DataFrame([row], columns=[group, *(x.split()[0] for x in fields.split(", "))]).astype({"n_minor": "float"})
+
+    fits = strided(finite, group, order, most).groupBy(group).applyInPandas(of, f"{group} {kind}, {fields}")
+    large = large_groups(finite, group, most)
+    names = ("n", "low", "high", "weight", "gain", "n_minor")
+    done = fits.join(F.broadcast(large.select(group)), group, "left_anti").select(group, *names)
+    state = {r[group]: r.asDict() for r in fits.join(F.broadcast(large.select(group)), group, "left_semi").collect()}  # a row a crowded group
+    rows = finite.join(F.broadcast(large.select(group)), group, "left_semi")
+    return done.unionByName(values.sparkSession.createDataFrame([tuple(x.get(k) for k in (group, *names)) for x in refined(rows, group, state, rounds)], done.schema)) if state else done
+
+
+def refined(rows: DataFrame, group: str, state: dict, rounds: int) -> list[dict]:
+    """The fits of state (low, high, s_low, s_high, weight by group) after rounds over all rows (group, v)."""
+    spark, kind = rows.sparkSession, dict(rows.dtypes)[group]
+    moments = {r[group]: r for r in rows.groupBy(group).agg(F.count("*").alias("n"), F.var_pop("v").alias("var")).collect()}
+    open_, last = {k for k, x in state.items() if x["low"] is not None}, {}
+    for step in range(rounds + 1):
+        if not open_:
+            break
+        now = spark.createDataFrame([(k, *(float(state[k][x]) for x in ("low", "high", "s_low", "s_high", "weight"))) for k in open_], f"{group} {kind}, low double, high double, s_low double, s_high double, weight double")
+        log = lambda w, m, s: F.log(w) - 0.5 * F.log(2 * math.pi * s * s) - (F.col("v") - m) * (F.col("v") - m) / (2 * s * s)
+        both = rows.join(F.broadcast(now), group).withColumns({"a": log(1 - F.col("weight"), F.col("low"), F.col("s_low")), "b": log(F.col("weight"), F.col("high"), F.col("s_high"))})
+        both = both.withColumn("ll", F.greatest("a", "b") + F.log1p(F.exp(-F.abs(F.col("a") - F.col("b"))))).withColumn("r", F.exp(F.col("b") - F.col("ll")))
+        v, r = F.col("v"), F.col("r")
+        sums = both.groupBy(group).agg(F.count("*").alias("n"), F.sum("ll").alias("ll"), F.sum(r).alias("r"), F.sum(r * v).alias("rv"), F.sum(r * v * v).alias("rvv"), F.sum(v).alias("v"), F.sum(v * v).alias("vv"), F.sum(F.when(F.col("b") > F.col("a"), 1).otherwise(0)).alias("ones"))
+        for x in sums.collect():  # a row a crowded group
+            k, n, ll, old = x[group], x["n"], x["ll"], state[x[group]]
+            one = -0.5 * n * (math.log(2 * math.pi * moments[k]["var"]) + 1)
+            old |= {"n_minor": float(min(x["ones"], n - x["ones"])), "gain": (2 * math.log(n) - 2 * one) - (5 * math.log(n) - 2 * ll)}
+            if step == rounds or (k in last and abs(ll - last[k]) <= 1e-7 * abs(ll)):
+                open_.discard(k)
+                continue
+            last[k] = ll
+            parts = ((n - x["r"], x["v"] - x["rv"], x["vv"] - x["rvv"]), (x["r"], x["rv"], x["rvv"]))
+            if min(p[0] for p in parts) <= 1e-9 * n:
+                old |= dict.fromkeys(("low", "high", "weight", "gain", "n_minor"))
+                open_.discard(k)
+                continue
+            means = [p[1] / p[0] for p in parts]
+            deviations = [math.sqrt(max(p[2] / p[0] - m * m, 1e-9)) for p, m in zip(parts, means, strict=True)]
+            old |= {"low": means[0], "high": means[1], "s_low": deviations[0], "s_high": deviations[1], "weight": x["r"] / n}
+    for k, x in state.items():
+        x["n"] = moments[k]["n"]
+        if x["low"] is not None and min(x["weight"], 1 - x["weight"]) < 0.05:
+            x |= dict.fromkeys(("low", "high", "weight", "gain", "n_minor"))
+        elif x["low"] is not None and x["low"] > x["high"]:
+            x |= {"low": x["high"], "high": x["low"], "weight": 1 - x["weight"]}
+    return [*state.values()]
+
+
+def kmeans_by_group(vectors: DataFrame, group: str, order: str, column: str, dims: int, k: int, most: int = ROWS, rounds: int = 50) -> DataFrame:
+    """group, n, k, silhouette, smallest: k-means of each group's vectors.
+
+    Groups of up to `most` rows are clustered in one task. Larger ones start from the centres of `most` strided rows; Lloyd's
+    rounds then run over all rows, by sums on the executors, and so does the silhouette.
+    """
+    spark, kind = vectors.sparkSession, dict(vectors.dtypes)[group]
+    rows = vectors.select(group, order, F.slice(column, 1, dims).cast("array<double>").alias("x"))
 
-    def of(rows: pd.DataFrame) -> pd.DataFrame:
-        x = np.array(rows.sort_values(order)["x"].tolist())
+    def of(own: pd.DataFrame) -> pd.DataFrame:
+        x = np.array(own.sort_values(order)["x"].tolist())
         if len(x) < 2 * k:
-            return pd.DataFrame([{group: rows[group].iloc[0], "n": len(x), "k": k, "silhouette": 0.0, "smallest": 0}])
-        _, labels = kmeans(x, k)
-        return pd.DataFrame([{group: rows[group].iloc[0], "n": len(x), "k": k, "silhouette": silhouette(x, labels), "smallest": int(np.bincount(labels, minlength=k).min())}])
-
-    return few.groupBy(group).applyInPandas(of, f"{group} {kind}, n long, k int, silhouette double, smallest long")
+            return pd.DataFrame([{group: own[group].iloc[0], "n": len(x), "k": k, "silhouette": 0.0, "smallest": 0, "centres": None}])
+        centres, labels = kmeans(x, k)
+        return pd.DataFrame([{group: own[group].iloc[0], "n": len(x), "k": k, "silhouette": silhouette(x, labels), "smallest": int(np.bincount(labels, minlength=k).min()), "centres": centres.ravel()}])
+
+    fits = strided(rows, group, order, most).groupBy(group).applyInPandas(of, f"{group} {kind}, n long, k int, silhouette double, smallest long, centres array<double>")
+    large = large_groups(rows, group, most).select(group)
+    done = fits.join(F.broadcast(large), group, "left_anti").drop("centres")
+    centres = {r[group]: np.array(r["centres"]).reshape(k, dims) for r in fits.join(F.broadcast(large), group, "left_semi").collect()}  # a row a crowded group
+    if not centres:
+        return done
+    crowded = rows.join(F.broadcast(large), group, "left_semi").select(group, "x")
+    counts: dict = {}
+    for _ in range(rounds):
+        sums = summed(crowded, group, kind, centres, dims)
+        new = {g: np.array([s[j][1] / s[j][0] if j in s else c[j] for j in range(k)]) for g, c in centres.items() for s in (sums[g],)}
+        counts = {g: [sums[g].get(j, (0,))[0] for j in range(k)] for g in centres}
+        still = all(np.allclose(new[g], centres[g], rtol=0, atol=1e-12) for g in centres)
+        centres = new
+        if still:
+            break
+    sums = summed(crowded, group, kind, centres, dims)
+    out = []
+    for g in centres:
+        total = sum(s[0] for s in sums[g].values())
+        out.append((g, total, k, sum(s[2] for s in sums[g].values()) / total if len(sums[g]) > 1 else 0.0, min(counts[g])))
+    return done.unionByName(spark.createDataFrame(out, done.schema))
+
+
+def summed(rows: DataFrame, group: str, kind: str, centres: dict, dims: int) -> dict:
+    """For each group and nearest centre: how many rows, their sum, and the sum of their silhouettes by centres."""
+    shared = rows.sparkSession.sparkContext.broadcast(centres)  # k vectors a crowded group
+
+    def of(batches):
+        for own in batches:
+            for g, part in own.groupby(group):
+                x, c = np.array(part["x"].tolist()), shared.value[g]
+                d = np.sqrt(((x[:, None, :] - c[None]) ** 2).sum(axis=2))
+                labels = d.argmin(axis=1)
+                a = d[np.arange(len(x)), labels]
+                d[np.arange(len(x)), labels] = np.inf
+                big = np.maximum(a, d.min(axis=1))
+                value = np.where(big > 0, (d.min(axis=1) - a) / np.where(big > 0, big, 1), 0)
+                yield pd.DataFrame([{group: g, "j": j, "n": int((labels == j).sum()), "total": x[labels == j].sum(axis=0), "value": float(value[labels == j].sum())} for j in np.unique(labels)])
+
+    parts = rows.mapInPandas(of, f"{group} {kind}, j int, n long, total array<double>, value double")
+    found = parts.groupBy(group, "j").agg(F.sum("n").alias("n"), F.array(*[F.sum(F.get("total", i)) for i in range(dims)]).alias("total"), F.sum("value").alias("value")).collect()  # k rows a crowded group
+    out: dict = {g: {} for g in centres}
+    for r in found:
+        out[r[group]][r["j"]] = (r["n"], np.array(r["total"]), r["value"])
+    return out
 
 
 def ridge_fit(x: np.ndarray, y: np.ndarray, strength: float) -> tuple[np.ndarray, np.ndarray]:
