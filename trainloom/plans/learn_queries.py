@@ -74,11 +74,15 @@ def run_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(learn.run_report(rows, ["status", "priority"], "o_totalprice"), 4)
 
 
+#: Labelled rows, those of least hash, that the trees of boosted_labels are fitted to at most; every document is scored.
+FIT_ROWS = 5000
+
+
 @query()
 def boosted_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality labels learned from simple counts of each labelled document, and a score for every document."""
     docs = read(spark, sf_dir, "documents").select("doc_id", F.length("text").cast("double").alias("n"), F.regexp_count("text", F.lit("[A-Z]")).cast("double").alias("upper"), F.regexp_count("text", F.lit("[#*$%&|<>!]")).cast("double").alias("marks"))
-    rows = docs.join(read(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id").orderBy(F.xxhash64("doc_id")).limit(5000).toPandas()
+    rows = docs.join(read(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id").orderBy(F.xxhash64("doc_id")).limit(FIT_ROWS).toPandas()
     model = learn.boost(rows[["n", "upper", "marks"]].to_numpy(float), rows["quality"].to_numpy(float), rounds=30)
     return rounded(learn.score(docs, model, ["n", "upper", "marks"]).select("doc_id", "prediction"), 6)
 

@@ -16,13 +16,12 @@ def sorted_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.ranked(clusters(spark, sf_dir).select("cluster_id", "n_spikes"), "n_spikes", True).withColumn("place", F.col("place").cast("long"))
 
 
-@query(f"""WITH c AS (SELECT cluster_id, CASE WHEN cluster_id % 4 = 0 THEN 'NaN'::DOUBLE WHEN cluster_id % 4 = 1 THEN NULL ELSE presence_ratio END AS x FROM ({CLUSTERS}))
-    SELECT cluster_id, row_number() OVER (ORDER BY x IS NULL OR isnan(x), CASE WHEN isnan(x) THEN NULL ELSE x END IS NULL, CASE WHEN x IS NULL THEN 1 ELSE 0 END DESC, CASE WHEN isnan(x) THEN NULL ELSE x END DESC, cluster_id) AS place FROM c WHERE NOT (x IS NULL OR isnan(x))""")
+@query(f"""WITH c AS (SELECT cluster_id, CASE WHEN n_spikes < 60 THEN 'NaN'::DOUBLE WHEN n_spikes < 65 THEN NULL ELSE presence_ratio END AS x FROM ({CLUSTERS}))
+    SELECT cluster_id, row_number() OVER (ORDER BY x IS NULL OR isnan(x), CASE WHEN NOT isnan(x) THEN x END DESC, cluster_id) AS place FROM c""")
 def sorted_with_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Places of the rows that have a value, in a column with nulls and NaN."""
-    gaps = F.when(F.col("cluster_id") % 4 == 0, F.lit(float("nan"))).when(F.col("cluster_id") % 4 == 1, F.lit(None)).otherwise(F.col("presence_ratio"))
-    rows = tables.ranked(clusters(spark, sf_dir).select("cluster_id", gaps.alias("x")), "x", True)
-    return rows.where("x is not null and not isnan(x)").select("cluster_id", F.col("place").cast("long").alias("place"))
+    """Places of all rows by a column with nulls and NaN."""
+    gaps = F.when(F.col("n_spikes") < 60, F.lit(float("nan"))).when(F.col("n_spikes") >= 65, F.col("presence_ratio"))
+    return tables.ranked(clusters(spark, sf_dir).select("cluster_id", gaps.alias("x")), "x", True).select("cluster_id", F.col("place").cast("long").alias("place"))
 
 
 @query(f"""WITH r AS (SELECT cluster_id, row_number() OVER (ORDER BY n_spikes, cluster_id) AS place FROM ({CLUSTERS})), e AS (SELECT min(place) AS a, max(place) AS b FROM r WHERE cluster_id IN (3, 7))
@@ -31,13 +30,13 @@ def selected_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.between(clusters(spark, sf_dir).select("cluster_id", "n_spikes"), "n_spikes", False, 3, 7).select("cluster_id", F.col("place").cast("long").alias("place"))
 
 
-@query("""WITH a AS (SELECT doc_id AS id, CASE WHEN quality = 1 THEN 'good' ELSE 'noise' END AS l FROM labels), b AS (SELECT doc_id AS id, CASE WHEN toxic = 1 THEN 'noise' ELSE 'good' END AS l FROM labels WHERE doc_id % 3 > 0),
+@query("""WITH a AS (SELECT doc_id AS id, CASE WHEN quality = 1 THEN 'good' ELSE 'noise' END AS l FROM labels), b AS (SELECT doc_id AS id, CASE WHEN toxic = 1 THEN 'noise' ELSE 'good' END AS l FROM labels),
     m AS (SELECT max(id) AS m FROM a), d AS (SELECT i AS id, coalesce(a.l, 'unsorted') AS x, coalesce(b.l, 'unsorted') AS y FROM m, range(0, m.m + 1) r(i) LEFT JOIN a ON a.id = i LEFT JOIN b ON b.id = i)
     SELECT x AS label_a, y AS label_b, count(*) AS n FROM d GROUP BY 1, 2""")
 def label_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "labels")
     a = rows.select("doc_id", F.when(F.col("quality") == 1, "good").otherwise("noise").alias("l"))
-    b = rows.where("doc_id % 3 > 0").select("doc_id", F.when(F.col("toxic") == 1, "noise").otherwise("good").alias("l"))
+    b = rows.select("doc_id", F.when(F.col("toxic") == 1, "noise").otherwise("good").alias("l"))
     return tables.confusion(tables.label_diff(a, b))
 
 
