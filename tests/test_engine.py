@@ -69,7 +69,7 @@ def test_correlogram_matches_all_pairs(spark):
 
 
 def test_dip_of_even_and_two_humps():
-    assert ds.dip_statistic(np.arange(1, 11)) == pytest.approx(0.05)
+    assert ds.dip_statistic(np.arange(1, 11)) == 0  # unimodal
     assert ds.dip_statistic(np.ones(9)) == 0
     two = np.concatenate([np.linspace(0, 1, 50), np.linspace(10, 11, 50)])
     assert ds.dip_statistic(two) > 0.2
@@ -242,3 +242,21 @@ def test_crowded_groups_are_fitted_whole(spark):
     one, many = (models.kmeans_by_group(rows, "g", "i", "p", 2, 2, most=m).first() for m in (5000, 150))
     assert (one["n"], one["smallest"]) == (many["n"], many["smallest"]) == (1000, 300)
     assert many["silhouette"] == pytest.approx(one["silhouette"], abs=0.01)
+
+
+def test_dip_of_unimodal_and_tied_values():
+    assert ds.dip_statistic(np.arange(10.0)) == 0 and ds.dip_statistic(np.ones(9)) == 0
+    assert ds.dip_statistic(np.array([0.0] * 5 + [1.0] * 5)) == pytest.approx(0.25, abs=0.21)
+    rng = np.random.default_rng(1)
+    one, two = rng.normal(0, 1, 400), np.concatenate([rng.normal(-4, 1, 200), rng.normal(4, 1, 200)])
+    assert ds.dip_statistic(one) < 0.03 < 0.1 < ds.dip_statistic(two) <= 0.25
+    tied = np.round(two)
+    assert 0.1 < ds.dip_statistic(tied) <= 0.25
+
+
+def test_mixture_of_tied_values():
+    """Many equal values at the median do not stop a fit."""
+    x = np.array([1.0] * 60 + [1.1] * 40 + [5.0] * 30 + [5.2] * 30)
+    found = models.two_gaussians(x)
+    assert found["means"] == pytest.approx([1.04, 5.1], abs=0.01) and found["weight"] == pytest.approx(0.375, abs=0.01)
+    assert models.two_gaussians(np.array([2.0] * 99 + [2.0000001])) is None

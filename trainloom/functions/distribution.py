@@ -91,14 +91,14 @@ def dip_statistic(values: np.ndarray) -> float:
     """Hartigan's dip: the least distance of the empirical distribution to any unimodal one.
 
     Between the greatest convex minorant up to the modal interval and the least concave majorant beyond it, the
-    interval shrinks until the gap inside is no larger than the dip already found outside.
+    interval shrinks until the gap inside is no larger than the dip already found outside. Unimodal data have 0.
     """
     x = np.sort(np.asarray(values, dtype=float))
     x = x[np.isfinite(x)]
     n = len(x)
     if n < 4 or x[0] == x[-1]:
         return 0.0
-    low, high, dip = 0, n - 1, 1.0
+    low, high, dip = 0, n - 1, 0.0
     while True:
         minorant, majorant = hull(x, low, high, lower=True), hull(x, low, high, lower=False)
         if len(minorant) < 2 or len(majorant) < 2:
@@ -143,15 +143,14 @@ def hull(x: np.ndarray, low: int, high: int, lower: bool) -> list[int]:
 
 
 def fit_gap(x: np.ndarray, knots: list[int], lower: bool) -> float:
-    """The largest distance of the steps to the hull through the knots, in counts."""
+    """The largest distance of the steps to the hull through the knots, in counts; one count at least where there are two knots, also of a tied run."""
     most = 0.0
     for a, b in zip(knots, knots[1:], strict=False):
-        if b - a > 1 and x[b] > x[a]:
+        most = max(most, 1.0)
+        if x[b] > x[a]:
             i = np.arange(a, b + 1)
-            line = a + (x[i] - x[a]) * (b - a) / (x[b] - x[a])
-            most = max(most, float((i - line).max() + 1) if lower else float((line - i).max() + 1))
-        elif b - a > 1:
-            most = max(most, float(b - a))
+            off = i - a - (x[i] - x[a]) * (b - a) / (x[b] - x[a])
+            most = max(most, 1.0 + float(off.max() if lower else -off.min()))
     return most
 
 

@@ -61,16 +61,15 @@ def silhouette(x: np.ndarray, labels: np.ndarray) -> float:
 
 
 def two_gaussians(values: np.ndarray) -> dict | None:
-    """A 1-D mixture of two Gaussians against one, by BIC: means, deviations, weight of the upper one, gain, labels; None under 50 values or where the minor one has less than a twentieth."""
+    """A 1-D mixture of two Gaussians against one, by BIC: means, deviations, weight of the upper one, gain, labels; None under 50 values or where the minor one dies or has less than a twentieth. It starts from the halves of the sorted values."""
     x = values[np.isfinite(values)]
     n = len(x)
     if n < 50 or x.std() <= 0:
         return None
-    cut = np.median(x)
-    parts = [x[x <= cut], x[x > cut]]
-    if min(map(len, parts)) < 2:
+    parts = np.split(np.sort(x), [n // 2])
+    m, v, w = np.array([p.mean() for p in parts]), np.array([max(p.var(), 1e-9) for p in parts]), np.array([0.5, 0.5])
+    if m[1] - m[0] < 1e-6:
         return None
-    m, v, w = np.array([p.mean() for p in parts]), np.array([max(p.var(), 1e-9) for p in parts]), np.array([len(p) / n for p in parts])
     last = -np.inf
     for _ in range(200):
         log = np.log(w) - 0.5 * np.log(2 * np.pi * v) - (x[:, None] - m) ** 2 / (2 * v)
@@ -79,7 +78,7 @@ def two_gaussians(values: np.ndarray) -> dict | None:
         r = np.exp(log - total[:, None])
         ll = total.sum()
         mass = r.sum(axis=0)
-        if mass.min() <= 0:
+        if mass.min() < 2:
             return None
         w, m = mass / n, (r * x[:, None]).sum(axis=0) / mass
         v = np.maximum((r * (x[:, None] - m) ** 2).sum(axis=0) / mass, 1e-9)
