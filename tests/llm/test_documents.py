@@ -1,4 +1,5 @@
 import math
+import os
 import random
 import re
 import textwrap
@@ -48,6 +49,62 @@ def test_rules_reject_what_diverges(spark):
     assert kept == set(range(60))
 
 
+def shannon(p, q):
+    """Jensen-Shannon distance, base 2."""
+    part = lambda x, m: sum(a * math.log2(a / b) for a, b in zip(x, m, strict=True) if a > 0)
+    m = [(a + b) / 2 for a, b in zip(p, q, strict=True)]
+    return math.sqrt(max(0.0, (part(p, m) + part(q, m)) / 2))
+
+
+def brute_shares(text):
+    """Shares of the character classes, and counts of the common words."""
+    text = text or ""
+    counts = [len(re.findall(x, text)) for x in quality_rules.CLASSES.values()]
+    counts.append(len(text) - sum(counts))
+    words = [re.sub(r"[.,;:!?#*$%&|]+$", "", w).lower() for w in re.split("[\x20\x09-\x0d]+", text) if w]
+    return counts, len(words), Counter(w for w in words if w in quality_rules.ALL_COMMON)
+
+
+def test_distances_against_brute_force(spark):
+    rng = random.Random(2)
+    some = {x: [*c, *("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9))) for _ in range(80))] for x, c in quality_rules.COMMON.items()}
+    rows = []
+    for i in range(80):
+        lang = rng.choice([*some, "xx"])
+        words = rng.choices(some.get(lang, some["en"]), k=rng.randint(10, 300))
+        text = " ".join(w.upper() + "!?" if rng.random() < (i % 8) / 8 else w for w in words)
+        rows.append((i, text, lang))
+    rows += [(100 + i, t, "en") for i, t in enumerate(TEXTS)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    good = [(t, x) for _, t, x in rows if x in quality_rules.COMMON and base(t)[0] >= 50 and 100 * base(t)[4] <= 50 * base(t)[0]]
+    known = {}
+    for lang, common in quality_rules.COMMON.items():
+        own = [brute_shares(t) for t, x in good if x == lang]
+        if own:
+            chars, n = [sum(c) for c in zip(*[o[0] for o in own], strict=True)], sum(o[1] for o in own)
+            shares = [sum(o[2][w] for o in own) / n for w in common]
+            known[lang] = [c / sum(chars) for c in chars], [*shares, 1 - sum(shares)]
+    for r in quality_rules.judge(docs).collect():
+        text = next(t for i, t, _ in rows if i == r["doc_id"])
+        (chars, n, count), size = brute_shares(text), max(1, len(text or ""))
+        far = min(shannon([c / size for c in chars], known[x][0]) for x in known)
+        words = [[count[w] / max(1, n) for w in quality_rules.COMMON[x]] for x in known]
+        apart = min(shannon([*o, max(0.0, 1 - sum(o))], known[x][1]) for x, o in zip(known, words, strict=True))
+        assert (r["char_distance"], r["word_distance"]) == pytest.approx((far, apart), abs=1e-9)
+        noise = 1 / math.sqrt(max(1, n))
+        rejected = far > quality_rules.CHAR_LIMIT + quality_rules.CHAR_NOISE * noise or apart > quality_rules.WORD_LIMIT + quality_rules.WORD_NOISE * noise
+        assert r["kept"] == (not r["base_failed"] and not rejected)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="needs the test tables")
+def test_classifier_on_held_out_rows(spark):
+    from trainloom.llm import queries
+
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
+    held = [r for r in queries.op1_quality_model(spark, "/root/testdata/sf0.01").collect() if r["held_out"] and labels.get(r["doc_id"]) is not None]
+    assert len(held) > 40 and np.mean([r["predicted"] == labels[r["doc_id"]] for r in held]) > 0.95
+
+
 def test_rules_edges(docs, odd, empty):
     assert quality_rules.judge(docs).count() == len(ROWS) and quality_rules.judge(empty).count() == 0
     assert quality_rules.keep(odd).columns == odd.columns and quality_rules.keep(empty).count() == 0
