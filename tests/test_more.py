@@ -117,3 +117,33 @@ def test_qc_table_and_files(spark, tmp_path):
     assert lines[0].split("\t") == found.columns and all(len(x.split("\t")) == 33 for x in lines)
     records = [json.loads(x) for f in (tmp_path / "json").glob("part-*") for x in f.read_text().splitlines()]
     assert [set(x) for x in records] == [set(found.columns)] * 3 and all(x["silhouette"] is None for x in records)
+
+
+def test_as_of_and_neighbours(spark):
+    rng = np.random.default_rng(6)
+    left = [(int(k), int(t), int(i)) for i, (k, t) in enumerate(zip(rng.integers(0, 3, 60), rng.integers(0, 500, 60), strict=True))]
+    right = [(int(k), int(t), float(v)) for k, t, v in zip(rng.integers(0, 3, 40), rng.integers(0, 500, 40), rng.random(40), strict=True)] + [(0, 3, None)]
+    a, b = spark.createDataFrame(left, "k long, t long, i long"), spark.createDataFrame(right, "k long, t long, v double")
+    want = {}
+    for k, t, i in left:
+        before = [(u, v) for j, u, v in right if j == k and u <= t and v is not None]
+        want[i] = max(before)[1] if before else None
+    for block in (1, 37, 10_000):
+        assert {r["i"]: r["v"] for r in tables.as_of(a, b, "k", "t", "v", block).collect()} == want
+    points = spark.createDataFrame([(5, 0.0, 0.0), (2, 2.0, 0.0), (9, 9.0, 9.0)], "id long, x double, y double")
+    assert tables.nearest(points, 1.0, 0.0, 3.0).first()["id"] == 2 and tables.nearest(points, 50.0, 0.0, 3.0).count() == 0
+    edges = spark.createDataFrame([(1, 2, 0.5), (2, 3, 0.4), (1, 9, 0.3)], "a long, b long, s double")
+    assert tables.inner_edges(edges, spark.createDataFrame([(1,), (2,), (3,)], "c long"), "c").count() == 2
+
+
+def test_failures_and_read_only(spark):
+    rows = spark.createDataFrame([(1, 0.5, -3.0), (2, float("nan"), 1.0), (3, 0.1, None)], "c long, p double, d double")
+    limits = {"p": {"greater": 0.4, "less": 0.9}, "d": {"less": 2.0, "abs": True}, "nothing": {"less": 1}}
+    got = [r["f"] for r in rows.orderBy("c").select(tables.threshold_failures(rows, limits).alias("f")).collect()]
+    assert got == [["d"], ["p"], ["p", "d"]]
+    got = [r["f"] for r in rows.orderBy("c").select(tables.threshold_failures(rows, limits, ("d",)).alias("f")).collect()]
+    assert got == [["d"], [], ["p", "d"]]
+    assert tables.read_only(spark, "WITH x AS (SELECT explode(sequence(1, 9)) AS a) SELECT a FROM x ORDER BY a", 3).count() == 3
+    for sql in ("DROP TABLE IF EXISTS x", "CREATE TABLE x (a INT) USING parquet", "SET a = 1"):
+        with pytest.raises(ValueError):
+            tables.read_only(spark, sql)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Short names of columns that users of curation tools know (fixed values).
@@ -95,3 +95,64 @@ def overlap_10_90(spikes: DataFrame, pairs: DataFrame) -> DataFrame:
     shared = F.greatest(F.lit(0.0), F.least("ha", "hb") - F.greatest("la", "lb"))
     short = F.least(F.col("ha") - F.col("la"), F.col("hb") - F.col("lb"))
     return both.select("a", "b", F.when(short > 0, shared / short).otherwise(0.0).alias("overlap"))
+
+
+def as_of(left: DataFrame, right: DataFrame, by: str, t: str, value: str, block: int) -> DataFrame:
+    """left with value, what the last row of right at or before its time has for the same key; null if there is none.
+
+    Of right rows at one time the largest value counts. Rows are ordered within blocks of time, and what a block begins
+    with comes from one row a key and block, so a crowded key is dealt to as many tasks as it has blocks.
+    """
+    kinds = dict(right.dtypes)
+    own = left.select(by, t, F.lit(1).alias("_asks"), F.lit(None).cast(kinds[value]).alias("_v"), F.struct(*left.columns).alias("_row"))
+    theirs = right.where(F.col(value).isNotNull()).select(by, t, F.lit(0).alias("_asks"), F.col(value).alias("_v"), F.lit(None).cast(left.select(F.struct(*left.columns).alias("_row")).schema["_row"].dataType).alias("_row"))
+    both = own.unionByName(theirs).withColumn("_block", F.floor(F.col(t) / F.lit(block)))
+    inside = Window.partitionBy(by, "_block").orderBy(t, "_asks", "_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ends = both.groupBy(by, "_block").agg(F.max(F.when(F.col("_asks") == 0, F.struct(t, "_v"))).alias("_end"))
+    before = Window.partitionBy(by).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select(by, "_block", F.last("_end", ignorenulls=True).over(before)["_v"].alias("_before"))
+    found = both.withColumn("_last", F.last("_v", ignorenulls=True).over(inside)).where("_asks = 1").join(ends, [by, "_block"])
+    return found.select("_row.*", F.coalesce("_last", "_before").alias(value))
+
+
+def inner_edges(edges: DataFrame, members: DataFrame, key: str) -> DataFrame:
+    """The edges (a, b) both of whose ends are in members."""
+    own = members.select(key).distinct()
+    return edges.join(own.withColumnRenamed(key, "a"), "a", "left_semi").join(own.withColumnRenamed(key, "b"), "b", "left_semi").select(*edges.columns)
+
+
+def nearest(points: DataFrame, x: float, y: float, reach: float) -> DataFrame:
+    """The one of points (id, x, y) that is nearest to a place, if one is within reach; the least id on ties. One row at most."""
+    away = F.hypot(F.col("x") - F.lit(x), F.col("y") - F.lit(y))
+    best = points.select("id", away.alias("distance")).where(F.col("distance") <= reach).agg(F.min(F.struct("distance", "id")).alias("b"))
+    return best.where("b is not null").select("b.id", "b.distance")
+
+
+def threshold_failures(table: DataFrame, limits: dict[str, dict], missing_fails: tuple[str, ...] | None = None) -> Column:
+    """Metrics whose limits a row breaks, by name: least (greater) and most (less) are allowed values, abs takes the absolute one.
+
+    What is missing or not finite fails, or where missing_fails is given, only for the metrics that it names.
+    """
+    broken = []
+    for metric, limit in limits.items():
+        if metric not in table.columns:
+            continue
+        x = F.col(metric).cast("double")
+        unknown = x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
+        size = F.abs(x) if limit.get("abs") else x
+        outside = F.lit(False)
+        for name, wrong in (("greater", lambda v, b: v < b), ("less", lambda v, b: v > b)):
+            if limit.get(name) is not None:
+                outside = outside | wrong(size, F.lit(float(limit[name])))
+        fails = F.when(unknown, F.lit(missing_fails is None or metric in missing_fails)).otherwise(outside)
+        broken.append(F.when(fails, F.lit(metric)))
+    return F.array_compact(F.array(*broken)) if broken else F.array().cast("array<string>")
+
+
+def read_only(spark: SparkSession, sql: str, most: int = 1000) -> DataFrame:
+    """The rows of one SELECT, `most` at most; ValueError for any other statement."""
+    plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
+    kind = plan.getClass().getSimpleName()
+    if kind not in ("Project", "Aggregate", "Sort", "GlobalLimit", "LocalLimit", "Distinct", "Filter", "UnresolvedWith", "Union", "UnresolvedHaving", "Deduplicate", "Except", "Intersect", "UnresolvedOrderBy", "Join", "SubqueryAlias"):
+        raise ValueError(f"only a query may run, not {kind}")
+    return spark.sql(sql).limit(most)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trainloom.operators import tables
+from trainloom.operators import proposers, tables
 from trainloom.plans.queries import by_type, query, rounded
 from trainloom.plans.scoring_queries import CLUSTERS, clusters
 from trainloom.plans.tables import read, spikes
@@ -77,3 +77,40 @@ def unmerged(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spikes(spark, sf_dir).select("spike_idx", "cluster_id")
     merged = rows.withColumn("cluster_id", F.when(F.col("cluster_id").isin(1, 2), 3).otherwise(F.col("cluster_id")))
     return tables.unsplit(merged, rows.where("cluster_id in (1, 2)")).select("spike_idx", F.col("cluster_id").cast("long").alias("cluster_id"))
+
+
+@query("""WITH e AS (SELECT event_id, user_id, epoch_us(ts) AS t, event_type, value FROM events), l AS (SELECT event_id, user_id, t FROM e WHERE event_type = 'purchase'), r AS (SELECT user_id, t, max(value) AS value FROM e WHERE event_type = 'click' GROUP BY 1, 2)
+    SELECT l.event_id, l.user_id, l.t, r.value FROM l ASOF LEFT JOIN r ON l.user_id = r.user_id AND l.t >= r.t""")
+def as_of_clicks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every purchase with the value of its user's last click before it."""
+    rows = spikes(spark, sf_dir).select(F.col("spike_idx").alias("event_id"), F.col("cluster_id").alias("user_id"), "t", F.col("amplitude").alias("value"), "template")
+    return tables.as_of(rows.where("template = 'purchase'").select("event_id", "user_id", "t"), rows.where("template = 'click'"), "user_id", "t", "value", 86_400_000_000)
+
+
+LIMITS = {"presence_ratio": {"greater": 0.72}, "drift_correlation": {"less": 0.1, "abs": True}, "amplitude_snr": {"greater": 0.9, "less": 1.05}}
+
+
+@query(f"""SELECT cluster_id, array_to_string(list_filter([CASE WHEN presence_ratio < 0.72 THEN 'presence_ratio' END, CASE WHEN abs(drift_correlation) > 0.1 THEN 'drift_correlation' END, CASE WHEN amplitude_snr < 0.9 OR amplitude_snr > 1.05 THEN 'amplitude_snr' END], lambda x: x IS NOT NULL), ',') AS failed FROM ({CLUSTERS})""")
+def threshold_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = clusters(spark, sf_dir)
+    return rows.select("cluster_id", F.array_join(tables.threshold_failures(rows, LIMITS), ",").alias("failed"))
+
+
+@query("""SELECT vec_id, label, d.j - 1 AS j, round((embedding[d.j]::DOUBLE - m) / sd, 6) + 0.0 AS z FROM embeddings, range(1, 65) d(j), (SELECT label AS g, i, avg(embedding[i]::DOUBLE) AS m, stddev_samp(embedding[i]::DOUBLE) AS sd FROM embeddings, range(1, 65) r(i) GROUP BY 1, 2) s WHERE s.g = label AND s.i = d.j""")
+def whitened_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector in the standard scores of its label; all dimensions are present and vary."""
+    found = proposers.whitened(read(spark, sf_dir, "embeddings"), "label", "vec_id", "embedding")
+    return found.select("vec_id", "label", F.posexplode("x").alias("j", "z")).select("vec_id", "label", F.col("j").cast("long").alias("j"), (F.round("z", 6) + F.lit(0.0)).alias("z"))
+
+
+@query()
+def feature_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors far from the others of their label."""
+    return proposers.outliers(read(spark, sf_dir, "embeddings").select("label", "vec_id", F.slice("embedding", 1, 6).cast("array<double>").alias("x")), "label", "vec_id")
+
+
+@query()
+def amplitude_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cuts of the logarithmic amplitudes of each event type."""
+    rows = spikes(spark, sf_dir).select("template", "spike_idx", F.log1p(F.abs("amplitude")).alias("v"))
+    return rounded(proposers.axis_cuts(rows, "template", "spike_idx", "v"), 5)
