@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from trainloom.sources import formats, readers
+from trainloom.sources import analyzer, formats, readers
 
 
 @pytest.fixture
@@ -122,3 +122,47 @@ def test_detect(tmp_path):
     (tmp_path / "x" / "sorting").mkdir()
     (tmp_path / "x" / "recording.json").write_text("{}")
     assert formats.detect(str(tmp_path / "x")) == "analyzer"
+
+
+@pytest.fixture
+def analyzer_folder(tmp_path):
+    """Seven spikes of two units in one segment, metrics with a gap, and nine samples of two channels below a filter."""
+    sorting = tmp_path / "sorting"
+    sorting.mkdir()
+    rows = np.array([(9, 0, 1), (4, 0, 0), (21, 0, 1), (33, 0, 1), (35, 0, 0), (50, 0, 0), (58, 0, 1)], [("sample_index", "<i8"), ("segment_index", "<i4"), ("unit_index", "<i2")])
+    np.save(sorting / "spikes.npy", rows)
+    np.save(sorting / "unit_ids.npy", np.array([12, 30]))
+    (tmp_path / "extensions" / "quality_metrics").mkdir(parents=True)
+    (tmp_path / "extensions" / "quality_metrics" / "metrics.csv").write_text("unit;snr;rate\n12;4.5;\n30;7;0.25\nx;1;1\n")
+    (tmp_path / "recording.json").write_text(json.dumps({"class": "Filter", "kwargs": {"recording": {"class": "Binary", "kwargs": {"file_paths": ["raw.bin"], "sampling_frequency": 1000.0, "num_chan": 2, "dtype": "int16"}}}}))
+    (np.arange(18).reshape(9, 2) - 4).astype("<i2").tofile(tmp_path / "raw.bin")
+    return tmp_path
+
+
+def test_analyzer_folder(spark, analyzer_folder):
+    root = str(analyzer_folder)
+    assert formats.detect(root) == "analyzer" and analyzer.detect_sorter(root, "analyzer") == "spikeinterface"
+    found = analyzer.open_analyzer(spark, root)
+    times = {r["cluster_id"]: sorted(r["t"]) for r in found["spikes"].groupBy("cluster_id").agg(F.collect_list("t").alias("t")).collect()}
+    assert times == {12: [4, 35, 50], 30: [9, 21, 33, 58]}
+    assert sorted(map(tuple, found["metrics"].collect())) == [(12, "snr", 4.5), (30, "rate", 0.25), (30, "snr", 7.0)]
+    trace = {r["t"]: list(r["samples"]) for r in found["trace"].collect()}
+    assert len(trace) == 9 and trace[2] == [0, 1]
+    assert sorted(r["spike_idx"] for r in analyzer.record_spikes(spark, f"{root}/sorting/spikes.npy", 3).collect()) == list(range(7))
+    (analyzer_folder / "sorting" / "annotations.json").write_text('{"__sorting_info__": {"log": {"sorter_name": "SpyKING"}}}')
+    assert analyzer.detect_sorter(root, "analyzer") == "spyking"
+
+
+def test_flat_analyzer_with_names(spark, tmp_path):
+    sorting = tmp_path / "sorting"
+    sorting.mkdir()
+    np.save(sorting / "spike_times.npy", np.array([5, 1, 8], np.uint64))
+    np.save(sorting / "unit_indices.npy", np.array([1, 0, 1], np.uint32))
+    (sorting / "numpysorting_info.json").write_text('{"unit_ids": ["a", "007"]}')
+    found = analyzer.open_analyzer(spark, str(tmp_path))
+    assert sorted(map(tuple, found["clusters"].collect())) == [(0, "a", "unsorted"), (1, "007", "unsorted")]
+    assert sorted(map(tuple, found["spikes"].collect())) == [(0, 5, 1), (1, 1, 0), (2, 8, 1)] and "trace" not in found
+    bad = np.array([(1, 1, 0)], [("sample_index", "<i8"), ("segment_index", "<i4"), ("unit_index", "<i2")])
+    np.save(sorting / "spikes.npy", bad)
+    with pytest.raises(Exception, match="several segments"):
+        analyzer.open_analyzer(spark, str(tmp_path))["spikes"].collect()
