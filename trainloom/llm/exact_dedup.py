@@ -6,7 +6,7 @@ agree; what agrees with no slot is grouped separately. Shards hold about SHARD_K
 input's size, so a task needs one shard in memory at a time. A shard with many rows (a hot digest) is sent to
 several tasks, each with a share of the rows.
 
-Null and empty texts are the same text. Of rows that are equal in length and doc_id the one first read
+Null and empty texts are the same text. Very long texts are hashed whole, in one task each. Of rows that are equal in length and doc_id the one first read
 stays; null doc_ids lose to others. Other columns are ignored, whatever their names; an empty table gives an
 empty result.
 """

@@ -13,7 +13,8 @@ and of those that stand out go through the rounds of `rounds.connect`, so that a
 about its size and no link between components is lost. A set is taken once a task however often it occurs there,
 so a hot copy adds a row a task; hubs with many partners are dealt to several tasks.
 
-Null and empty texts have no shingles and link with nothing. Null doc_ids stay null unless linked with others;
+Null and empty texts have no shingles and link with nothing; the set of a very long text is in memory whole, one at a
+time. Repeated rows are one class. Null doc_ids stay null unless linked with others;
 rows with equal doc_ids are separate documents. Other columns are ignored; an empty table gives no rows.
 """
 

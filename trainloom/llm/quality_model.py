@@ -10,7 +10,7 @@ grow with the corpus; their moments are summed on the executors. Labels of null,
 missing, do not count; a doc_id with both labels counts as both. With no labels of a class, every score is the
 smoothed share of label 1.
 
-Null texts score as empty ones. Rows with equal or null doc_ids are scored as they stand; `score` takes only
+Null texts score as empty ones, very long ones by all of their characters, one text in memory at a time. Rows with equal or null doc_ids are scored as they stand; `score` takes only
 the text, so clashing names do not matter. An empty table gives no rows.
 """
 

@@ -6,7 +6,7 @@ rejected if its Jensen-Shannon distance (base 2, so 0 to 1) to the nearest langu
 limit. Histograms of short texts are noise: the limit rises with 1 / sqrt(words), and texts of under MIN_WORDS
 words are left to the base rule.
 
-Null and empty texts have no words and fail. The declared language only sorts documents into references; a
+Null and empty texts have no words and fail; very long ones are judged whole, in one task each. The declared language only sorts documents into references; a
 null or unknown one adds to none and is judged by all. Rows with equal or null doc_ids are judged as they
 stand; other columns are ignored, or kept by `keep`, whatever their names. An empty table gives no rows; with no
 references, nothing is rejected for its distance.
