@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and its result is written as Parquet and read again as the next one's
 docs. What a stage drops is gone for those after it; all but the last return the columns of documents.
+
+Null texts are empty ones: the classifier scores them, the quality rules drop them as they have no words. Very long
+texts are read whole. Of equal and near copies the least doc_id stays (of equal ones the longest first), null doc_ids
+losing to others and the row read first winning ties; repeated rows are copies. Columns of documents beyond the known
+ones are kept, whatever their names, until packing, which returns pieces. An empty table gives no rows in each stage.
 """
 
 from __future__ import annotations
