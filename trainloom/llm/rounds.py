@@ -112,6 +112,10 @@ def connect(crowded: DataFrame, few: DataFrame, order: str, may_link: Filter, ma
         pairs = scratch.save(pairs if tried is None else pairs.join(tried, ["hub", "other"], "left_anti"), f"pairs{step}")
         if pairs.limit(1).count():
             tried = pairs if tried is None else tried.unionByName(pairs)
-            labels = merged(labels, scratch.save(verify(pairs), f"links{step}"), scratch, f"labels{step}")
+            found = scratch.save(verify(pairs), f"links{step}")
+            if found.limit(1).count():
+                labels = merged(labels, found, scratch, f"labels{step}")
+        elif not open_.limit(1).count():
+            break  # no token of several components, no pair untried
         crowded = open_.select("token", "m")
     return labels
