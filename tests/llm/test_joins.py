@@ -113,13 +113,13 @@ def near(a, b):
     return 10 * row[-1] <= max(len(a), len(b))
 
 
-def recall(spark, pairs):
-    """Of pairs of lines that are near, the share of which one line goes; no pair is like another one."""
-    pairs = [(a, b) for a, b in pairs if a != b and near(a, b)]
-    docs = spark.createDataFrame([(i, f"{a}\n{b}") for i, (a, b) in enumerate(pairs)], "doc_id long, text string")
-    found = [r["n_dropped"] for r in line_dedup.dedup(docs).collect()]
-    assert len(pairs) > 20 and set(found) <= {0, 1}
-    return sum(found) / len(pairs)
+def recall(spark, sets):
+    """For each set of pairs of lines, of those that are near the share of which one line goes; no pair is like another one."""
+    sets = [[(a, b) for a, b in pairs if a != b and near(a, b)] for pairs in sets]
+    docs = spark.createDataFrame([(1000 * k + i, f"{a}\n{b}") for k, pairs in enumerate(sets) for i, (a, b) in enumerate(pairs)], "doc_id long, text string")
+    found = {r["doc_id"]: r["n_dropped"] for r in line_dedup.dedup(docs).collect()}
+    assert min(map(len, sets)) > 20 and set(found.values()) <= {0, 1}
+    return [sum(found[1000 * k + i] for i in range(len(pairs))) / len(pairs) for k, pairs in enumerate(sets)]
 
 
 @pytest.mark.parametrize("seed", [5, 6])
@@ -141,11 +141,13 @@ def test_lines_recall(spark, seed):
             own[i : i + (kind > 0)] = [word(1)] if kind < 2 else []
         return text, "".join(own)
 
-    assert recall(spark, [replaced(line(k)) for k in (12, 20, 40, 100, 200) for _ in range(20)]) == 1
-    assert recall(spark, [scattered(" ".join(line(k)), 1) for k in (5, 8, 20, 50, 200) for _ in range(20)]) == 1
-    assert recall(spark, [scattered(x := " ".join(line(rng.randint(2, 6)))[:39].strip(), max(1, len(x) // 10)) for _ in range(150)]) == 1
-    assert recall(spark, [scattered(x := " ".join(line(rng.randint(9, 30))), len(x) // 10) for _ in range(100)]) > 0.9
-    assert recall(spark, [scattered(word(80), 5) for _ in range(40)]) > 0.95
+    words = [replaced(line(k)) for k in (12, 20, 40, 100, 200) for _ in range(20)]
+    letters = [scattered(" ".join(line(k)), 1) for k in (5, 8, 20, 50, 200) for _ in range(20)]
+    short = [scattered(x := " ".join(line(rng.randint(2, 6)))[:39].strip(), max(1, len(x) // 10)) for _ in range(150)]
+    long = [scattered(x := " ".join(line(rng.randint(9, 30))), len(x) // 10) for _ in range(100)]
+    runs = [scattered(word(80), 5) for _ in range(40)]
+    found = recall(spark, [words, letters, short, long, runs])
+    assert found[:3] == [1, 1, 1] and found[3] > 0.9 and found[4] > 0.95
 
 
 def test_edits_of_lines(spark):
