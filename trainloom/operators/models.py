@@ -211,17 +211,17 @@ def isolation(inside: np.ndarray, outside: np.ndarray, neighbours: int = 8) -> d
     return out
 
 
-def isolation_by_group(vectors: DataFrame, group: str, order: str, column: str, dims: int) -> DataFrame:
-    """group and its isolation measures against the rows of all other groups, strided to ROWS each.
+def isolation_by_group(vectors: DataFrame, group: str, order: str, column: str, dims: int, most: int = ROWS) -> DataFrame:
+    """group, n (rows taken) and its isolation measures against the rows of all other groups, strided to `most` each.
 
-    The surroundings are one strided sample of all rows (ROWS a group at most, then ROWS in all), which every
+    The surroundings are one strided sample of all rows (`most` a group, then `most` in all), which every
     task gets; a group's own rows are left out there.
     """
     kind = dict(vectors.dtypes)[group]
-    few = strided(vectors.select(group, order, F.slice(column, 1, dims).cast("array<double>").alias("x")), group, order)
+    few = strided(vectors.select(group, order, F.slice(column, 1, dims).cast("array<double>").alias("x")), group, order, most)
     total = few.count()
-    around = few.orderBy(order).withColumn("_k", F.row_number().over(Window.orderBy(order)) - 1).where(F.col("_k") % max(1, math.ceil(total / ROWS)) == 0) if total > ROWS else few
-    sample = around.select(group, "x").toPandas()  # ROWS rows at most
+    around = few.orderBy(order).withColumn("_k", F.row_number().over(Window.orderBy(order)) - 1).where(F.col("_k") % max(1, math.ceil(total / most)) == 0) if total > most else few
+    sample = around.select(group, "x").toPandas()  # `most` rows
     shared = vectors.sparkSession.sparkContext.broadcast((sample[group].to_numpy(), np.array(sample["x"].tolist()).reshape(len(sample), -1)))
     names = ("isolation_distance", "l_ratio", "nn_hit_rate", "d_prime", "silhouette")
 
