@@ -105,8 +105,9 @@ def whitened_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def feature_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vectors far from the others of their label."""
-    return proposers.outliers(read(spark, sf_dir, "embeddings").select("label", "vec_id", F.slice("embedding", 1, 6).cast("array<double>").alias("x")), "label", "vec_id")
+    """Events far from the others of their type by value, its logarithm and the hour of the day."""
+    x = F.array(F.col("amplitude"), F.log1p(F.abs("amplitude")), F.pmod(F.col("t") / F.lit(3_600_000_000), F.lit(24.0)))
+    return proposers.outliers(spikes(spark, sf_dir).select("template", "spike_idx", x.alias("x")), "template", "spike_idx")
 
 
 @query()
