@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 #: Bytes in a generation of what a Python worker remembers, counting ENTRY for an entry besides its piece and ids. Bounds memory, not results.
-REMEMBERED, ENTRY = 64 << 20, 160
+REMEMBERED, ENTRY = 128 << 20, 160
 #: Longer pieces, in bytes or characters, are encoded anew each time: they hardly come twice.
 LONGEST = 64
 
