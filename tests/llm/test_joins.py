@@ -155,6 +155,13 @@ def test_edits_of_lines(spark):
     rng = random.Random(3)
     lines = [" ".join(rng.choice(["a", "ab", "b", "cab"]) for _ in range(rng.randint(1, 7))) for _ in range(300)]
     pairs = [(a, b) for a, b in zip(lines, lines[1:], strict=False) if a != b]
+    for _ in range(60):  # long ones, with edits at random places, and unlike ones
+        own = list(" ".join(rng.choice(["ab", "bcd", "cab", "dddd"]) for _ in range(rng.randint(15, 30))))
+        other = list(own)
+        for _ in range(rng.randint(1, 9)):
+            i, kind = rng.randrange(len(other)), rng.randrange(3)
+            other[i : i + (kind > 0)] = [rng.choice("abcd ")] if kind < 2 else []
+        pairs.append((" ".join("".join(own).split()), " ".join("".join(other).split())))
     rows = spark.createDataFrame(pairs, "x string, y string").select("x", "y", line_dedup.edits("x", "y", "5").alias("d")).collect()
     for r in rows:
         row = list(range(len(r["y"]) + 1))
