@@ -205,3 +205,13 @@ def test_lines_against_brute_force(spark, odd):
 def test_short_lines_are_fuzzy(spark):
     docs = spark.createDataFrame([(1, "Copyright 2023 Example Inc\nall others"), (2, "Copyright 2024 Example Inc")], "doc_id long, text string")
     assert {r["doc_id"]: r["text"] for r in line_dedup.dedup(docs).collect()} == {1: "Copyright 2023 Example Inc\nall others", 2: ""}
+
+
+def test_packed_places_round_trip():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    rows = np.zeros(500, ngram_join.PLACE)
+    rows["token"], rows["uid"], rows["n"], rows["pos"] = rng.integers(0, 2**64, 500, dtype=np.uint64), rng.integers(0, 2**60, 500), rng.integers(0, 9999, 500), rng.integers(0, 99, 500)
+    for n in (0, 1, 500):
+        assert (ngram_join.unpacked(ngram_join.packed(rows[:n])) == rows[:n]).all()
