@@ -1,4 +1,5 @@
 import math
+import time
 
 import numpy as np
 import pytest
@@ -226,6 +227,39 @@ def test_greedy_refractory(spark):
     assert sorted(r["t"] for r in signal.refractory(found, existing, 2, 2).collect()) == [12, 15]
 
 
+def test_greedy_refractory_of_crowded_runs(spark):
+    """One run of many peaks is chosen in blocks, as a plain greedy choice over all of it; so is a chain of ever larger peaks."""
+    rng = np.random.default_rng(4)
+    rows = [(u, int(t), float(v)) for u in (0, 1) for t, v in zip(rng.integers(0, 40_000, 9000), rng.integers(0, 500, 9000), strict=True)]
+    rows += [(2, 7 * i, float(i)) for i in range(6000)]
+    taken = [(u, int(t)) for u in (0, 2) for t in rng.integers(0, 40_000, 60)]
+
+    def plain(ticks):
+        for u in (0, 1, 2):
+            busy = np.full(42_100 + 2 * ticks, False)
+            for v, t in sorted((-1e9, t) for w, t in taken if w == u) + sorted((-v, t) for w, t, v in rows if w == u):
+                if v == -1e9 or not busy[t + ticks]:
+                    busy[t : t + 2 * ticks + 1] = True
+                    if v != -1e9:
+                        yield u, t, -v
+
+    found = spark.createDataFrame(rows, "unit long, t long, v double").repartition(4)
+    existing = spark.createDataFrame(taken, "unit long, t long")
+    for ticks in (0, 9, 60):
+        assert sorted(tuple(r) for r in signal.refractory(found, existing, ticks, ticks).collect()) == sorted(plain(ticks)), ticks
+
+
+def test_refractory_takes_a_crowded_unit_in_linear_time():
+    """A million peaks of one run take seconds, not their squares."""
+    rng = np.random.default_rng(5)
+    t, start = rng.integers(0, 10_000_000, 1_000_000), time.time()
+    state = signal.greedy_choice(t, rng.random(len(t)), 600)
+    picked = np.sort(t[state == 1])
+    took, at = time.time() - start, np.searchsorted(picked, t)
+    near = np.minimum(np.abs(t - picked[np.minimum(at, len(picked) - 1)]), np.abs(t - picked[np.maximum(at - 1, 0)]))
+    assert (np.diff(picked) > 600).all() and near.max() <= 600 and took < 60
+
+
 def test_crowded_groups_are_fitted_whole(spark):
     """Groups of more rows than one task takes give what all their rows give at once."""
     rng = np.random.default_rng(8)

@@ -67,27 +67,72 @@ def margin(found: DataFrame, others: DataFrame, reach: int, least: float) -> Dat
     return found.join(met, ["t", "v"], "left").where(F.col("best").isNull() | (F.col("v") - F.col("best") >= least)).drop("best")
 
 
+#: A block of the greedy choice is as many refractory times long.
+CHOICE_BLOCK = 256
+
+
+def greedy_choice(t: np.ndarray, v: np.ndarray, ticks: int, low: int | None = None, high: int | None = None) -> np.ndarray:
+    """1 of each peak taken by falling v (the earlier on ties), none within `ticks` of one taken; 0 of the others.
+
+    Where only the peaks from low up to high are known, 2 of those that hang on peaks beyond. A cell of ticks + 1 holds one
+    taken peak at most, and open ones of a cell count by the first and the last, so a peak looks at three cells only.
+    """
+    out = np.zeros(len(t), np.int8)
+    taken: dict[int, int] = {}
+    open_: dict[int, tuple[int, int]] = {}
+    times, cells = t.tolist(), (t // (ticks + 1)).tolist()
+    for i in np.lexsort((t, -v)).tolist():
+        x, c = times[i], cells[i]
+        if c in taken or x - taken.get(c - 1, x - ticks - 1) <= ticks or taken.get(c + 1, x + ticks + 1) - x <= ticks:
+            continue
+        beside = c in open_ or (c - 1 in open_ and x - open_[c - 1][1] <= ticks) or (c + 1 in open_ and open_[c + 1][0] - x <= ticks)
+        if beside or (low is not None and x - low < ticks) or (high is not None and high - x <= ticks):
+            first, last = open_.get(c, (x, x))
+            open_[c] = (min(first, x), max(last, x))
+            out[i] = 2
+        else:
+            taken[c] = x
+            out[i] = 1
+    return out
+
+
 def refractory(found: DataFrame, existing: DataFrame, ticks: int, gap: int) -> DataFrame:
-    """Peaks (unit, t, v) taken by falling v, none within `ticks` of one taken or of an existing (unit, t).
+    """Peaks (unit, t, v) taken by falling v, none within `ticks` of one taken or of an existing (unit, t); peaks without a time are none.
 
-    The choice is greedy, so peaks that lie in reach of each other are dealt with together: a run ends where no
-    peak follows within the reach, and runs go to different tasks.
+    The choice is greedy: a peak hangs on larger ones in reach, those on larger ones still. Blocks of time choose alone and leave
+    open what hangs on peaks beyond their ends; that is chosen in blocks that begin between those, and what is open
+    even then (a chain of ever larger peaks through a whole block) as runs, which end where none follows within the gap. Each
+    step is exact: a peak decided has no open peak in reach that is larger, and an open one has none taken in reach.
     """
+    kind, length = dict(found.dtypes)["unit"], CHOICE_BLOCK * max(ticks, 1)
+    block = F.floor(F.col("t") / F.lit(max(ticks, 1)))
+    # Of existing peaks, the first and the last of each block as long as the reach decide.
+    ends = existing.where("t is not null").groupBy("unit", block.alias("_b")).agg(F.min("t").alias("lo"), F.max("t").alias("hi"))
+    ends = ends.select("unit", F.explode(F.array(*[F.struct((F.col("_b") + k).alias("_b"), F.col("lo").alias("lo"), F.col("hi").alias("hi")) for k in (-1, 0, 1)])).alias("e"))
+    ends = ends.groupBy("unit", F.col("e._b").alias("_b")).agg(F.sort_array(F.flatten(F.collect_list(F.array("e.lo", "e.hi")))).alias("_ends"))
+    free = found.where("t is not null").withColumn("_b", block).join(ends, ["unit", "_b"], "left")
+    free = free.where(F.col("_ends").isNull() | ~F.exists("_ends", lambda u: F.abs(F.col("t") - u) <= ticks)).select("unit", F.col("t").cast("long").alias("t"), F.col("v").cast("double").alias("v"))
+
+    def chosen(rows: DataFrame, shift: int) -> DataFrame:
+        """Rows with state 1 (taken) or 2 (open); those taken before stay."""
+
+        def of(group: pd.DataFrame) -> pd.DataFrame:
+            low = int(group["_block"].iloc[0]) * length - shift
+            state, ask = group["state"].to_numpy(np.int8, copy=True), group["state"].to_numpy() == 2
+            state[ask] = greedy_choice(group["t"].to_numpy()[ask], group["v"].to_numpy()[ask], ticks, low, low + length)
+            return group.assign(state=state)[state > 0][["unit", "t", "v", "state"]]
+
+        return rows.withColumn("_block", F.floor((F.col("t") + shift) / F.lit(length))).groupBy("unit", "_block").applyInPandas(of, f"unit {kind}, t long, v double, state byte")
+
+    def last(group: pd.DataFrame) -> pd.DataFrame:
+        return group[greedy_choice(group["t"].to_numpy(), group["v"].to_numpy(), ticks) == 1][["unit", "t", "v"]]
+
+    # The second choice reads the first one's taken peaks too, so that the plan has one exchange after it and it runs once.
+    both = chosen(chosen(free.withColumn("state", F.lit(2).cast("byte")), 0), length // 2)
     w = Window.partitionBy("unit").orderBy("t")
-    far = F.coalesce(F.col("t") - F.lag("t").over(w) > gap, F.lit(True))
-    runs = found.withColumn("_new", F.when(far, 1).otherwise(0)).withColumn("run", F.sum("_new").over(w)).drop("_new")
-    kind = dict(found.dtypes)["unit"]
-
-    def choose(group: pd.DataFrame) -> pd.DataFrame:
-        taken: list[int] = []
-        for i in np.lexsort((group["t"].to_numpy(), -group["v"].to_numpy())):
-            t = int(group["t"].iloc[i])
-            if all(abs(t - int(group["t"].iloc[k])) > ticks for k in taken):
-                taken.append(int(i))
-        return group.iloc[sorted(taken)][["unit", "t", "v"]]
-
-    blocked = found.join(existing.select("unit", F.col("t").alias("u")), "unit").where(F.abs(F.col("t") - F.col("u")) <= ticks).select("unit", "t").distinct()
-    return runs.join(blocked, ["unit", "t"], "left_anti").groupBy("unit", "run").applyInPandas(choose, f"unit {kind}, t long, v double")
+    far = F.coalesce(F.col("t") - F.lag("t").over(w) > max(gap, ticks), F.lit(True))
+    rest = both.where("state = 2").withColumn("_new", F.when(far, 1).otherwise(0)).withColumn("run", F.sum("_new").over(w)).select("unit", "t", "v", "run")
+    return both.where("state = 1").drop("state").unionByName(rest.groupBy("unit", "run").applyInPandas(last, f"unit {kind}, t long, v double"))
 
 
 def snippets(trace: DataFrame, spikes: DataFrame, before: int, after: int, length: int) -> DataFrame:
