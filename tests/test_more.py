@@ -51,6 +51,22 @@ def test_landmarks_of_a_trough_above_zero(spark):
     assert set(by) == {"A", "B"} and by["A"]["half_width_ms"] is None and by["B"]["half_width_ms"] == pytest.approx(1.0)
 
 
+def test_pair_outcomes_are_counted_without_pairs(spark):
+    """Counts are those of the pairs, of repeated roots and null homes too; a home of 400,000 roots (80 billion pairs) is no more work than its rows."""
+    rng = np.random.default_rng(6)
+    pick = lambda n, m: [(None if rng.random() < 0.05 else int(rng.integers(0, m)), None if rng.random() < 0.1 else int(rng.integers(0, 4))) for _ in range(n)]
+    for most in (30, 400):
+        truth, test = (spark.createDataFrame(pick(60, most), "root long, home int") for _ in range(2))
+        wanted = tables.pair_outcomes(tables.together(truth), tables.together(test)).groupBy("outcome").count().collect()
+        assert sorted(map(tuple, tables.pair_outcome_counts(truth, test).collect())) == sorted(map(tuple, wanted)), most
+    empty = spark.createDataFrame([], "root long, home int")
+    assert tables.pair_outcome_counts(empty, empty).collect() == []
+    many = spark.range(400_000).select(F.col("id").alias("root"), F.lit(1).alias("home"))
+    halves = many.select("root", (F.col("root") % 2).cast("int").alias("home"))
+    n, half = 400_000 * 399_999 // 2, 200_000 * 199_999
+    assert dict(map(tuple, tables.pair_outcome_counts(many, halves).collect())) == {"hit": half, "missed_merge": n - half}
+
+
 def test_fdr_threshold():
     found = shape.fdr_threshold(np.array([1.0, 2, 3, 4, 5]), np.array([1.0, 1, 2, 2, 3]), 5, 0.1)
     assert found == {"theta": 2.0, "accepted": 4, "false_positives": 0.6} or found["theta"] == 3.0

@@ -59,6 +59,35 @@ def pair_outcomes(truth: DataFrame, test: DataFrame) -> DataFrame:
     return hits.unionByName(missed).unionByName(test.exceptAll(truth).withColumn("outcome", F.lit("false_merge")))
 
 
+def pair_outcome_counts(truth: DataFrame, test: DataFrame) -> DataFrame:
+    """outcome, n of pair_outcomes(together(truth), together(test)), from homes (root, home) and without the pairs.
+
+    Roots of one home a side at most count by sizes: n roots that share homes make n (n - 1) / 2 pairs. A root of several
+    rows makes pairs as often as homes agree; such ones are counted once for each distinct set of homes, against the sets that
+    share one. Outcomes without a pair have no row.
+    """
+    # A home of a side is one value; null is none, and a null root is in no pair.
+    rows = truth.select("root", "home", F.lit(1).alias("x"), F.lit(0).alias("y")).unionByName(test.select("root", "home", F.lit(0).alias("x"), F.lit(1).alias("y"))).where("root is not null and home is not null")
+    each = rows.groupBy("root", "home").agg(F.sum("x").alias("x"), F.sum("y").alias("y")).groupBy("root")
+    sets = each.agg(F.sort_array(F.collect_list(F.struct("home", "x", "y"))).alias("homes"), ((F.sum("x") <= 1) & (F.sum("y") <= 1)).alias("plain")).groupBy("homes", "plain").agg(F.count("*").alias("n"))
+    sets = sets.withColumns({"at": F.expr("get(filter(homes, h -> h.x > 0), 0).home"), "bt": F.expr("get(filter(homes, h -> h.y > 0), 0).home")})
+    plain = sets.where("plain")
+    pairs = F.expr("sum(n) * (sum(n) - 1) div 2")
+    size = lambda *by: plain.dropna(subset=by).groupBy(*by).agg(pairs.alias("p")).agg(F.coalesce(F.sum("p"), F.lit(0)).alias("p"))
+    hit, x, y = size("at", "bt"), size("at"), size("bt")
+    simple = hit.select(F.col("p").alias("hit")).crossJoin(x.select(F.col("p").alias("x"))).crossJoin(y.select(F.col("p").alias("y")))  # one row each
+    simple = simple.select("hit", (F.col("x") - F.col("hit")).alias("missed_merge"), (F.col("y") - F.col("hit")).alias("false_merge"))
+    # Sets of several rows against all that share a home, each two once; a set against itself has the pairs of its roots.
+    sets = sets.select(F.to_json("homes").alias("s"), "plain", "n", F.explode("homes").alias("h"))
+    left = sets.where("not plain").select("s", "n", "h")
+    right = sets.select(F.col("s").alias("r"), F.col("plain").alias("p"), F.col("n").alias("m"), F.col("h").alias("k"))
+    both = left.join(right, F.col("h.home") == F.col("k.home")).where("p or s <= r").groupBy("s", "r", "n", "m").agg(F.sum(F.col("h.x") * F.col("k.x")).alias("x"), F.sum(F.col("h.y") * F.col("k.y")).alias("y"))
+    both = both.withColumn("pairs", F.expr("if(s = r, n * (n - 1) div 2, n * m)"))
+    mixed = both.agg(F.sum(F.when((F.col("x") > 0) & (F.col("y") > 0), F.col("pairs"))).alias("hit"), F.sum(F.greatest(F.col("x") - F.col("y"), F.lit(0)) * F.col("pairs")).alias("missed_merge"), F.sum(F.greatest(F.col("y") - F.col("x"), F.lit(0)) * F.col("pairs")).alias("false_merge"))
+    total = simple.unionByName(mixed).agg(*[F.sum(c).alias(c) for c in ("hit", "missed_merge", "false_merge")])
+    return total.unpivot([], ["hit", "missed_merge", "false_merge"], "outcome", "n").where("n > 0").select("outcome", F.col("n").cast("long").alias("n"))
+
+
 def append_sessions(tables: list[tuple[str, DataFrame]]) -> DataFrame:
     """One table of several sessions' rows, with sid; raises ValueError where columns or types differ."""
     first = tables[0][1]
