@@ -2,6 +2,7 @@ import math
 import time
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -221,6 +222,58 @@ def test_lttb_keeps_ends_and_spike():
     assert len(signal.lttb_points(np.arange(5.0), y[:5], 2)) == 5
 
 
+def test_lags_are_counted_alike_by_pairs_and_ranks(spark, monkeypatch):
+    """Sparse and dense trains, ties and repeated spikes, in small bunches: the counts of all pairs of rows, either way."""
+    rng = np.random.default_rng(9)
+    rows = [(int(i), c, int(t)) for i, (c, t) in enumerate(zip(rng.choice(list("abc"), 400), rng.integers(-50, 900, 400), strict=True))]
+    rows += [(i, "a", 300) for i in (7, 7, 900)] + [(i, "d", 300) for i in (901, 902)] + [(950, "d", 5000), (951, None, 5), (952, "a", None)]
+    df = spark.createDataFrame(rows, "spike_idx long, cluster_id string, t long").repartition(3)
+    full = [r for r in rows if r[1] is not None and r[2] is not None]
+    pairs, edges = {("a", "b"), ("b", "d"), ("c", "c")}, [-25, -20, -20, 0, 7, 26]
+    plain: dict = {}
+    order: dict = {}
+    for p, a, t in full:
+        for q, b, u in full:
+            k = int(np.searchsorted(edges, u - t, "right")) - 1
+            if (a, b) in pairs and 0 <= k < 5:
+                plain[a, b, k] = plain.get((a, b, k), 0) + 1
+            if (u > t or (u == t and (b > a or (b == a and q > p)))) and u - t < 40:
+                order[a, b, (u - t) // 10] = order.get((a, b, (u - t) // 10), 0) + 1
+    as_dict = lambda found: {(r["a"], r["b"], r["bin"]): r["n"] for r in found.collect()}
+    assert as_dict(co.lag_counts(df, edges, pairs)) == plain and as_dict(co.lag_counts(df, [0, 10, 20, 30, 40], None, True)) == order
+    t = np.array(sorted(r[2] for r in full))
+    by_time = sorted(full, key=lambda r: r[2])
+    ids, spike, own = np.array(["abcd".index(r[1]) for r in by_time]), np.array([r[0] for r in by_time]), t // 37 % 3 > 0
+    monkeypatch.setattr(co, "HELD", 50)
+    for cuts, wanted, ordered in ((edges, rng.random((4, 4)) < 0.6, False), ([0, 10, 20, 30, 40], np.ones((4, 4), bool), True)):
+        one, two = ({}, {})
+        for into, way in ((one, co.count_pairs), (two, co.count_ranks)):
+            for code, n in way(ids, t, own, spike, np.array(cuts), wanted, ordered):
+                for c, m in zip(code.tolist(), n.tolist(), strict=True):
+                    into[c] = into.get(c, 0) + m
+        assert one == two and sum(one.values()) > 500
+
+
+def test_bunches_are_whole_blocks_apart(monkeypatch):
+    monkeypatch.setattr(co, "BUNCH", 4)
+    rows = pd.DataFrame({"block": [1, 1, 1, 5, 5, 5, 5, 5, 9, 2, 2], "t": range(11)})
+    for step in (1, 2, 3, 11):
+        got = list(co.bunches((rows.iloc[i : i + step] for i in range(0, 11, step)), 100, 200))
+        assert [t - (t // 300) * 300 for g in got for t in g["t"]] == [(t - b * 100) % 300 for b, t in zip(rows["block"], rows["t"], strict=True)]
+        blocks = [set(g["block"]) for g in got]
+        assert not any(a & b for i, a in enumerate(blocks) for b in blocks[:i])
+
+
+def test_dense_trains_are_counted_by_ranks(spark):
+    """Two trains of 200,000 spikes within one reach, 40 billion pairs: counts by ranks take seconds."""
+    df = spark.range(400_000).select(F.col("id").alias("spike_idx"), (F.col("id") % 2).alias("cluster_id"), F.floor(F.col("id") / 2).alias("t"))
+    pairs = spark.createDataFrame([(0, 1)], "a long, b long")
+    found = [r["n"] for r in co.cross_correlogram(df, pairs, 200_000, 4).orderBy("bin").collect()]
+    n, half = 200_000, 100_000
+    far = half * (half - 1) // 2  # lags from -199,999 to -100,001
+    assert sum(found) == n * n and found[0] == far and found[3] == far + half and found[1] + found[0] == n * (n - 1) // 2
+
+
 def test_greedy_refractory(spark):
     found = spark.createDataFrame([(0, 10, 1.0), (0, 12, 5.0), (0, 14, 2.0), (0, 15, 3.0), (0, 100, 1.0)], "unit long, t long, v double")
     existing = spark.createDataFrame([(0, 101)], "unit long, t long")

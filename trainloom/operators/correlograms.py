@@ -2,11 +2,16 @@
 
 Times are cut in blocks as long as the reach; a row meets the rows of its block and of the two beside it, by an
 equi-join on the block, so no pair is tried that is more than two blocks apart. A crowded stretch of time is
-dealt to as many tasks as it has blocks.
+dealt to as many tasks as it has blocks. Correlograms between clusters count lags block by block without a row for each
+pair of spikes: where spikes are dense, a spike's lags in a bin are a difference of two ranks among the other cluster's.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,13 +35,121 @@ def dense(counts: DataFrame, ids: DataFrame, bins: int) -> DataFrame:
     return grid.join(counts, [*keys, "bin"], "left").select(*keys, "bin", F.coalesce("n", F.lit(0)).alias("n"))
 
 
+#: A block of time is so many reaches long; blocks are counted together up to so many rows; as many pairs or ranks are held at once.
+REACHES, BUNCH, HELD = 8, 50_000, 2_000_000
+#: Pairs of clusters that tasks are told; of more, they count all that meet.
+FEW_PAIRS = 10_000
+
+
+def bunches(batches: Iterator[pd.DataFrame], length: int, apart: int) -> Iterator[pd.DataFrame]:
+    """Whole blocks of rows sorted by block, BUNCH rows or more at once, with t such that blocks are too far apart to meet."""
+
+    def moved(rows: pd.DataFrame) -> pd.DataFrame:
+        nth = rows["block"].ne(rows["block"].shift()).cumsum().to_numpy()
+        return rows.assign(t=rows["t"].to_numpy() - rows["block"].to_numpy() * length + nth * (length + apart))
+
+    kept: list[pd.DataFrame] = []
+    for batch in batches:
+        if not len(batch):
+            continue
+        if kept and sum(map(len, kept)) >= BUNCH:
+            # What this batch has of the last block is still part of the bunch.
+            more = int((batch["block"] == kept[-1]["block"].iloc[-1]).to_numpy().argmin()) if (batch["block"] != kept[-1]["block"].iloc[-1]).any() else len(batch)
+            kept.append(batch.iloc[:more])
+            batch = batch.iloc[more:]
+            if not len(batch):
+                continue
+            yield moved(pd.concat(kept))
+            kept = []
+        kept.append(batch)
+    if kept:
+        yield moved(pd.concat(kept))
+
+
+def count_pairs(ids: np.ndarray, t: np.ndarray, own: np.ndarray, spike: np.ndarray, edges: np.ndarray, wanted: np.ndarray, ordered: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(code, n) of lags from own rows to any, t sorted, by pairs; code is (id * ids + other) * bins + bin. Some HELD pairs at once."""
+    bins, most = len(edges) - 1, len(wanted)
+    rows = np.flatnonzero(own)
+    low, high = np.searchsorted(t, t[rows] + edges[0]), np.searchsorted(t, t[rows] + edges[-1])
+    upto = np.concatenate([[0], np.cumsum(high - low)])
+    start = 0
+    while start < len(rows):
+        end = max(start + 1, int(np.searchsorted(upto, upto[start] + HELD, "right")) - 1)
+        n = (high - low)[start:end]
+        i = np.repeat(rows[start:end], n)
+        j = np.arange(len(i)) - np.repeat(upto[start:end] - upto[start] - low[start:end], n)
+        good = wanted[ids[i], ids[j]]
+        if ordered:
+            good &= (t[j] > t[i]) | (ids[j] > ids[i]) | ((ids[j] == ids[i]) & (spike[j] > spike[i]))
+        i, j = i[good], j[good]
+        yield np.unique((ids[i] * most + ids[j]) * bins + np.searchsorted(edges, t[j] - t[i], "right") - 1, return_counts=True)
+        start = end
+
+
+def count_ranks(ids: np.ndarray, t: np.ndarray, own: np.ndarray, spike: np.ndarray, edges: np.ndarray, wanted: np.ndarray, ordered: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """What count_pairs counts, by the ranks of each own row plus each edge among the other cluster's rows."""
+    bins, most = len(edges) - 1, len(wanted)
+    each = [(t[ids == c], t[own & (ids == c)]) for c in range(most)]
+    for a, b in zip(*np.nonzero(wanted), strict=True):
+        mine, theirs, cuts = each[a][1], each[b][0], edges.copy()
+        if ordered and a >= b:
+            cuts[0] = max(cuts[0], 1)  # rows of one time count once, in order of cluster
+        ranks, step = np.zeros(bins + 1, np.int64), max(1, HELD // (bins + 1))
+        for k in range(0, len(mine), step):
+            ranks += np.searchsorted(theirs, cuts[:, None] + mine[None, k : k + step]).sum(axis=1)
+        n = np.diff(ranks)
+        if ordered and a == b:
+            inside = own & (ids == a)
+            twice = lambda x: int((lambda m: m * (m - 1) // 2)(np.unique(x, axis=0, return_counts=True)[1]).sum())
+            n[0] += twice(mine) - twice(np.stack([mine, spike[inside]], axis=1))
+        found = np.flatnonzero(n)
+        yield (a * most + b) * bins + found, n[found]
+
+
+def lag_counts(trains: DataFrame, edges: list[int], wanted: set[tuple] | None, ordered: bool = False) -> DataFrame:
+    """a, b, bin, n: lags of b after a in [edge, next edge) of whole ticks, of the pairs wanted (of all if None); only bins with a count.
+
+    The first edge is 0 at most, the last one above 0. ordered: lags of 0 count once, in order of cluster and spike, and no spike
+    meets itself. In each bunch of blocks that way is taken which does less: a step for each pair of spikes in reach, or
+    for each spike, other cluster and edge.
+    """
+    cuts = np.array(edges, np.int64)
+    length = REACHES * int(max(-cuts[0], cuts[-1]))
+    of = lambda t: F.floor(t / F.lit(length)).cast("long")
+    rows = trains.where("t is not null and cluster_id is not null").select("cluster_id", F.col("t").cast("long").alias("t"), (F.col("spike_idx").cast("long") if ordered else F.lit(0).cast("long")).alias("spike"))
+    if wanted is not None:
+        rows = rows.where(F.col("cluster_id").isin(sorted({x for pair in wanted for x in pair})))
+    rows = rows.withColumn("block", F.explode(F.sequence(of(F.col("t") - int(cuts[-1] - 1)), of(F.col("t") - int(cuts[0])))))
+    parts = int(trains.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartition(parts, "block").sortWithinPartitions("block")
+    kind = dict(trains.dtypes)["cluster_id"]
+
+    def of_part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in bunches((b.assign(own=b["t"] // length == b["block"]) for b in batches), length, 2 * length):
+            rows = rows.sort_values("t", kind="stable")
+            ids, names = pd.factorize(rows["cluster_id"], sort=True)
+            t, own, spike = rows["t"].to_numpy(), rows["own"].to_numpy(), rows["spike"].to_numpy()
+            ask = np.ones((len(names), len(names)), bool)
+            if wanted is not None:
+                ask = np.array([[(a, b) in wanted for b in names] for a in names])
+            pairs = (np.searchsorted(t, t[own] + cuts[-1]) - np.searchsorted(t, t[own] + cuts[0])).sum()
+            # A rank costs about two pairs, and a pair of clusters some thousand.
+            ranks = 2 * len(cuts) * (np.bincount(ids[own], minlength=len(names)) * ask.sum(axis=1)).sum() + 1000 * ask.sum()
+            for code, n in (count_ranks if ranks < pairs else count_pairs)(ids, t, own, spike, cuts, ask, ordered):
+                pair, k = np.divmod(code, len(cuts) - 1)
+                yield pd.DataFrame({"a": names[pair // len(names)], "b": names[pair % len(names)], "bin": k, "n": n})
+
+    found = dealt.mapInPandas(of_part, f"a {kind}, b {kind}, bin int, n long")
+    return found.groupBy("a", "b", "bin").agg(F.sum("n").alias("n"))
+
+
 def cross_correlogram(trains: DataFrame, pairs: DataFrame, reach: int, bins: int) -> DataFrame:
     """a, b, bin, n for pairs (a, b) of clusters: lags of b after a of at most reach, empty bins too."""
-    a = pairs.join(trains.select(F.col("cluster_id").alias("a"), "t"), "a")
-    b = pairs.join(trains.select(F.col("cluster_id").alias("b"), F.col("t").alias("u")), "b")
-    dt = F.col("u") - F.col("t")
-    counts = near(a, b, reach, ["a", "b"]).where(F.abs(dt) <= reach).groupBy("a", "b", lag_bin(dt, reach, bins).alias("bin")).agg(F.count("*").alias("n"))
-    return dense(counts, pairs.select("a", "b").distinct(), bins)
+    keys = pairs.select("a", "b").distinct()
+    some = keys.limit(FEW_PAIRS + 1).collect()
+    wanted = {(r["a"], r["b"]) for r in some} if len(some) <= FEW_PAIRS else None
+    edges = [-(-k * 2 * reach // bins) - reach for k in range(bins)] + [reach + 1]
+    return dense(lag_counts(trains, edges, wanted), keys, bins)
 
 
 def auto_correlogram(trains: DataFrame, reach: int, bins: int) -> DataFrame:
@@ -54,12 +167,8 @@ def correlograms(trains: DataFrame, bin_ticks: int, half: int) -> DataFrame:
     Forward lags are counted once, rows of one time in order of cluster; bins behind mirror those ahead, and
     lag 0 of a pair is the larger of its two orders.
     """
-    reach = bin_ticks * (half + 1)
-    a = trains.select(F.col("cluster_id").alias("i"), "t", F.col("spike_idx").alias("p"))
-    b = trains.select(F.col("cluster_id").alias("j"), F.col("t").alias("u"), F.col("spike_idx").alias("q"))
-    after = (F.col("u") > F.col("t")) | ((F.col("u") == F.col("t")) & ((F.col("j") > F.col("i")) | ((F.col("j") == F.col("i")) & (F.col("q") > F.col("p")))))
-    k = F.floor((F.col("u") - F.col("t")) / F.lit(bin_ticks)).cast("int")
-    ahead = near(a, b, reach).where(after & (k <= half)).groupBy("i", "j", k.alias("k")).agg(F.count("*").alias("n"))
+    counts = lag_counts(trains, [k * bin_ticks for k in range(half + 2)], None, ordered=True)
+    ahead = counts.select(F.col("a").alias("i"), F.col("b").alias("j"), F.col("bin").alias("k"), "n")
     zero = ahead.where("k = 0")
     zero = zero.unionByName(zero.select(F.col("j").alias("i"), F.col("i").alias("j"), "k", "n")).groupBy("i", "j", "k").agg(F.max("n").alias("n"))
     later = ahead.where("k > 0")
