@@ -274,6 +274,18 @@ def test_dense_trains_are_counted_by_ranks(spark):
     assert sum(found) == n * n and found[0] == far and found[3] == far + half and found[1] + found[0] == n * (n - 1) // 2
 
 
+def test_ccg_z_in_one_pass(spark):
+    """Both z of a pair come from one aggregate, and are those of two dips; without shoulders they are NaN."""
+    rng = np.random.default_rng(3)
+    rows = [(a, k, int(n)) for a in (1, 2) for k, n in enumerate(rng.integers(0, 30, 100))] + [(3, k, 5) for k in range(100)] + [(4, k, 0) for k in range(100)]
+    counts = spark.createDataFrame(rows, "a int, bin int, n long")
+    found = co.ccg_z(counts, ["a"])
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    dip, sync = ({r["a"]: r["z"] for r in co.refractory_dip(counts, ["a"], 100, *w).collect()} for w in ((2, 8), (3, 12)))
+    by = {r["a"]: (r["dip_z"], r["sync_z"]) for r in found.collect()}
+    assert all(by[a] == pytest.approx((-dip[a], max(0, -sync[a]))) for a in (1, 2)) and all(np.isnan(by[a]).all() for a in (3, 4))
+
+
 def test_greedy_refractory(spark):
     found = spark.createDataFrame([(0, 10, 1.0), (0, 12, 5.0), (0, 14, 2.0), (0, 15, 3.0), (0, 100, 1.0)], "unit long, t long, v double")
     existing = spark.createDataFrame([(0, 101)], "unit long, t long")

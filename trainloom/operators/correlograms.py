@@ -186,25 +186,28 @@ def refractory_dip(counts: DataFrame, keys: list[str], bins: int, centre: int, s
     Centre: `centre` bins on each side of lag 0; shoulders: the next `shoulder` bins outward of it on each side. Their
     population standard deviation is at least 1e-6. score is 1 - exp(-max(z, 0) / 2), 0 without shoulders.
     """
-    half = bins // 2
-    r = min(centre, half)
-    s = min(shoulder, half - r)
-    inner = (F.col("bin") >= half - r) & (F.col("bin") < half + r)
-    outer = ~inner & (F.col("bin") >= half - r - s) & (F.col("bin") < half + r + s)
-    n = F.col("n").cast("double")
-    sums = counts.groupBy(*keys).agg(F.avg(F.when(inner, n)).alias("c"), F.avg(F.when(outer, n)).alias("m"), F.stddev_pop(F.when(outer, n)).alias("d"))
-    d = F.greatest(F.col("d"), F.lit(1e-6))
-    z = F.coalesce((F.col("m") - F.col("c")) / d, F.lit(0.0))
-    return sums.select(*keys, z.alias("z"), (1 - F.exp(-F.greatest(z, F.lit(0.0)) / 2)).alias("score"), F.coalesce("m", F.lit(0.0)).alias("shoulder_mean"), F.coalesce(d, F.lit(0.0)).alias("shoulder_std"))
+    return dips(counts, keys, bins, {"": (centre, shoulder)}).select(*keys, "z", (1 - F.exp(-F.greatest(F.col("z"), F.lit(0.0)) / 2)).alias("score"), F.coalesce("m", F.lit(0.0)).alias("shoulder_mean"), F.coalesce("d", F.lit(0.0)).alias("shoulder_std"))
+
+
+def dips(counts: DataFrame, keys: list[str], bins: int, widths: dict[str, tuple[int, int]]) -> DataFrame:
+    """keys, and z, m, d (shoulders' mean and deviation) of each name's centre and shoulder, in one pass over the counts."""
+    half, n = bins // 2, F.col("n").cast("double")
+    sums = []
+    for name, (centre, shoulder) in widths.items():
+        r = min(centre, half)
+        s = min(shoulder, half - r)
+        inner = (F.col("bin") >= half - r) & (F.col("bin") < half + r)
+        outer = ~inner & (F.col("bin") >= half - r - s) & (F.col("bin") < half + r + s)
+        sums += [F.avg(F.when(inner, n)).alias(f"c{name}"), F.avg(F.when(outer, n)).alias(f"m{name}"), F.greatest(F.stddev_pop(F.when(outer, n)), F.lit(1e-6)).alias(f"d{name}")]
+    return counts.groupBy(*keys).agg(*sums).withColumns({f"z{x}": F.coalesce((F.col(f"m{x}") - F.col(f"c{x}")) / F.col(f"d{x}"), F.lit(0.0)) for x in widths})
 
 
 def ccg_z(counts: DataFrame, keys: list[str], bins: int = 100, least: float = 2.0) -> DataFrame:
     """keys, dip_z, sync_z: the negative of the dip's z over 2 and 8 bins, and its excess over 3 and 12; NaN where shoulders hold under `least` a bin or do not vary."""
     nan = F.lit(float("nan"))
-    z = lambda: F.when((F.col("shoulder_mean") < least) | (F.col("shoulder_std") <= 1e-5), nan).otherwise(F.least(F.lit(99.0), F.greatest(F.lit(-99.0), -F.col("z"))))
-    dip = refractory_dip(counts, keys, bins, 2, 8).select(*keys, z().alias("dip_z"))
-    sync = refractory_dip(counts, keys, bins, 3, 12).select(*keys, z().alias("sync_z"))
-    return dip.join(sync, keys).select(*keys, "dip_z", F.when(F.isnan("sync_z"), nan).otherwise(F.greatest("sync_z", F.lit(0.0))).alias("sync_z"))
+    z = lambda x: F.when((F.coalesce(f"m{x}", F.lit(0.0)) < least) | (F.coalesce(f"d{x}", F.lit(0.0)) <= 1e-5), nan).otherwise(F.least(F.lit(99.0), F.greatest(F.lit(-99.0), -F.col(f"z{x}"))))
+    found = dips(counts, keys, bins, {"": (2, 8), "2": (3, 12)}).select(*keys, z("").alias("dip_z"), z("2").alias("sync_z"))
+    return found.select(*keys, "dip_z", F.when(F.isnan("sync_z"), nan).otherwise(F.greatest("sync_z", F.lit(0.0))).alias("sync_z"))
 
 
 def burst_index(acg: DataFrame, reach: int, bins: int, near_: tuple[int, int], far: tuple[int, int]) -> DataFrame:
