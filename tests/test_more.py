@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from trainloom.operators import learn, probe, qc, shape, tables
+from trainloom.operators import learn, probe, qc, shape, suggest, tables
 from trainloom.streaming import rates
 
 
@@ -67,6 +67,14 @@ def test_pair_outcomes_are_counted_without_pairs(spark):
     assert dict(map(tuple, tables.pair_outcome_counts(many, halves).collect())) == {"hit": half, "missed_merge": n - half}
 
 
+def test_merge_candidates_of_dense_clusters(spark):
+    """Two clusters of 150,000 spikes all within reach of one another: no row for each of 45 billion pairs."""
+    df = spark.range(300_000).select(F.col("id").alias("spike_idx"), (F.col("id") % 2).alias("cluster_id"), F.floor(F.col("id") / 2).alias("t"), (F.col("id") % 7).cast("double").alias("amplitude"))
+    found = suggest.merge_candidates(df, 150_000, 150_000, 10, 1, 30, 0.5, 0.0, 8).collect()
+    assert len(found) == 1 and (found[0]["a"], found[0]["b"], found[0]["n_a"], found[0]["n_b"]) == (0, 1, 150_000, 150_000)
+    assert found[0]["dip_z"] < 0 and found[0]["amp_ks"] < 0.01  # most lags are short
+
+
 def test_fdr_threshold():
     found = shape.fdr_threshold(np.array([1.0, 2, 3, 4, 5]), np.array([1.0, 1, 2, 2, 3]), 5, 0.1)
     assert found == {"theta": 2.0, "accepted": 4, "false_positives": 0.6} or found["theta"] == 3.0
