@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from tests.llm.conftest import ROWS
@@ -215,3 +216,15 @@ def test_packed_places_round_trip():
     rows["token"], rows["uid"], rows["n"], rows["pos"] = rng.integers(0, 2**64, 500, dtype=np.uint64), rng.integers(0, 2**60, 500), rng.integers(0, 9999, 500), rng.integers(0, 99, 500)
     for n in (0, 1, 500):
         assert (ngram_join.unpacked(ngram_join.packed(rows[:n])) == rows[:n]).all()
+
+
+def test_sketches_bound_what_is_apart():
+    """Sketches of sets of any sizes differ in no more parts than there are shingles in one set only; they take a bit a part."""
+    rng = np.random.default_rng(2)
+    for n, m, shared in ((600, 600, 600), (600, 800, 550), (1000, 1030, 990), (5000, 5200, 100), (40_000, 31_000, 30_500)):
+        both = rng.integers(0, 1 << 63, n + m - shared).astype(np.uint64) * np.uint64(2)
+        a, b = np.sort(both[:n]), np.sort(both[n - shared :])
+        x, y = ngram_join.sketch(a), ngram_join.sketch(b)
+        apart = n + m - 2 * shared
+        assert ngram_join.least_apart(x, y) == ngram_join.least_apart(y, x) <= apart and len(x) <= n // 4 + 8
+        assert ngram_join.least_apart(x, y) >= apart // 2 if apart <= 300 else True

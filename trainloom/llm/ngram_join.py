@@ -5,8 +5,8 @@ order puts rare shingles first: shingles that stand out in counts over all docum
 rest by hash. (Any one order is exact; HEAVY bounds only how many shingles have a count of their own.) Two sets
 that meet the threshold share a shingle among their first n - ceil(0.75 n) + 1 (prefix filter), the smaller among
 fewer still; their sizes are within 3:4 (length filter), and what follows the shared places must suffice
-(positional filter). Pairs that pass are taken once. Before their texts meet, a bound on what the sets can share,
-part by part of the hashes' range (suffix filter), takes out most that do not link; the intersection decides.
+(positional filter). Pairs that pass are taken once. Before their texts meet, a bound on how far the sets are apart,
+by the parity of each part of the hashes' range (suffix filter), takes out most that do not link; the intersection decides.
 
 Prefixes are dealt out by shingle. A shingle of few sets gives its pairs as it passes by; those of crowded ones
 and of those that stand out go through the rounds of `rounds.connect`, so that a large group of near copies costs
@@ -47,13 +47,13 @@ def sliced(batches: Iterator[pa.RecordBatch], n: int = 512) -> Iterator[pa.Recor
 
 READ = "_uid long, doc_id long, n int, digest binary, token long, df long"
 #: Bits of the hash that split shingles in parts for the suffix filter, at least and at most.
-FEWEST_BITS, MOST_BITS = 6, 13
+FEWEST_BITS, MOST_BITS = 6, 16
 
 
 def sketch(own: np.ndarray) -> bytes:
-    """How many shingles are in each part of the hashes' range, 255 standing for that or more; up to two parts a shingle."""
+    """Whether an odd number of shingles is in each part of the hashes' range, a bit each; up to two parts a shingle."""
     bits = min(MOST_BITS, max(FEWEST_BITS, len(own).bit_length()))
-    return np.minimum(np.bincount((own >> U(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8).tobytes()
+    return np.packbits(np.bincount((own >> U(64 - bits)).astype(np.int64), minlength=1 << bits) & 1).tobytes()
 
 
 #: Longs of a parity sketch, and shingles of a set from which on it says too little, so that a sketch as long as the set serves besides.
@@ -66,13 +66,11 @@ def parity(own: np.ndarray) -> list[int]:
     return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
 
 
-def may_share(a: bytes, b: bytes) -> int:
-    """The most that the sets of two sketches can share: the sum over parts of the lesser count."""
-    x, y = (np.frombuffer(k, np.uint8).astype(np.int64) for k in (a, b))
-    for k in (x, y):
-        k[k == 255] = 1 << 40
-    x, y = (k.reshape(min(len(x), len(y)), -1).sum(axis=1) for k in (x, y))
-    return int(np.minimum(x, y).sum())
+def least_apart(a: bytes, b: bytes) -> int:
+    """The fewest shingles that only one of the sets of two sketches has: the parts whose parity differs, each of which takes one."""
+    x, y = (np.unpackbits(np.frombuffer(k, np.uint8)) for k in (a, b))
+    x, y = (k if len(k) == n else k.reshape(n, -1).sum(axis=1, dtype=np.uint8) & 1 for n in [min(len(x), len(y))] for k in (x, y))
+    return int(np.count_nonzero(x != y))
 
 
 class New:
@@ -304,9 +302,9 @@ def suffix_filter(pairs: DataFrame, sketches: DataFrame, scratch: Scratch) -> Da
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches, 2048):
-            need = -(-PERCENT * (b.column("na").to_numpy().astype(np.int64) + b.column("nb").to_numpy()) // (100 + PERCENT))
-            share = [may_share(x, y) for x, y in zip(b.column("ka").to_pylist(), b.column("kb").to_pylist(), strict=True)]
-            yield b.select(["hub", "other"]).filter(pa.array(np.array(share, np.int64) >= need, pa.bool_()))
+            both = b.column("na").to_numpy().astype(np.int64) + b.column("nb").to_numpy()
+            apart = [least_apart(x, y) for x, y in zip(b.column("ka").to_pylist(), b.column("kb").to_pylist(), strict=True)]
+            yield b.select(["hub", "other"]).filter(pa.array(np.array(apart, np.int64) <= both - 2 * -(-PERCENT * both // (100 + PERCENT)), pa.bool_()))
 
     return both.where(F.col("n") <= WIDE).select("hub", "other").unionByName(rows.mapInArrow(of, "hub long, other long"))
 
@@ -369,6 +367,8 @@ def joined(rows: DataFrame, scratch: Scratch, parts: int) -> DataFrame:
     wanted = scratch.save(few.select(F.col("hub").alias("_uid")).union(few.select("other")).union(places.select("cid")).distinct(), "wanted")
     texts = scratch.save(rows.select("_uid", "text").join(small(wanted), "_uid", "left_semi").mapInArrow(sketched, SKETCHED), "texts")
 
+    scratch.drop("rows")  # the text of what may link is in texts
+
     # A class that several tasks took has a link from each one's row to its name.
     copies = members.join(small(wanted), "_uid", "left_semi").where("cid <> _uid").select(F.col("_uid").alias("hub"), F.col("cid").alias("other"))
 
