@@ -254,6 +254,29 @@ def test_lags_are_counted_alike_by_pairs_and_ranks(spark, monkeypatch):
         assert one == two and sum(one.values()) > 500
 
 
+def test_swept_trains_count_as_pairs(spark, monkeypatch):
+    """Bins of one width, with ties and rows that stand for several: a sweep over the places in cells counts what pairs do, also of dense trains."""
+    rng = np.random.default_rng(5)
+    for trial in range(60):
+        n, kinds, width, bins, ordered = int(rng.integers(1, 80)), int(rng.integers(1, 5)), int(rng.integers(1, 9)), int(rng.integers(2, 6)), trial % 3 == 0
+        by = sorted(zip(rng.integers(-40, 60, n).tolist(), rng.integers(0, kinds, n).tolist(), strict=True))
+        t, ids, own, spike = np.array([x[0] for x in by]), np.array([x[1] for x in by]), np.array([x[0] for x in by]) // 17 % 3 > 0, np.arange(n)
+        cuts = np.array([k * width for k in range(bins + 2)] if ordered else [k * width for k in range(-bins, bins)] + [bins * width + 1])
+        wanted, weight = np.ones((kinds, kinds), bool) if ordered else rng.random((kinds, kinds)) < 0.7, None if ordered else rng.integers(1, 4, n)
+        one, two = (np.zeros(kinds * kinds * (len(cuts) - 1), np.int64) for _ in range(2))
+        for into, found in ((one, co.count_pairs(ids, t, own, spike, cuts, wanted, ordered, weight)), (two, co.count_ranks(ids, t, own, spike, cuts, wanted, ordered, weight, True))):
+            for code, m in found:
+                np.add.at(into, code, m)
+        assert (one == two).all(), trial
+    rows = [(c, int(t)) for c, t in zip(rng.choice(["x", "y", "z"], 6000), rng.integers(0, 900, 6000), strict=True)]
+    df = spark.createDataFrame([(i, c, t) for i, (c, t) in enumerate(rows)], "spike_idx long, cluster_id string, t long")
+    found = {(r["a"], r["b"], r["bin"]): r["n"] for r in co.lag_counts(df, [-300, -200, -100, 0, 100, 200, 301], {("x", "y"), ("z", "x")}).collect()}
+    of = {c: np.array([t for k, t in rows if k == c]) for c in "xyz"}
+    for x, y in (("x", "y"), ("z", "x")):
+        lags = (of[y][None, :] - of[x][:, None]).ravel()
+        assert [found[x, y, k] for k in range(6)] == [int(((lags >= lo) & (lags < hi)).sum()) for lo, hi in zip([-300, -200, -100, 0, 100, 200], [-200, -100, 0, 100, 200, 301], strict=True)]
+
+
 def test_bunches_are_whole_blocks_apart(monkeypatch):
     monkeypatch.setattr(co, "BUNCH", 4)
     rows = pd.DataFrame({"block": [1, 1, 1, 5, 5, 5, 5, 5, 9, 2, 2], "t": range(11)})

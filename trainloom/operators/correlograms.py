@@ -39,6 +39,8 @@ def dense(counts: DataFrame, ids: DataFrame, bins: int) -> DataFrame:
 REACHES, BUNCH, HELD = 8, 50_000, 2_000_000
 #: Pairs of clusters that tasks are told; of more, they count all that meet.
 FEW_PAIRS = 10_000
+#: What a row costs that is swept, in pairs.
+PER_ROW = 20
 
 
 def bunches(batches: Iterator[pd.DataFrame], length: int, apart: int) -> Iterator[pd.DataFrame]:
@@ -66,9 +68,9 @@ def bunches(batches: Iterator[pd.DataFrame], length: int, apart: int) -> Iterato
         yield moved(pd.concat(kept))
 
 
-def count_pairs(ids: np.ndarray, t: np.ndarray, own: np.ndarray, spike: np.ndarray, edges: np.ndarray, wanted: np.ndarray, ordered: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(code, n) of lags from own rows to any, t sorted, by pairs; code is (id * ids + other) * bins + bin. Some HELD pairs at once."""
-    bins, most = len(edges) - 1, len(wanted)
+def count_pairs(ids: np.ndarray, t: np.ndarray, own: np.ndarray, spike: np.ndarray | None, edges: np.ndarray, wanted: np.ndarray, ordered: bool, weight: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(code, n) of lags from own rows to any, t sorted, by pairs; code is (id * ids + other) * bins + bin. Some HELD pairs at once. weight: how many rows each one is."""
+    bins, most, weight = len(edges) - 1, len(wanted), np.ones(len(t), np.int64) if weight is None else weight
     rows = np.flatnonzero(own)
     low, high = np.searchsorted(t, t[rows] + edges[0]), np.searchsorted(t, t[rows] + edges[-1])
     upto = np.concatenate([[0], np.cumsum(high - low)])
@@ -82,21 +84,69 @@ def count_pairs(ids: np.ndarray, t: np.ndarray, own: np.ndarray, spike: np.ndarr
         if ordered:
             good &= (t[j] > t[i]) | (ids[j] > ids[i]) | ((ids[j] == ids[i]) & (spike[j] > spike[i]))
         i, j = i[good], j[good]
-        yield np.unique((ids[i] * most + ids[j]) * bins + np.searchsorted(edges, t[j] - t[i], "right") - 1, return_counts=True)
+        code, nth = np.unique((ids[i] * most + ids[j]) * bins + np.searchsorted(edges, t[j] - t[i], "right") - 1, return_inverse=True)
+        total = np.zeros(len(code), np.int64)
+        np.add.at(total, nth, weight[i] * weight[j])
+        yield code, total
         start = end
 
 
-def count_ranks(ids: np.ndarray, t: np.ndarray, own: np.ndarray, spike: np.ndarray, edges: np.ndarray, wanted: np.ndarray, ordered: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """What count_pairs counts, by the ranks of each own row plus each edge among the other cluster's rows."""
-    bins, most = len(edges) - 1, len(wanted)
-    each = [(t[ids == c], t[own & (ids == c)]) for c in range(most)]
+def even(edges: np.ndarray) -> bool:
+    """Whether edges but the first and last are equally far apart, as `swept` needs."""
+    return len(edges) > 3 and not np.ptp(np.diff(edges[1:-1]))
+
+
+def cells(t: np.ndarray, edges: np.ndarray) -> int:
+    """How many cells as wide as a bin `swept` holds for each cluster."""
+    width = int(edges[2] - edges[1])
+    return int(t.max() - t.min()) // width + 2 * (int(max(-edges[0], edges[-1])) // width + 2) + len(edges)
+
+
+def swept(ids: np.ndarray, t: np.ndarray, own: np.ndarray, edges: np.ndarray, wanted: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Sums of the ranks of own rows plus each inner edge, of equal steps, among each cluster's rows: [cluster, inner edge, other].
+
+    Time is cut in cells as wide as a bin. All ranks of a row at the inner edges are those of its place in successive cells, so
+    rows are taken by place in their cells: then a row's ranks lie side by side in a table of what came before, cell by cell.
+    """
+    most, inner, width = len(wanted), len(edges) - 2, int(edges[2] - edges[1])
+    reach = (int(max(-edges[0], edges[-1])) // width + 2) * width
+    mine, theirs = np.flatnonzero(own & wanted.any(axis=1)[ids]), np.flatnonzero(wanted.any(axis=0)[ids])
+    cell, place = np.divmod(t[theirs] - t.min() + reach, width)
+    cell_of, place_of = np.divmod(t[mine] - t.min() + reach + edges[1], width)
+    table = np.zeros((cells(t, edges) + 1, most), np.int64)
+    np.add.at(table, (cell + 1, ids[theirs]), weight[theirs])
+    flat, sums, span = np.cumsum(table, axis=0).reshape(-1), np.zeros((most, inner * most), np.int64), inner * most
+    # At one place rows are asked before any is entered, as ranks count what is less.
+    order = np.lexsort((np.repeat([0, 1], [len(mine), len(theirs)]), np.concatenate([place_of, place])))
+    at = np.concatenate([cell_of * most, cell * most + ids[theirs]])[order].tolist()
+    row = np.concatenate([ids[mine], np.full(len(theirs), -1)])[order].tolist()
+    each, of = np.concatenate([weight[mine], weight[theirs]])[order].tolist(), list(sums)
+    for x, a, w in zip(at, row, each, strict=True):
+        if a < 0:
+            flat[x] += w
+        elif w == 1:
+            s = of[a]
+            np.add(s, flat[x : x + span], s)
+        else:
+            of[a] += w * flat[x : x + span]
+    return sums.reshape(most, inner, most)
+
+
+def count_ranks(ids: np.ndarray, t: np.ndarray, own: np.ndarray, spike: np.ndarray | None, edges: np.ndarray, wanted: np.ndarray, ordered: bool, weight: np.ndarray | None = None, sweep: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """What count_pairs counts, by the ranks of each own row plus each edge among the other cluster's rows; sweep: those of inner edges by `swept`."""
+    bins, most, weight = len(edges) - 1, len(wanted), np.ones(len(t), np.int64) if weight is None else weight
+    each = [(t[ids == c], np.concatenate([[0], np.cumsum(weight[ids == c])]), t[own & (ids == c)], weight[own & (ids == c)]) for c in range(most)]
+    inner = swept(ids, t, own, edges, wanted, weight) if sweep else None
+    searched = [0, bins] if sweep else list(range(bins + 1))
     for a, b in zip(*np.nonzero(wanted), strict=True):
-        mine, theirs, cuts = each[a][1], each[b][0], edges.copy()
+        (mine, times), (theirs, upto), cuts = each[a][2:], each[b][:2], edges.copy()
         if ordered and a >= b:
             cuts[0] = max(cuts[0], 1)  # rows of one time count once, in order of cluster
         ranks, step = np.zeros(bins + 1, np.int64), max(1, HELD // (bins + 1))
+        if inner is not None:
+            ranks[1:-1] = inner[a, :, b]
         for k in range(0, len(mine), step):
-            ranks += np.searchsorted(theirs, cuts[:, None] + mine[None, k : k + step]).sum(axis=1)
+            ranks[searched] += upto[np.searchsorted(theirs, cuts[searched, None] + mine[None, k : k + step])] @ times[k : k + step]
         n = np.diff(ranks)
         if ordered and a == b:
             inside = own & (ids == a)
@@ -111,33 +161,49 @@ def lag_counts(trains: DataFrame, edges: list[int], wanted: set[tuple] | None, o
 
     The first edge is 0 at most, the last one above 0. ordered: lags of 0 count once, in order of cluster and spike, and no spike
     meets itself. In each bunch of blocks that way is taken which does less: a step for each pair of spikes in reach, or
-    for each spike, other cluster and edge.
+    for each spike, other cluster and edge, or, where bins are of one width, a sum of short arrays for each spike.
     """
     cuts = np.array(edges, np.int64)
     length = REACHES * int(max(-cuts[0], cuts[-1]))
     of = lambda t: F.floor(t / F.lit(length)).cast("long")
-    rows = trains.where("t is not null and cluster_id is not null").select("cluster_id", F.col("t").cast("long").alias("t"), (F.col("spike_idx").cast("long") if ordered else F.lit(0).cast("long")).alias("spike"))
+    rows = trains.where("t is not null and cluster_id is not null").select("cluster_id", F.col("t").cast("long").alias("t"), *([F.col("spike_idx").cast("long").alias("spike")] if ordered else []))
+    kind, names = dict(trains.dtypes)["cluster_id"], None
     if wanted is not None:
-        rows = rows.where(F.col("cluster_id").isin(sorted({x for pair in wanted for x in pair})))
+        # Few clusters go by number, as tasks are slow to read strings.
+        names = sorted({x for pair in wanted for x in pair})
+        numbers = trains.sparkSession.createDataFrame([(x, i) for i, x in enumerate(names)], f"cluster_id {kind}, nth int")
+        rows = rows.join(F.broadcast(numbers), "cluster_id").drop("cluster_id").withColumnRenamed("nth", "cluster_id")
     rows = rows.withColumn("block", F.explode(F.sequence(of(F.col("t") - int(cuts[-1] - 1)), of(F.col("t") - int(cuts[0])))))
     parts = int(trains.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.repartition(parts, "block").sortWithinPartitions("block")
-    kind = dict(trains.dtypes)["cluster_id"]
 
     def of_part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in bunches((b.assign(own=b["t"] // length == b["block"]) for b in batches), length, 2 * length):
-            rows = rows.sort_values("t", kind="stable")
-            ids, names = pd.factorize(rows["cluster_id"], sort=True)
-            t, own, spike = rows["t"].to_numpy(), rows["own"].to_numpy(), rows["spike"].to_numpy()
-            ask = np.ones((len(names), len(names)), bool)
+            ids, found = pd.factorize(rows["cluster_id"], sort=True)
+            named = found if names is None else np.array(names, object)[found]
+            t, own = rows["t"].to_numpy(), rows["own"].to_numpy()
+            if ordered:
+                by = np.argsort(t, kind="stable")
+                ids, t, own, spike, weight = ids[by], t[by], own[by], rows["spike"].to_numpy()[by], None
+            else:
+                # Rows of one cluster and time are one of their number.
+                by = np.lexsort((ids, t))
+                first = np.flatnonzero(np.concatenate([[True], (np.diff(t[by]) != 0) | (np.diff(ids[by]) != 0)]))
+                ids, t, own, spike, weight = ids[by][first], t[by][first], own[by][first], None, np.diff(np.append(first, len(by)))
+            ask = np.ones((len(named), len(named)), bool)
             if wanted is not None:
-                ask = np.array([[(a, b) in wanted for b in names] for a in names])
+                ask = np.array([[(a, b) in wanted for b in named] for a in named])
             pairs = (np.searchsorted(t, t[own] + cuts[-1]) - np.searchsorted(t, t[own] + cuts[0])).sum()
-            # A rank costs about two pairs, and a pair of clusters some thousand.
-            ranks = 2 * len(cuts) * (np.bincount(ids[own], minlength=len(names)) * ask.sum(axis=1)).sum() + 1000 * ask.sum()
-            for code, n in (count_ranks if ranks < pairs else count_pairs)(ids, t, own, spike, cuts, ask, ordered):
+            # A rank costs about one pair, and a pair of clusters some thousand; a row that is swept PER_ROW and a fortieth of a pair for each sum.
+            ranks = len(cuts) * (np.bincount(ids[own], minlength=len(named)) * ask.sum(axis=1)).sum() + 1000 * ask.sum()
+            ways = {"pairs": pairs, "ranks": ranks}
+            if even(cuts) and (held := cells(t, cuts) * len(named)) <= HELD:
+                ways["swept"] = len(t) * PER_ROW + own.sum() * len(cuts) * len(named) // 40 + held + 1000 * ask.sum()
+            way = min(ways, key=ways.get)
+            args = (ids, t, own, spike, cuts, ask, ordered, weight)
+            for code, n in count_pairs(*args) if way == "pairs" else count_ranks(*args, way == "swept"):
                 pair, k = np.divmod(code, len(cuts) - 1)
-                yield pd.DataFrame({"a": names[pair // len(names)], "b": names[pair % len(names)], "bin": k, "n": n})
+                yield pd.DataFrame({"a": named[pair // len(named)], "b": named[pair % len(named)], "bin": k, "n": n})
 
     found = dealt.mapInPandas(of_part, f"a {kind}, b {kind}, bin int, n long")
     return found.groupBy("a", "b", "bin").agg(F.sum("n").alias("n"))
