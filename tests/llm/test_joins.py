@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm.conftest import ROWS
 from trainloom.llm import line_dedup, ngram_join, rounds
@@ -228,3 +229,12 @@ def test_sketches_bound_what_is_apart():
         apart = n + m - 2 * shared
         assert ngram_join.least_apart(x, y) == ngram_join.least_apart(y, x) <= apart and len(x) <= n // 4 + 8
         assert ngram_join.least_apart(x, y) >= apart // 2 if apart <= 300 else True
+
+
+def test_common_keys_are_counted_over_all_lines(spark):
+    """A key that many lines share is common also if none of them is in one eighth by hash, which was all that was counted."""
+    lines = spark.range(400).select(F.concat(F.lit("these same four words stand here before the number "), F.col("id").cast("string")).alias("norm"))
+    lines = lines.where("pmod(xxhash64(norm), 8) <> 0").select(F.monotonically_increasing_id().alias("cid"), "norm", F.length("norm").alias("n"))
+    found = line_dedup.common_hashes(lines)
+    shared = lines.limit(1).transform(line_dedup.with_hashes).select(F.explode(F.slice("hashes", 1, 6)).alias("h")).select(F.expr(line_dedup.COUNTER.format("h")).alias("h"))
+    assert {r["h"] for r in shared.collect()} <= set(found) and len(found) < 20
