@@ -238,3 +238,19 @@ def test_common_keys_are_counted_over_all_lines(spark):
     found = line_dedup.common_hashes(lines)
     shared = lines.limit(1).transform(line_dedup.with_hashes).select(F.explode(F.slice("hashes", 1, 6)).alias("h")).select(F.expr(line_dedup.COUNTER.format("h")).alias("h"))
     assert {r["h"] for r in shared.collect()} <= set(found) and len(found) < 20
+
+
+def test_word_by_word_edits_are_no_fewer_than_the_distance(spark):
+    """Lines with words put in, left out and changed far apart: the count is a bound, and near enough to spare the edit distance."""
+    rng = random.Random(8)
+    rows = []
+    for _ in range(300):
+        words = ["".join(rng.choices("abcd", k=rng.randint(1, 8))) for _ in range(rng.randint(1, 60))]
+        other = list(words)
+        for _ in range(rng.randint(0, 4)):
+            at = rng.randrange(len(other) + 1)
+            other[at : at + rng.randint(0, 1)] = rng.choice([[], ["ab"], ["".join(rng.choices("abcd", k=4))]])
+        rows.append((" ".join(words), " ".join(other)))
+    rows += [("", ""), ("a", ""), ("", "a b"), ("a b c", "c"), ("a", "b c a"), ("x y", "x")]
+    found = spark.createDataFrame(rows, "x string, y string").select(F.expr("levenshtein(x, y)").alias("d"), line_dedup.edited("x", "y", "100000").alias("most")).collect()
+    assert all(r["d"] <= r["most"] for r in found) and sum(r["most"] <= r["d"] + 4 for r in found) > 250
