@@ -254,3 +254,17 @@ def test_word_by_word_edits_are_no_fewer_than_the_distance(spark):
     rows += [("", ""), ("a", ""), ("", "a b"), ("a b c", "c"), ("a", "b c a"), ("x y", "x")]
     found = spark.createDataFrame(rows, "x string, y string").select(F.expr("levenshtein(x, y)").alias("d"), line_dedup.edited("x", "y", "100000").alias("most")).collect()
     assert all(r["d"] <= r["most"] for r in found) and sum(r["most"] <= r["d"] + 4 for r in found) > 250
+
+
+def test_pairs_of_lines_are_verified_in_slices(spark, monkeypatch):
+    """However few pairs are brought together at once, the same lines stay."""
+    rng = random.Random(4)
+    bases = [" ".join("".join(rng.choices("abcdef", k=rng.randint(2, 7))) for _ in range(rng.choice([4, 15, 40]))) for _ in range(12)]
+    rows = [(i, "\n".join(rng.choice(bases) + rng.choice("xyz") * rng.randint(0, 2) for _ in range(4))) for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    wanted = sorted(map(tuple, line_dedup.dedup(docs).collect()))
+    monkeypatch.setattr(line_dedup, "SLICE", 15)
+    names = []
+    save = line_dedup.Scratch.save
+    monkeypatch.setattr(line_dedup.Scratch, "save", lambda self, df, name: names.append(name) or save(self, df, name))
+    assert sorted(map(tuple, line_dedup.dedup(docs).collect())) == wanted and "verified1" in names
