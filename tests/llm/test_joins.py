@@ -268,3 +268,51 @@ def test_pairs_of_lines_are_verified_in_slices(spark, monkeypatch):
     save = line_dedup.Scratch.save
     monkeypatch.setattr(line_dedup.Scratch, "save", lambda self, df, name: names.append(name) or save(self, df, name))
     assert sorted(map(tuple, line_dedup.dedup(docs).collect())) == wanted and "verified1" in names
+
+
+def test_keys_by_compiled_code(spark):
+    """Counted keys are those that lines take: of one-letter words, of repeated ones, of runs, of other scripts."""
+    rng = random.Random(12)
+    rows = [" ".join("".join(rng.choices("abcé", k=rng.choice([1, 1, 2, 5, 9]))) for _ in range(rng.randint(10, 40))) for _ in range(60)]
+    rows += ["x" * 90, "ab" * 40 + " c", "a b c d e f g h i j k l m n o p q r s t u v w", "short"]
+    lines = spark.createDataFrame(list(enumerate(rows)), "cid long, norm string").withColumn("n", F.length("norm"))
+    wanted = sorted(r["h"] for r in line_dedup.with_hashes(lines).select(F.explode("hashes").alias("h")).collect())
+    assert sorted(r["h"] for r in line_dedup.hashed(lines).collect()) == wanted
+
+
+def test_letters_part_lines_that_are_apart_only(spark):
+    """No pair within the edits allowed is lost by letters; of pairs apart most go before their texts are brought together."""
+    rng = random.Random(13)
+    word = lambda: "".join(rng.choices("etaoinshrdlucmwféß0", k=rng.randint(2, 8)))
+    rows = []
+    for _ in range(300):
+        x = " ".join(word() for _ in range(rng.randint(1, 60)))
+        own = list(x)
+        for _ in range(rng.randint(0, len(x) // 8)):
+            i, kind = rng.randrange(len(own) or 1), rng.randrange(3)
+            own[i : i + (kind > 0)] = [rng.choice("eéz ")] if kind < 2 else []
+        rows += [(x, "".join(own)), (x, "".join(reversed(" ".join(word() for _ in range(x.count(" ") + 1))))[: len(x)])]
+    own = lambda c: F.struct(F.length(c).alias("n"), line_dedup.letters(c).alias("letters"))
+    frame = spark.createDataFrame(rows, "a string, b string").withColumn("x", own("a")).withColumn("y", own("b"))
+    found = frame.select(F.expr("10 * levenshtein(a, b) <= greatest(length(a), length(b))").alias("near"), F.expr(line_dedup.may_edit("x", "y")).alias("may")).collect()
+    assert all(r["may"] for r in found if r["near"]) and sum(r["near"] for r in found) > 100
+    assert sum(not r["may"] for r in found if not r["near"]) > 150
+
+
+@pytest.mark.parametrize("few", [1, 8])
+def test_crowded_keys_by_length(spark, monkeypatch, few):
+    """A phrase that lines of many lengths share: its lines meet by length, also across the bounds of bins, and letters are asked first."""
+    monkeypatch.setattr(line_dedup, "FEW", few)
+    monkeypatch.setattr(line_dedup, "FEW_PAIRS", 0)
+    rng = random.Random(14)
+    word = lambda: "".join(rng.choices("bcdfgklmpw", k=5))
+    rows = []
+    for k in range(8, 48):
+        x = "these same words stand first " + " ".join(word() for _ in range(k))
+        rows += [x, x + "a" * ((len(x) - 1) // 10)]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    names = []
+    save = line_dedup.Scratch.save
+    monkeypatch.setattr(line_dedup.Scratch, "save", lambda self, df, name: names.append(name) or save(self, df, name))
+    found = {r["doc_id"]: r["n_dropped"] for r in line_dedup.dedup(docs).collect()}
+    assert found == {i: i % 2 for i in range(len(rows))} and {"bins", "alike"} <= set(names)
